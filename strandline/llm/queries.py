@@ -21,11 +21,17 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.ctph import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op6_token_ids, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_sharding, op6_token_ids, op9_fingerprints, op10_packing)}
 ORACLES: dict[str, str] = {}
