@@ -2,7 +2,7 @@
 
 A hash of the last 7 bytes ends a chunk where it is -1 modulo the block size; each chunk gives one of 64
 signs. The block size is 3 * 2^i, the smallest for which 64 chunks may cover the text, halved while the
-signature is shorter than 32. A fingerprint is `block:signature:signature at twice the block`. Two
+signature is shorter than 8 (texts of like size then keep like blocks). A fingerprint is `block:signature:signature at twice the block`. Two
 fingerprints are compared where their block sizes are equal or one is twice the other: by the edit
 distance (insertions and deletions) of the signatures of the same block size, if these share a run of
 signs (7, or a quarter of the shorter one). Everything runs over many texts at once in numpy.
@@ -77,7 +77,7 @@ def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             for i in todo[block[todo] == b].tolist():
                 own = np.flatnonzero(r[lo[i] : hi[i]] % np.uint32(b) == np.uint32(b - 1))
                 found[i] = own + lo[i]
-                if len(own) + 1 < LENGTH // 2 and b > LEAST_BLOCK:
+                if len(own) + 1 < LENGTH // 8 and b > LEAST_BLOCK:
                     block[i] = b // 2
                     again.append(i)
         todo = np.array(again, np.int64)

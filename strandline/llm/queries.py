@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import crc_mod, table
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    contents = fit(docs.where(~held_out).select("text", "lang"))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), contents).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.ctph import fingerprint_documents
 
@@ -33,5 +42,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op6_token_ids, op9_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_sharding, op6_token_ids, op8_langid, op9_fingerprints, op10_packing)}
 ORACLES: dict[str, str] = {}
