@@ -21,8 +21,8 @@ from strandline.llm.common import prepare
 UNKNOWN = "und"
 #: Bounds of the sample: texts for each language, bytes of a text that may be in it, bytes of a dictionary.
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 400, 16_384, 65_536
-#: The margin in bytes below which the operator rejects a text: only ties.
-LEAST_MARGIN = 1
+#: The margin at or below which the operator rejects a text: only ties. Bytes; under 1, of equal sizes those of single words differ.
+LEAST_MARGIN = 0.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -93,17 +93,24 @@ def identify(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
                 if not sizes.langs or not has_letter(t):
                     pred.append(UNKNOWN), margin.append(None)
                     continue
-                n = sizes(normal(t))
-                best = min(range(len(n)), key=n.__getitem__)
-                pred.append(sizes.langs[best])
-                margin.append(min((x for i, x in enumerate(n) if i != best), default=n[best] + 64) - n[best])
+                words = normal(t)
+                n = sizes(words)
+                order = sorted(range(len(n)), key=lambda i: n[i])
+                gap = float(n[order[1]] - n[order[0]]) if len(n) > 1 else 64.0
+                if gap == 0:  # the same sizes: those of the words one by one decide
+                    tied = [i for i in order if n[i] == n[order[0]]]
+                    alone = np.sum([sizes(b" " + w + b" ") for w in words.split()], axis=0)
+                    tied.sort(key=lambda i: alone[i])
+                    order, gap = tied, float(alone[tied[1]] - alone[tied[0]]) / (1 + float(alone.max()))
+                pred.append(sizes.langs[order[0]])
+                margin.append(gap)
             score = np.array([0.0 if m is None else 1 / (1 + 2.0 ** -min(m, 60)) for m in margin])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(margin, pa.int64())], [*names, "lang_pred", "lang_score", "lang_margin"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(margin, pa.float64())], [*names, "lang_pred", "lang_score", "lang_margin"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(kernel, f"{fields}, lang_pred string, lang_score double, lang_margin long")
+    return docs.mapInArrow(kernel, f"{fields}, lang_pred string, lang_score double, lang_margin double")
 
 
-def rejected(least_margin: int = LEAST_MARGIN):
+def rejected(least_margin: float = LEAST_MARGIN):
     """Rows of identify() that name no language, or do so too narrowly."""
-    return F.col("lang_margin").isNull() | (F.col("lang_margin") < least_margin)
+    return F.col("lang_margin").isNull() | (F.col("lang_margin") <= least_margin)

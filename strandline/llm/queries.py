@@ -21,6 +21,12 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.langid import fit, identify
 
@@ -42,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op6_token_ids, op8_langid, op9_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_sharding, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing)}
 ORACLES: dict[str, str] = {}
