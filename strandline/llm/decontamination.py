@@ -46,9 +46,9 @@ def postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> Dat
     """
     w = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     if n_terms <= BROADCAST_ROWS:
-        hit = w.select("doc_id", "text_key", "w", F.posexplode("w").alias("at", "term")).join(F.broadcast(terms), "term")
+        hit = w.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("at", "term")).join(F.broadcast(terms), "term")
     else:
-        bare = w.select("doc_id", "text_key", F.posexplode("w").alias("at", "term")).join(terms, "term")
+        bare = w.select("doc_id", "text_key", F.posexplode_outer("w").alias("at", "term")).join(terms, "term")
         once = w.dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
         hit = bare.join(once, bare["doc_id"].eqNullSafe(once["_id"]) & (bare["text_key"] == once["_key"]))
     first = F.greatest(F.lit(0), F.col("at") - reach)
@@ -65,7 +65,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, within: int |
     distinct = each.select("words").distinct()
     terms = distinct.select(F.explode("words").alias("term")).distinct()
     n_terms = terms.count()
-    counted = docs.select(F.explode(words(F.col("text"))).alias("term")).join(small(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = docs.select(F.explode_outer(words(F.col("text"))).alias("term")).join(small(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(counted, "dc-counts")
     # A window with a term that no document has cannot occur; the others keep their two rarest terms.
     spread = distinct.select("words", F.posexplode("words").alias("offset", "term")).join(counted, "term", "left")
