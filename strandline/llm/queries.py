@@ -33,6 +33,17 @@ FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    known = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = fit(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    out = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.when(F.col("toxic_score") >= 0.5, 1).otherwise(0).alias("predicted"), "worst_sentence")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.sharding import shard_documents
 
@@ -73,5 +84,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_sharding, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_sharding, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing)}
 ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
