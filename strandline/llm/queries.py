@@ -33,6 +33,12 @@ FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.privacy import find
+
+    return find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("all_spans")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.toxicity import fit, score
 
@@ -84,5 +90,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_sharding, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing)}
 ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
