@@ -7,7 +7,10 @@ in a register with about their Jaccard similarity. Texts that agree in all regis
 bucket; a pair at the threshold misses all bands with a probability of 10^-5.
 
 No bucket emits all its pairs. Its smallest text is paired with each other one; components of verified
-links then tell which members still have to be compared, and only those of different components are.
+links then tell which buckets are still open, as members of different components haven't been compared.
+Where components meet in an open bucket, the estimate is computed for blocks of their registers at once;
+only likely pairs leave that step, the likeliest are verified first, and the others where that didn't join
+the components.
 Texts with one and the same set are one node from the start, however many copies there are.
 """
 
@@ -29,8 +32,10 @@ THRESHOLD = (75, 100)
 BANDS, BAND = 80, 7
 #: Parameters of the sketch: base, rate, largest register.
 B, RATE, TOP = 1.001, 20.0, 65_534
-#: Registers that are kept for the estimate, and how many standard errors it may lie below the threshold.
-KEPT, SIGMAS = 256, 5.0
+#: How many standard errors the estimate may lie below the threshold.
+SIGMAS = 4.5
+#: Nodes whose registers are compared at once, parts that a component's blocks are dealt to, and likeliest pairs verified first.
+BLOCK, DEAL, FIRST = 128, 8, 8
 #: Most ids that are broadcast to pick texts; above, the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -116,7 +121,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (of the set; null for an empty one), bands, regs; docs: doc_id, text."""
+    """doc_id, n_shingles, fp1, fp2 (of the set; null for an empty one), regs; docs: doc_id, text."""
     prepare(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +139,32 @@ def sketch(docs: DataFrame) -> DataFrame:
                             fp[0, i], fp[1, i] = s.sum(), np.bitwise_xor.reduce(mix(s))
                 regs = exponential_registers(least)
                 none = n == 0
-                keys = band_keys(regs).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                kept = np.ascontiguousarray(regs[:, :KEPT]).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(fp[0].view(np.int64), mask=none), pa.array(fp[1].view(np.int64), mask=none), flat, pa.array([r.tobytes() for r in kept], pa.binary())],
-                    ["doc_id", "n_shingles", "fp1", "fp2", "bands", "regs"],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(fp[0].view(np.int64), mask=none), pa.array(fp[1].view(np.int64), mask=none), pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary())],
+                    ["doc_id", "n_shingles", "fp1", "fp2", "regs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary")
+
+
+def _matrix(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<u2").reshape(-1, BANDS * BAND)
+
+
+def _least_estimate(least: float) -> float:
+    return least - SIGMAS * float(np.sqrt(least * (1 - least) / (BANDS * BAND)))
+
+
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """node, key: one row for each band."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                keys = band_keys(_matrix(x.column("regs").to_pylist())).view(np.int64)
+                yield pa.RecordBatch.from_arrays([x.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))], ["node", "keys"])
+
+    return nodes.select("node", "regs").mapInArrow(kernel, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -151,16 +173,63 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     both = pairs.join(n.toDF("b", "nb", "rb"), "b").join(n.toDF("a", "na", "ra"), "a").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slack = SIGMAS * np.sqrt(least * (1 - least) / KEPT)
         for x in batches:
             if x.num_rows:
-                ra, rb = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u2").reshape(-1, KEPT) for c in ("ra", "rb"))
+                ra, rb = (_matrix(x.column(c).to_pylist()) for c in ("ra", "rb"))
                 j = joint_estimate(ra, rb, x.column("na").to_numpy().astype(float), x.column("nb").to_numpy().astype(float))
-                yield x.filter(pa.array(j >= least - slack)).select(["a", "b"])
+                yield x.filter(pa.array(j >= _least_estimate(least))).select(["a", "b"])
 
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kernel, "a long, b long")
 
 
+def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Likely pairs between components that meet in a bucket: a, b (a < b), y (which of them is of the smaller
+    part), main (the other's component), estimate. rest: key, node, component of open buckets.
+
+    In a bucket the component with most members is the main one. All members of the others are compared
+    with all of it, in blocks, and with each other where they share the bucket.
+    """
+    in_key = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = in_key.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    meet = in_key.join(main, "key").where("component <> main").select("main", F.col("component").alias("other")).distinct()
+    full = members.join(nodes.select("node", "n_shingles", "regs"), "node")
+    entry = F.struct("node", "n_shingles", "regs", "component")
+    xs = full.join(meet.select(F.col("main").alias("component")).distinct(), "component", "left_semi").withColumn("main", F.col("component"))
+    ys = meet.join(full.withColumnRenamed("component", "other"), "other").withColumnRenamed("other", "component")
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        sizes = df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
+        return df.join(sizes, "main").groupBy("main", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("block")).agg(F.collect_list(entry).alias(name)).withColumn("deal", F.pmod("block", F.lit(DEAL)).cast("int"))
+
+    left = blocks(xs, "xs")
+    right = blocks(ys, "ys").drop("deal", "block").withColumn("deal", F.explode(F.array(*map(F.lit, range(DEAL)))))
+    both = left.drop("block").join(right, ["main", "deal"]).select("main", "xs", "ys")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = _least_estimate(least)
+        for x in batches:
+            for i in range(x.num_rows):
+                main = x.column("main")[i].as_py()
+                one, two = x.column("xs")[i].as_py(), x.column("ys")[i].as_py()
+                r1, r2 = _matrix([e["regs"] for e in one]), _matrix([e["regs"] for e in two])
+                n1, n2 = (np.array([e["n_shingles"] for e in es], float) for es in (one, two))
+                id1, id2 = (np.array([e["node"] for e in es], np.int64) for es in (one, two))
+                for k in range(len(two)):
+                    near = np.flatnonzero(((r1 == r2[k]).mean(axis=1) >= low - 0.05) & (np.minimum(n1, n2[k]) >= least * np.maximum(n1, n2[k])))
+                    if len(near):
+                        j = joint_estimate(r1[near], np.broadcast_to(r2[k], (len(near), r2.shape[1])), n1[near], np.full(len(near), n2[k]))
+                        near, j = near[j >= low], j[j >= low]
+                    if len(near):
+                        other = np.full(len(near), id2[k])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id1[near], other)), pa.array(np.maximum(id1[near], other)), pa.array(other), pa.array(np.full(len(near), main)), pa.array(j)], ["a", "b", "y", "main", "estimate"])
+
+    across = both.repartition("main", F.xxhash64("xs")).mapInArrow(kernel, "a long, b long, y long, main long, estimate double")
+    side = rest.join(main, "key").where("component <> main").select("key", "node", "component")
+    x, y = side.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), side.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = _likely(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct(), nodes, least)
+    return across.unionByName(apart.select("a", "b", F.col("b").alias("y"), F.col("a").alias("main"), F.lit(1.0).alias("estimate")))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b; stored) whose whole texts' sets have the similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -197,26 +266,31 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     keyed = sk.where(F.col("fp1").isNotNull() & F.col("doc_id").isNotNull())
     sets = materialize(keyed.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node")), "nd-sets")
     nodes = keyed.join(sets.withColumnRenamed("node", "doc_id"), ["fp1", "fp2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"]).withColumnRenamed("doc_id", "node")
-    nodes = materialize(nodes.select("node", "n_shingles", "regs", "bands"), "nd-nodes")
+    nodes = materialize(nodes.select("node", "n_shingles", "regs"), "nd-nodes")
     same = keyed.join(sets, ["fp1", "fp2", "n_shingles"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
     order = Window.partitionBy("key").orderBy("node")
-    buckets = nodes.select("node", F.explode("bands").alias("key")).withColumns({"centre": F.first("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_1": F.lead("node", 1).over(order), "_at": F.row_number().over(order), "_2": F.lead("node", 2).over(order)})
+    buckets = bucket_rows(nodes).withColumns({"centre": F.first("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_1": F.lead("node", 1).over(order), "_at": F.row_number().over(order), "_2": F.lead("node", 2).over(order)})
     buckets = buckets.where("_at > 1 or _1 is not null").withColumn("many", F.expr("_at > 2 or (_at = 2 and _1 is not null) or (_at = 1 and _2 is not null)"))
     buckets = materialize(buckets.select("key", "node", "centre", "many"), "nd-buckets")
     done = materialize(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "nd-pairs")
-    links = _confirm(done, nodes, docs, num, den, least)
+    links = _confirm(materialize(_likely(done, nodes, least), "nd-likely"), docs, num, den)
     found = components(links)
 
-    # Buckets of three and more whose members fell into different components: these pairs weren't compared yet.
-    many = buckets.where("many").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    many = buckets.where("many").select("key", "node").join(members, "node")
     open_keys = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(many.join(open_keys, "key", "left_semi"), "nd-open")
-    x, y = rest.toDF("key", "a", "ca"), rest.toDF("key", "b", "cb")
-    more = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    more = materialize(more, "nd-more")
-    if not more.isEmpty():
-        links = links.unionByName(_confirm(more, nodes, docs, num, den, least))
+    rest = materialize(many.join(open_keys, "key", "left_semi").select("key", "node", "component"), "nd-open")
+    more = materialize(_between(rest, materialize(members, "nd-members"), nodes, least).join(done, ["a", "b"], "left_anti"), "nd-more")
+    rank = F.row_number().over(Window.partitionBy("y", "main").orderBy(F.desc("estimate"), "a", "b"))
+    first = materialize(more.withColumn("_r", rank).where(F.col("_r") <= FIRST).select("a", "b").distinct(), "nd-first")
+    if not first.isEmpty():
+        links = links.unionByName(_confirm(first, docs, num, den))
+        found = components(links)
+        apart = more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti").join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+        apart = materialize(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "nd-last")
+        links = links.unionByName(_confirm(apart, docs, num, den))
+
     all_links = links.unionByName(same.select("a", "b"))
     found = components(all_links)
     ids = sk.select("doc_id", "n_shingles")
@@ -224,6 +298,5 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int, least: float) -> DataFrame:
-    likely = materialize(_likely(pairs, nodes, least), "nd-likely")
-    return materialize(_verified(likely, docs, num, den), "nd-links")
+def _confirm(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    return materialize(_verified(pairs, docs, num, den), "nd-links")
