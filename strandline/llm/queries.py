@@ -45,7 +45,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
     known = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    model = fit(docs.select("doc_id", "text"), known)
     out = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return out.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.when(F.col("toxic_score") >= 0.5, 1).otherwise(0).alias("predicted"), "worst_sentence")
 

@@ -91,19 +91,29 @@ def fit_arrays(sent: np.ndarray, bucket: np.ndarray, row: np.ndarray, labels: np
     return Model(w, b)
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """labelled: text, toxic (0 or 1). Takes the rows of each label with the smallest text hashes, each text
-    once; null texts or labels and texts over SAMPLE_TEXT_BYTES are left out. Without rows: a model that
-    calls nothing toxic."""
-    prepare(labelled.sparkSession)
-    usable = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1) & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)).select("text", F.col("toxic").cast("int"))
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1) of the documents that may be learned from.
+
+    Takes the rows of each label with the smallest id hashes, so only their texts move; each text once.
+    Null texts or labels and texts over SAMPLE_TEXT_BYTES are left out. Without rows: a model that calls
+    nothing toxic.
+    """
+    spark = prepare(docs.sparkSession)
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int"))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model(np.zeros(1 << BITS), PRIOR)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * rows / n))])
-    few = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20) < share[F.col("toxic")]).dropDuplicates(["text", "toxic"])
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("text"), "text"))
-    sample = few.withColumn("_r", rank).where(F.col("_r") <= rows).orderBy("toxic", "_r").select("text", "toxic").collect()
+    wanted = 2 * rows  # some are long, or copies
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * wanted / n))])
+    few = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20) < share[F.col("toxic")])
+    rank = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = few.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= wanted).collect()
+    ids = spark.createDataFrame([(r["doc_id"], r["toxic"], r["_r"]) for r in picked], "doc_id long, toxic int, _r int")
+    texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["text", "toxic"])
+    again = F.row_number().over(Window.partitionBy("toxic").orderBy("_r", "text"))
+    sample = texts.withColumn("_r", again).where(F.col("_r") <= rows).orderBy("toxic", "_r").select("text", "toxic").collect()
+    if not sample:
+        return Model(np.zeros(1 << BITS), PRIOR)
     data, off = text_buffer(pa.array([r["text"] for r in sample], pa.large_string()))
     sents, buckets, rows_of, so_far = [], [], [], 0
     for lo, hi in row_blocks(off):
