@@ -15,15 +15,24 @@ from pyspark.sql import functions as F
 from strandline.llm.common import ascii_lower, materialize
 
 WINDOW = 10
-#: A word of a text that is in lower case.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words of a text whose case is kept: all ASCII signs but letters and digits.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Most rows of a test-side table that is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    """Words of a text as an array; a null text has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words of a text as an array, in their case; a null text has none."""
+    w = F.split(F.coalesce(text, F.lit("")), SEPARATORS)
+    before = (F.get(w, F.lit(0)) == "").cast("int")
+    after = ((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == "")).cast("int")
+    return F.slice(w, before + 1, F.size(w) - before - after)
+
+
+def folded(word: Column) -> Column:
+    """A term: lower case as the JVM has it, which is quicker than that of ASCII letters alone. Words that are
+    equal in ASCII lower case have equal terms, as no letter's lower case depends on its neighbours here."""
+    return F.lower(F.replace(word, F.lit("\u03a3"), F.lit("\u03c3")))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -32,7 +41,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, words: runs of `size` words of each item; an item of fewer (but not none) is one window."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = items.select("item_id", words(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") > 0)
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
     return w.select("item_id", F.explode(F.transform(at, lambda i: F.slice(F.col("w"), i, size))).alias("words"))
 
@@ -46,9 +55,9 @@ def postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> Dat
     """
     w = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     if n_terms <= BROADCAST_ROWS:
-        hit = w.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("at", "term")).join(F.broadcast(terms), "term")
+        hit = w.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("at", "word")).withColumn("term", folded(F.col("word"))).join(F.broadcast(terms), "term")
     else:
-        bare = w.select("doc_id", "text_key", F.posexplode_outer("w").alias("at", "term")).join(terms, "term")
+        bare = w.select("doc_id", "text_key", F.posexplode_outer("w").alias("at", "word")).withColumn("term", folded(F.col("word"))).join(terms, "term")
         once = w.dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
         hit = bare.join(once, bare["doc_id"].eqNullSafe(once["_id"]) & (bare["text_key"] == once["_key"]))
     first = F.greatest(F.lit(0), F.col("at") - reach)
@@ -63,12 +72,12 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, within: int |
     """
     each = materialize(windows(items.where(F.col("item_id").isNotNull()), size), "dc-windows")
     distinct = each.select("words").distinct()
-    terms = distinct.select(F.explode("words").alias("term")).distinct()
+    terms = distinct.select(F.explode("words").alias("word")).select(folded(F.col("word")).alias("term")).distinct()
     n_terms = terms.count()
-    counted = docs.select(F.explode_outer(words(F.col("text"))).alias("term")).join(small(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = docs.select(F.explode_outer(words(F.col("text"))).alias("word")).select(folded(F.col("word")).alias("term")).join(small(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(counted, "dc-counts")
     # A window with a term that no document has cannot occur; the others keep their two rarest terms.
-    spread = distinct.select("words", F.posexplode("words").alias("offset", "term")).join(counted, "term", "left")
+    spread = distinct.select("words", F.posexplode("words").alias("offset", "word")).select("words", "offset", folded(F.col("word")).alias("term")).join(counted, "term", "left")
     rank = F.row_number().over(Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "term", "offset"))
     ranked = spread.withColumn("rank", rank).withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("words")))
     pivots = ranked.where((F.col("least") > 0) & (F.col("rank") <= 2)).groupBy("words").agg(
@@ -84,11 +93,12 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, within: int |
     if within is None:
         start = local - F.col("offset")
         # The second list, moved by its offset, meets the first where the same start has the second term.
-        met = (start >= 0) & (F.col("term2").isNull() | F.get(F.col("around"), start + F.col("offset2")).eqNullSafe(F.col("term2")))
-        exact = F.when(met, F.slice("around", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words")).otherwise(False)
+        met = (start >= 0) & (F.col("term2").isNull() | folded(F.get(F.col("around"), start + F.col("offset2"))).eqNullSafe(F.col("term2")))
+        phrase = ascii_lower(F.array_join(F.slice("around", F.greatest(start, F.lit(0)) + 1, F.size("words")), " "))
+        exact = F.when(met, phrase == F.array_join("words", " ")).otherwise(False)
         hits = found.where(exact).select("doc_id", "text_key", "words", (F.col("from_") + start).alias("start"), F.size("words").alias("length"))
     else:
-        near = F.filter(F.sequence(F.lit(0), F.size("around") - 1), lambda i: (F.get(F.col("around"), i) == F.col("term2")) & (i != local) & (F.abs(i - local) <= within))
+        near = F.filter(F.sequence(F.lit(0), F.size("around") - 1), lambda i: (folded(F.get(F.col("around"), i)) == F.col("term2")) & (i != local) & (F.abs(i - local) <= within))
         hits = found.where(F.col("term2").isNotNull()).select("doc_id", "text_key", "words", "at", "from_", F.explode(near).alias("i"))
         other = F.col("from_") + F.col("i")
         hits = hits.select("doc_id", "text_key", "words", F.least("at", other).alias("start"), (F.abs(F.col("at") - other) + 1).alias("length"))
