@@ -57,6 +57,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.langmodel import score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs.select("doc_id", "text"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.idstore import encode_documents
 
@@ -90,5 +97,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op5_lm_scores, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing)}
 ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
