@@ -186,12 +186,17 @@ def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float
     """Likely pairs between components that meet in a bucket: a, b (a < b), y (which of them is of the smaller
     part), main (the other's component), estimate. rest: key, node, component of open buckets.
 
-    In a bucket the component with most members is the main one. All members of the others are compared
-    with all of it, in blocks, and with each other where they share the bucket.
+    In a bucket the component with most members there is the main one. All members of the others are
+    compared with all of it, in blocks, and with each other where they share the bucket.
     """
     in_key = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = in_key.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     meet = in_key.join(main, "key").where("component <> main").select("main", F.col("component").alias("other")).distinct()
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = meet.join(sizes.toDF("main", "n_main"), "main").join(sizes.toDF("other", "n_other"), "other")
+    # The smaller one's members go to the larger one's blocks.
+    swap = F.struct(F.col("n_main").alias("n"), F.col("main").alias("c")) < F.struct(F.col("n_other").alias("n"), F.col("other").alias("c"))
+    meet = sized.select(F.when(swap, F.col("other")).otherwise(F.col("main")).alias("main"), F.when(swap, F.col("main")).otherwise(F.col("other")).alias("other")).distinct()
     full = members.join(nodes.select("node", "n_shingles", "regs"), "node")
     entry = F.struct("node", "n_shingles", "regs", "component")
     xs = full.join(meet.select(F.col("main").alias("component")).distinct(), "component", "left_semi").withColumn("main", F.col("component"))
