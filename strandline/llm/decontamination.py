@@ -29,9 +29,15 @@ def words(text: Column) -> Column:
     return F.slice(w, before + 1, F.size(w) - before - after)
 
 
+def term(word: Column) -> Column:
+    """The 64-bit hash under which a word is listed; that two words share one costs time, not truth, as whole
+    phrases are compared."""
+    return F.xxhash64(folded(word))
+
+
 def folded(word: Column) -> Column:
-    """A term: lower case as the JVM has it, which is quicker than that of ASCII letters alone. Words that are
-    equal in ASCII lower case have equal terms, as no letter's lower case depends on its neighbours here."""
+    """Lower case as the JVM has it, which is quicker than that of ASCII letters alone. Words that are
+    equal in ASCII lower case are equal here too, as no letter's lower case depends on its neighbours here."""
     return F.lower(F.replace(word, F.lit("\u03a3"), F.lit("\u03c3")))
 
 
@@ -47,7 +53,8 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> DataFrame:
-    """The index over n_terms terms: term, doc_id, text_key, at, around (`reach` words on both sides), from_.
+    """The index over n_terms terms (their hashes): term, doc_id, text_key, at, around (`reach` words on both
+    sides), from_.
 
     at counts words from 0; from_ is the place of the first word in `around`. Built from whole texts. Few
     terms are broadcast, and the words around a place are cut in the same pass; many are joined by a
@@ -55,9 +62,9 @@ def postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> Dat
     """
     w = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     if n_terms <= BROADCAST_ROWS:
-        hit = w.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("at", "word")).withColumn("term", folded(F.col("word"))).join(F.broadcast(terms), "term")
+        hit = w.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("at", "word")).select("doc_id", "text_key", "w", "at", term(F.col("word")).alias("term")).join(F.broadcast(terms), "term")
     else:
-        bare = w.select("doc_id", "text_key", F.posexplode_outer("w").alias("at", "word")).withColumn("term", folded(F.col("word"))).join(terms, "term")
+        bare = w.select("doc_id", "text_key", F.posexplode_outer("w").alias("at", "word")).select("doc_id", "text_key", "at", term(F.col("word")).alias("term")).join(terms, "term")
         once = w.dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
         hit = bare.join(once, bare["doc_id"].eqNullSafe(once["_id"]) & (bare["text_key"] == once["_key"]))
     first = F.greatest(F.lit(0), F.col("at") - reach)
@@ -72,12 +79,12 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, within: int |
     """
     each = materialize(windows(items.where(F.col("item_id").isNotNull()), size), "dc-windows")
     distinct = each.select("words").distinct()
-    terms = distinct.select(F.explode("words").alias("word")).select(folded(F.col("word")).alias("term")).distinct()
+    terms = distinct.select(F.explode("words").alias("word")).select(term(F.col("word")).alias("term")).distinct()
     n_terms = terms.count()
-    counted = docs.select(F.explode_outer(words(F.col("text"))).alias("word")).select(folded(F.col("word")).alias("term")).join(small(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = docs.select(F.explode_outer(words(F.col("text"))).alias("word")).select(term(F.col("word")).alias("term")).join(small(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(counted, "dc-counts")
     # A window with a term that no document has cannot occur; the others keep their two rarest terms.
-    spread = distinct.select("words", F.posexplode("words").alias("offset", "word")).select("words", "offset", folded(F.col("word")).alias("term")).join(counted, "term", "left")
+    spread = distinct.select("words", F.posexplode("words").alias("offset", "word")).select("words", "offset", term(F.col("word")).alias("term")).join(counted, "term", "left")
     rank = F.row_number().over(Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "term", "offset"))
     ranked = spread.withColumn("rank", rank).withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("words")))
     pivots = ranked.where((F.col("least") > 0) & (F.col("rank") <= 2)).groupBy("words").agg(
@@ -87,18 +94,18 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, within: int |
     n_pivots = pivots.count()
     needed = pivots.select("term").distinct()
     reach = size - 1 if within is None else max(size - 1, within)
-    index = postings(docs, needed, n_pivots, reach)
+    index = materialize(postings(docs, needed, n_pivots, reach), "dc-postings")
     found = index.join(small(pivots, n_pivots), "term")
     local = F.col("at") - F.col("from_")  # the term's place in `around`, from 0
     if within is None:
         start = local - F.col("offset")
         # The second list, moved by its offset, meets the first where the same start has the second term.
-        met = (start >= 0) & (F.col("term2").isNull() | folded(F.get(F.col("around"), start + F.col("offset2"))).eqNullSafe(F.col("term2")))
+        met = (start >= 0) & (F.col("term2").isNull() | term(F.get(F.col("around"), start + F.col("offset2"))).eqNullSafe(F.col("term2")))
         phrase = ascii_lower(F.array_join(F.slice("around", F.greatest(start, F.lit(0)) + 1, F.size("words")), " "))
         exact = F.when(met, phrase == F.array_join("words", " ")).otherwise(False)
         hits = found.where(exact).select("doc_id", "text_key", "words", (F.col("from_") + start).alias("start"), F.size("words").alias("length"))
     else:
-        near = F.filter(F.sequence(F.lit(0), F.size("around") - 1), lambda i: (folded(F.get(F.col("around"), i)) == F.col("term2")) & (i != local) & (F.abs(i - local) <= within))
+        near = F.filter(F.sequence(F.lit(0), F.size("around") - 1), lambda i: (term(F.get(F.col("around"), i)) == F.col("term2")) & (i != local) & (F.abs(i - local) <= within))
         hits = found.where(F.col("term2").isNotNull()).select("doc_id", "text_key", "words", "at", "from_", F.explode(near).alias("i"))
         other = F.col("from_") + F.col("i")
         hits = hits.select("doc_id", "text_key", "words", F.least("at", other).alias("start"), (F.abs(F.col("at") - other) + 1).alias("length"))
