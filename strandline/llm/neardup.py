@@ -33,7 +33,7 @@ BANDS, BAND = 80, 7
 #: Parameters of the sketch: base, rate, largest register.
 B, RATE, TOP = 1.001, 20.0, 65_534
 #: How many standard errors the estimate may lie below the threshold.
-SIGMAS = 4.5
+SIGMAS = 4.0
 #: Nodes whose registers are compared at once, parts that a component's blocks are dealt to, and likeliest pairs verified first.
 BLOCK, DEAL, FIRST = 128, 8, 8
 #: Most ids that are broadcast to pick texts; above, the join shuffles.
@@ -207,7 +207,8 @@ def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float
         return df.join(sizes, "main").groupBy("main", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("block")).agg(F.collect_list(entry).alias(name)).withColumn("deal", F.pmod("block", F.lit(DEAL)).cast("int"))
 
     left = blocks(xs, "xs")
-    right = blocks(ys, "ys").drop("deal", "block").withColumn("deal", F.explode(F.array(*map(F.lit, range(DEAL)))))
+    dealt = left.groupBy("main").agg(F.max("deal").alias("most"))
+    right = blocks(ys, "ys").drop("deal", "block").join(dealt, "main").withColumn("deal", F.explode(F.sequence(F.lit(0), "most"))).drop("most")
     both = left.drop("block").join(right, ["main", "deal"]).select("main", "xs", "ys")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +229,7 @@ def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float
                         other = np.full(len(near), id2[k])
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id1[near], other)), pa.array(np.maximum(id1[near], other)), pa.array(other), pa.array(np.full(len(near), main)), pa.array(j)], ["a", "b", "y", "main", "estimate"])
 
-    across = both.repartition("main", F.xxhash64("xs")).mapInArrow(kernel, "a long, b long, y long, main long, estimate double")
+    across = both.mapInArrow(kernel, "a long, b long, y long, main long, estimate double")
     side = rest.join(main, "key").where("component <> main").select("key", "node", "component")
     x, y = side.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), side.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = _likely(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct(), nodes, least)
