@@ -60,12 +60,44 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: later steps survive lost executors without recomputing it."""
+def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: later steps survive lost executors without recomputing it.
+
+    parts: most files, for tables that are small beside the corpus.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_written: list[str] = []
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() gave, once all that is made of it is stored itself."""
+    for t in tables:
+        found = _paths.pop(id(t), None)
+        if found:
+            _written.remove(found[1])
+            _delete(t.sparkSession, found[1])
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all tables of materialize() so far: between stages, when what they led to is stored elsewhere."""
+    for path in _written:
+        _delete(spark, path)
+    _written.clear()
+    _paths.clear()
 
 
 def ascii_lower(c: Column) -> Column:

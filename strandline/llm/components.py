@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import discard, materialize
+
+#: Most files of a table of edges.
+PARTS = 64
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -15,7 +18,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     and itself do. When nothing changes every edge leads from a node to its component's smallest. Each
     round is written to the shared folder; a node with very many links is a skewed join key, not a task.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc")
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc", PARTS)
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
@@ -23,11 +26,12 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        large = materialize(large, "cc-large")
+        large = materialize(large, "cc-large", PARTS)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
-        now = materialize(small, "cc")
+        old, now = now, materialize(small, "cc", PARTS)
+        discard(old, large)
         before, state = state, _state(now)
         if state == before:
             break

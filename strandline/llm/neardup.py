@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, prepare, row_blocks, text_buffer
+from strandline.llm.common import discard, materialize, prepare, row_blocks, text_buffer
 from strandline.llm.components import components
 from strandline.llm.wordhash import SPACE, TO_LOWER, U64, mix, span_hashes, word_spans
 
@@ -36,6 +36,8 @@ B, RATE, TOP = 1.001, 20.0, 65_534
 SIGMAS = 4.0
 #: Nodes whose registers are compared at once, parts that a component's blocks are dealt to, and likeliest pairs verified first.
 BLOCK, DEAL, FIRST = 128, 8, 8
+#: Most files of a table that is small beside the texts.
+PARTS = 64
 #: Most ids that are broadcast to pick texts; above, the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -263,46 +265,54 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at least the similarity. Null, empty and
-    blank texts have empty sets and no links. Rows that share an id are one node. A null id links with
+    blank texts have empty sets and no links. Rows that share an id are linked. A null id links with
     nothing: its component_id is null and it is kept. No rows give no rows.
     """
     num, den = threshold
     least = num / den
     sk = materialize(sketch(docs), "nd-sketch")
-    keyed = sk.where(F.col("fp1").isNotNull() & F.col("doc_id").isNotNull())
-    sets = materialize(keyed.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node")), "nd-sets")
-    nodes = keyed.join(sets.withColumnRenamed("node", "doc_id"), ["fp1", "fp2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"]).withColumnRenamed("doc_id", "node")
-    nodes = materialize(nodes.select("node", "n_shingles", "regs"), "nd-nodes")
-    same = keyed.join(sets, ["fp1", "fp2", "n_shingles"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    ids = materialize(sk.select("doc_id", "n_shingles", "fp1", "fp2"), "nd-ids", PARTS)
+    set_key = ["fp1", "fp2", "n_shingles"]
+    keyed = ids.where(F.col("fp1").isNotNull() & F.col("doc_id").isNotNull())
+    sets = materialize(keyed.groupBy(*set_key).agg(F.min("doc_id").alias("node")), "nd-sets", PARTS)
+    first_of = sets.withColumnRenamed("node", "doc_id")
+    nodes = materialize(sk.join(first_of, [*set_key, "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"]).select(F.col("doc_id").alias("node"), "n_shingles", "regs"), "nd-nodes")
+    discard(sk)
+    # Each document's set has a node. An id with texts of several sets links their nodes.
+    assigned = keyed.join(sets, set_key).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    assigned = materialize(assigned, "nd-assigned", PARTS)
 
     order = Window.partitionBy("key").orderBy("node")
     buckets = bucket_rows(nodes).withColumns({"centre": F.first("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_1": F.lead("node", 1).over(order), "_at": F.row_number().over(order), "_2": F.lead("node", 2).over(order)})
     buckets = buckets.where("_at > 1 or _1 is not null").withColumn("many", F.expr("_at > 2 or (_at = 2 and _1 is not null) or (_at = 1 and _2 is not null)"))
-    buckets = materialize(buckets.select("key", "node", "centre", "many"), "nd-buckets")
-    done = materialize(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "nd-pairs")
-    links = _confirm(materialize(_likely(done, nodes, least), "nd-likely"), docs, num, den)
+    buckets = materialize(buckets.select("key", "node", "centre", "many"), "nd-buckets", PARTS)
+    done = materialize(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "nd-pairs", PARTS)
+    likely = materialize(_likely(done, nodes, least), "nd-likely", PARTS)
+    links = _confirm(likely, docs, num, den).unionByName(assigned.where("a <> b").select("a", "b"))
     found = components(links)
 
-    members = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    members = materialize(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "nd-members", PARTS)
     many = buckets.where("many").select("key", "node").join(members, "node")
     open_keys = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(many.join(open_keys, "key", "left_semi").select("key", "node", "component"), "nd-open")
-    more = materialize(_between(rest, materialize(members, "nd-members"), nodes, least).join(done, ["a", "b"], "left_anti"), "nd-more")
+    rest = materialize(many.join(open_keys, "key", "left_semi").select("key", "node", "component"), "nd-open", PARTS)
+    more = materialize(_between(rest, members, nodes, least).join(done, ["a", "b"], "left_anti"), "nd-more", PARTS)
+    discard(nodes, buckets, rest, likely, done)
     rank = F.row_number().over(Window.partitionBy("y", "main").orderBy(F.desc("estimate"), "a", "b"))
-    first = materialize(more.withColumn("_r", rank).where(F.col("_r") <= FIRST).select("a", "b").distinct(), "nd-first")
-    if not first.isEmpty():
-        links = links.unionByName(_confirm(first, docs, num, den))
+    first = materialize(more.withColumn("_r", rank).where(F.col("_r") <= FIRST).select("a", "b").distinct(), "nd-first", PARTS)
+    new = _confirm(first, docs, num, den)
+    if not new.isEmpty():
+        links = links.unionByName(new)
         found = components(links)
-        apart = more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti").join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-        apart = materialize(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "nd-last")
-        links = links.unionByName(_confirm(apart, docs, num, den))
-
-    all_links = links.unionByName(same.select("a", "b"))
-    found = components(all_links)
-    ids = sk.select("doc_id", "n_shingles")
-    out = ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    apart = more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti").join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    apart = materialize(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "nd-last", PARTS)
+    new = _confirm(apart, docs, num, den)
+    if not new.isEmpty():
+        found = components(links.unionByName(new))
+
+    of_doc = assigned.join(found.withColumnRenamed("node", "a"), "a", "left").select("doc_id", F.coalesce("component", "a").alias("component"))
+    out = ids.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    return materialize(_verified(pairs, docs, num, den), "nd-links")
+    return materialize(_verified(pairs, docs, num, den), "nd-links", PARTS)
