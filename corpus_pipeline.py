@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, table
+from strandline.llm.common import discard_all, materialize, shared_path, table
 from strandline.llm.decontamination import decontaminate
 from strandline.llm.langid import fit, identify, rejected
 from strandline.llm.neardup import BROADCAST_IDS, near_duplicates
@@ -19,12 +19,14 @@ from strandline.llm.privacy import redact
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows with a language; texts whose language stays unknown or tied go."""
+    discard_all(spark)  # what earlier stages left; their results are stored
     named = identify(docs, fit(docs.select("text", "lang")))
     return named.where(~rejected()).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
+    discard_all(spark)  # what earlier stages left; their results are stored
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "dedup-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
@@ -33,18 +35,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
+    discard_all(spark)  # what earlier stages left; their results are stored
     marked = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return marked.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is put as <KIND>; n_chars follows."""
+    discard_all(spark)  # what earlier stages left; their results are stored
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in as few sequences as can be."""
+    discard_all(spark)  # what earlier stages left; their results are stored
     return pack_documents(docs.select("doc_id", "text"))
 
 
@@ -57,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out, path = stage(spark, docs, sf_dir), shared_path(spark, f"pipeline-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
