@@ -240,7 +240,7 @@ def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float
 
 def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b; stored) whose whole texts' sets have the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
