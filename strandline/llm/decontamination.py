@@ -17,6 +17,7 @@ from strandline.llm.common import ascii_lower, materialize
 WINDOW = 10
 #: What parts words of a text whose case is kept: all ASCII signs but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Most rows of a test-side table that is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -118,8 +119,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
     A word is hit inside any occurrence of any item window. Null and empty texts have no words; equal rows
     have equal results. items_sha256 is that of the item ids as strings, sorted and joined by commas (of the
-    empty string where no item occurs). Without items nothing is hit.
+    empty string where no item occurs). Without items nothing is hit. Columns of docs with the name of a
+    result give way to it.
     """
+    docs = docs.drop(*RESULTS)
     keyed = docs.select("doc_id", "text")
     found = matches(keyed, items, size)
     places = found.select("doc_id", "text_key", "start", "length").distinct()

@@ -79,10 +79,12 @@ def identify(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
     """docs (with text) plus lang_pred, lang_score (0 to 1) and lang_margin (bytes; null for `und`).
 
     `und`, with score 0: null texts, texts without a letter, and all texts where no language was learned.
-    Ties go to the language that was more frequent in training. Other columns stay as they are.
+    Ties go to the language that was more frequent in training. Other columns stay as they are,
+    but for those with the name of a result.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(contents)
+    docs = docs.drop("lang_pred", "lang_score", "lang_margin")
     names = docs.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,6 +129,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     texts without words score 0."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    docs = docs.drop("toxic_score", "worst_sentence")
     names = docs.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
