@@ -318,7 +318,7 @@ def kmer_distance(spark, sf):
     return distances.kmer_distance(dna(spark, sf), DNA).withColumn("d", F.round("d", 6))
 
 
-@query(_sql(_FAMILY, "SELECT aln_id, round(1.0, 6) AS sp, round(1.0, 6) AS tc FROM family GROUP BY aln_id"))
+@query(_sql(_FAMILY, "SELECT aln_id, CAST(1 AS DOUBLE) AS sp, CAST(1 AS DOUBLE) AS tc FROM family GROUP BY aln_id"))
 def accuracy_self(spark, sf):
     f = family(spark, sf)
     return stats.accuracy(f, f).select("aln_id", F.round("sp", 6).alias("sp"), F.round("tc", 6).alias("tc"))

@@ -36,7 +36,7 @@ def _joined(rows: DataFrame, line: Column, between: str = "") -> DataFrame:
 def require_rectangular(seqs: DataFrame) -> DataFrame:
     """The same rows; the query fails where an alignment's rows differ in length."""
     bad = F.raise_error(F.concat(F.lit("rows of unequal length in "), "aln_id"))
-    ok = shape(seqs).select("aln_id", F.when(F.col("aligned"), F.col("width")).otherwise(bad.cast("bigint")).alias("width"), "rows")
+    ok = shape(seqs).where(F.when(F.col("aligned"), F.lit(True)).otherwise(bad.cast("boolean"))).select("aln_id", "width", "rows")
     return seqs.join(ok, "aln_id")
 
 
