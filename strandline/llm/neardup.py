@@ -188,21 +188,32 @@ def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float
     """Likely pairs between components that meet in a bucket: a, b (a < b), y (which of them is of the smaller
     part), main (the other's component), estimate. rest: key, node, component of open buckets.
 
-    In a bucket the component with most members there is the main one. All members of the others are
-    compared with all of it, in blocks, and with each other where they share the bucket.
+    In a bucket the component with most members there is the main one. Where two components meet, all
+    members of the smaller are compared with all of the larger, in blocks (group `m` and the larger one), if
+    one of them is the bucket's main one or large; small ones that meet beside the same main one are
+    compared among each other (group `g` and the main one).
     """
     in_key = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = in_key.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    meet = in_key.join(main, "key").where("component <> main").select("main", F.col("component").alias("other")).distinct()
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = meet.join(sizes.toDF("main", "n_main"), "main").join(sizes.toDF("other", "n_other"), "other")
-    # The smaller one's members go to the larger one's blocks.
-    swap = F.struct(F.col("n_main").alias("n"), F.col("main").alias("c")) < F.struct(F.col("n_other").alias("n"), F.col("other").alias("c"))
-    meet = sized.select(F.when(swap, F.col("other")).otherwise(F.col("main")).alias("main"), F.when(swap, F.col("main")).otherwise(F.col("other")).alias("other")).distinct()
+    sized = materialize(in_key.join(main, "key").join(sizes, "component").select("key", "main", "component", "size"), "nd-met", PARTS)
+    side = sized.where("component <> main")
+    mains = sized.where("component = main").select("key", F.col("component").alias("c2"), F.col("size").alias("s2"))
+    large = side.where(F.col("size") > BLOCK).select("key", F.col("component").alias("c2"), F.col("size").alias("s2"))
+    met = side.join(mains.unionByName(large), "key").where("component <> c2").select("component", "size", "c2", "s2").distinct()
+    swap = F.struct(F.col("s2").alias("n"), F.col("c2").alias("c")) < F.struct(F.col("size").alias("n"), F.col("component").alias("c"))
+    meet = met.select(F.when(swap, F.col("component")).otherwise(F.col("c2")).alias("main"), F.when(swap, F.col("c2")).otherwise(F.col("component")).alias("other")).distinct()
     full = members.join(nodes.select("node", "n_shingles", "regs"), "node")
     entry = F.struct("node", "n_shingles", "regs", "component")
+    by_main = F.concat(F.lit("m"), F.col("main").cast("string"))
     xs = full.join(meet.select(F.col("main").alias("component")).distinct(), "component", "left_semi").withColumn("main", F.col("component"))
     ys = meet.join(full.withColumnRenamed("component", "other"), "other").withColumnRenamed("other", "component")
+    small = side.where(F.col("size") <= BLOCK).select("main", "component").distinct()
+    among = small.join(full, "component")
+    columns = ("main", "node", "n_shingles", "regs", "component")
+    xs, ys, among = (d.select(*columns) for d in (xs, ys, among))
+    among = among.withColumn("main", F.concat(F.lit("g"), F.col("main").cast("string")))
+    xs, ys = (d.withColumn("main", by_main).unionByName(among) for d in (xs, ys))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         sizes = df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
@@ -222,8 +233,9 @@ def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float
                 r1, r2 = _matrix([e["regs"] for e in one]), _matrix([e["regs"] for e in two])
                 n1, n2 = (np.array([e["n_shingles"] for e in es], float) for es in (one, two))
                 id1, id2 = (np.array([e["node"] for e in es], np.int64) for es in (one, two))
+                c1, c2 = (np.array([e["component"] for e in es], np.int64) for es in (one, two))
                 for k in range(len(two)):
-                    near = np.flatnonzero(((r1 == r2[k]).mean(axis=1) >= low - 0.05) & (np.minimum(n1, n2[k]) >= least * np.maximum(n1, n2[k])))
+                    near = np.flatnonzero(((r1 == r2[k]).mean(axis=1) >= low - 0.05) & (np.minimum(n1, n2[k]) >= least * np.maximum(n1, n2[k])) & (c1 != c2[k]) & ((id1 < id2[k]) | (main[0] == "m")))
                     if len(near):
                         j = joint_estimate(r1[near], np.broadcast_to(r2[k], (len(near), r2.shape[1])), n1[near], np.full(len(near), n2[k]))
                         near, j = near[j >= low], j[j >= low]
@@ -231,11 +243,7 @@ def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float
                         other = np.full(len(near), id2[k])
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id1[near], other)), pa.array(np.maximum(id1[near], other)), pa.array(other), pa.array(np.full(len(near), main)), pa.array(j)], ["a", "b", "y", "main", "estimate"])
 
-    across = both.mapInArrow(kernel, "a long, b long, y long, main long, estimate double")
-    side = rest.join(main, "key").where("component <> main").select("key", "node", "component")
-    x, y = side.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), side.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    apart = _likely(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct(), nodes, least)
-    return across.unionByName(apart.select("a", "b", F.col("b").alias("y"), F.col("a").alias("main"), F.lit(1.0).alias("estimate")))
+    return both.mapInArrow(kernel, "a long, b long, y long, main string, estimate double")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
