@@ -8,7 +8,7 @@ import numpy as np
 
 from strandline.alphabet import GAPS, GROUPS, KMER, PROTEIN
 from strandline.kernels import matrices, trees
-from strandline.kernels.pairwise import _fill, _trace
+from strandline.kernels.pairwise import path
 
 _REFERENCE = 5.8  # mean diagonal of BLOSUM62; penalties are scaled to a table by it
 
@@ -103,8 +103,7 @@ def align_profiles(a: Profile, b: Profile, m: matrices.Matrix, p: Params) -> lis
 
     vo, ve = arrays(b)
     ho, he = arrays(a)
-    M, X, Y, cm, cx, cy = _fill(S.astype(np.float32), vo, ve, ho, he)
-    return _trace(a.width, b.width, int(np.argmax([M[-1, -1], X[-1, -1], Y[-1, -1]])), cm, cx, cy)
+    return path(S, vo, ve, ho, he)
 
 
 def merge(a: Profile, b: Profile, ops: list[int]) -> Profile:

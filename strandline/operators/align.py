@@ -28,9 +28,8 @@ def pairwise_align(seqs: DataFrame, alphabet: str, mode: str = "global", open: f
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out = []
-            for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True):
-                out.append(pairwise.global_align(a, b, table, open, extend, terminal) if mode == "global" else pairwise.local_align(a, b, table, open, extend)[:3])
+            both = list(zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True))
+            out = pairwise.global_pairs(both, table, open, extend, terminal) if mode == "global" else pairwise.local_pairs(both, table, open, extend)
             cols = [pa.array([o[k] for o in out], pa.float64() if k == 2 else pa.string()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([x.column("aln_id"), x.column("i"), x.column("j"), *cols], ["aln_id", "i", "j", "row_i", "row_j", "score"])
 
