@@ -53,9 +53,36 @@ def fastq(seqs: DataFrame) -> DataFrame:
     return _joined(seqs, F.concat(F.lit("@"), S.header(F.col("id"), description), F.lit("\n"), "residues", F.lit("\n+\n"), q, F.lit("\n")))
 
 
-def phylip(seqs: DataFrame, block_width: int = 60) -> DataFrame:
-    """Relaxed: names padded to the longest, wrapped rows continue after blanks."""
-    r = require_rectangular(seqs).withColumn("_n", F.max(F.length("id")).over(Window.partitionBy("aln_id")) + 1)
+def strict_names(ids: list[str]) -> list[str]:
+    """Names of at most ten characters, each once: a taken one ends in 2, 3 and so on."""
+    seen: set[str] = set()
+    out = []
+    for name in ids:
+        new, k = name[:10], 1
+        while new in seen:
+            k += 1
+            new = name[: 10 - len(str(k))] + str(k)
+        seen.add(new)
+        out.append(new)
+    return out
+
+
+def _with_strict_names(seqs: DataFrame) -> DataFrame:
+    """The names of an alignment depend on each other in row order: one task takes its names (no residues)."""
+    import pandas as pd
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_idx")
+        return pdf.assign(id=strict_names(list(pdf["id"])))
+
+    names = seqs.select("aln_id", "row_idx", "id").groupBy("aln_id").applyInPandas(kernel, "aln_id string, row_idx int, id string")
+    return seqs.drop("id").join(names, ["aln_id", "row_idx"])
+
+
+def phylip(seqs: DataFrame, block_width: int = 60, strict: bool = False) -> DataFrame:
+    """Relaxed: names padded to the longest, wrapped rows continue after blanks. Strict: ten-column names."""
+    r = require_rectangular(_with_strict_names(seqs) if strict else seqs)
+    r = r.withColumn("_n", F.lit(10) if strict else F.max(F.length("id")).over(Window.partitionBy("aln_id")) + 1)
     lines = wrap(F.col("residues"), block_width or 60)
     body = F.concat(F.rpad("id", F.col("_n"), F.lit(" ")), F.array_join(F.transform(lines, lambda x, i: F.when(i > 0, F.concat(F.lit("\n"), F.repeat(F.lit(" "), F.col("_n")), x)).otherwise(x)), ""), F.lit("\n"))
     out = _joined(r.withColumn("_l", body), F.col("_l"))
@@ -102,11 +129,21 @@ def render(seqs: DataFrame, format: str, alphabet: str = "protein", **options) -
     by = {"fasta": fasta, "fastq": fastq, "phylip-relaxed": phylip, "clustal": clustal, "stockholm": stockholm}
     if format == "nexus":
         return nexus(seqs, alphabet)
+    if format == "phylip":
+        return phylip(seqs, strict=True, **options)
     if format not in by:
         raise FormatError(f"can't write {format}")
     return by[format](seqs, **options)
 
 
 def write(seqs: DataFrame, path: str, format: str, **options) -> None:
-    """One text row for each alignment in a directory of its own; Spark's commit makes it all or nothing."""
-    render(rows_to_write(seqs), format, **options).write.partitionBy("aln_id").text(path)
+    """One text row for each alignment in a directory of its own; Spark's commit makes it all or nothing.
+
+    pad=True: rows of unequal length are padded first, as formats of matrices need it.
+    """
+    rows = rows_to_write(seqs)
+    if options.pop("pad", False):
+        from strandline.operators.edits import pad_rows
+
+        rows = pad_rows(rows)
+    render(rows, format, **options).write.partitionBy("aln_id").text(path)

@@ -69,6 +69,13 @@ def test_sniffing():
     assert (P.format_of_path("/x/a.fa.txt"), P.format_of_path("b.PHY"), P.format_of_path("c")) == ("fasta", "phylip", None)
 
 
+def test_strict_names(spark):
+    assert writers.strict_names(["Drosophila one", "Drosophila two", "Drosophila", "x"]) == ["Drosophila", "Drosophil2", "Drosophil3", "x"]
+    d = spark.createDataFrame([("a", 0, "Drosophila one", "ACG"), ("a", 1, "Drosophila two", "A-G")], "aln_id string, row_idx int, id string, residues string")
+    text = writers.render(d, "phylip").first()["text"]
+    assert text == "2 3\nDrosophilaACG\nDrosophil2A-G\n" and [r.id for r in P.parse(text.encode(), "phylip").records] == ["Drosophila", "Drosophil2"]
+
+
 def test_files_and_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
