@@ -169,4 +169,4 @@ def residue_class(c: Column, alphabet: str) -> Column:
 
 
 def quality_class(q: Column) -> Column:
-    return F.when(q > 0.9, "high").when(q > 0.6, "middle").otherwise("low")
+    return F.when(q > F.lit(0.9).cast("float"), "high").when(q > F.lit(0.6).cast("float"), "middle").otherwise("low")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.alphabet import PROTEIN
+from strandline.functions import views
 from strandline.operators import align, distances, edits, stats
 from strandline.plans.history import History
-from strandline.queries import _FAMILY, _KEYS, _TEXTS, _sql, family, gapped, query, texts
+from strandline.queries import _FAMILY, _KEYS, _STATS, _TEXTS, _sql, family, gapped, query, texts
 from strandline.sources import reader, writers
 
 _WRAP = "CASE WHEN length(residues) > 0 THEN array_to_string(list_transform(range(0, (length(residues) + 59) // 60), lambda i: substr(residues, i * 60 + 1, 60)), {sep}) ELSE '' END"
@@ -75,6 +76,41 @@ def edit_undo_roundtrip(spark, sf):
     return h.current.select(*_KEYS)
 
 
+@query(_sql(_TEXTS, "SELECT aln_id, row_idx, substr(residues, 11, 30) AS residues FROM texts WHERE row_idx >= 2 AND row_idx < 9"))
+def viewport(spark, sf):
+    return views.viewport(texts(spark, sf), (2, 9), (10, 40)).select(*_KEYS)
+
+
+@query(_sql(_TEXTS, "SELECT aln_id, row_idx, CASE WHEN length(residues) >= 25 THEN substr(residues, 25, 1) ELSE '-' END AS res FROM texts"))
+def column_at(spark, sf):
+    return views.column_at(texts(spark, sf), 25)
+
+
+@query(
+    _sql(
+        _FAMILY + "," + _STATS,
+        """, con AS (SELECT aln_id, col, CASE WHEN occupancy = 0 OR CAST(occupancy AS FLOAT) / 16 < CAST(0.05 AS FLOAT) THEN '-' WHEN majority IS NOT NULL AND CAST(majority_count AS FLOAT) / CAST(occupancy AS FLOAT) >= CAST(0.5 AS FLOAT) THEN majority ELSE 'X' END AS c FROM cs)
+SELECT aln_id, row_idx, string_agg(CASE WHEN res = c AND res <> '-' THEN '.' ELSE res END, '' ORDER BY col) AS residues FROM fc JOIN con USING (aln_id, col) GROUP BY ALL""",
+    )
+)
+def dots_view(spark, sf):
+    f = family(spark, sf)
+    return views.dots(f, stats.consensus(f, PROTEIN)).select(*_KEYS)
+
+
+@query(_sql(_FAMILY + "," + _STATS, "SELECT aln_id, col, CASE WHEN q > CAST(0.9 AS FLOAT) THEN 'high' WHEN q > CAST(0.6 AS FLOAT) THEN 'middle' ELSE 'low' END AS class FROM (SELECT aln_id, col, CASE WHEN occupancy = 0 THEN CAST(0 AS FLOAT) ELSE CAST(occupancy AS FLOAT) / 16 * (CAST(majority_count AS FLOAT) / CAST(occupancy AS FLOAT)) END AS q FROM cs)"))
+def quality_track(spark, sf):
+    from strandline.functions import scalars as S
+
+    s = stats.with_fractions(stats.column_stats(family(spark, sf), PROTEIN))
+    return s.select("aln_id", "col", S.quality_class(F.col("quality").cast("float")).alias("class"))
+
+
+@query(_sql(_FAMILY, "SELECT aln_id, row_idx, replace(residues, '-', '') AS residues FROM family"))
+def align_muscle(spark, sf):
+    return edits.degap(align.align(family(spark, sf), PROTEIN, "muscle")).select(*_KEYS)
+
+
 # Alignment. The kernels' results are held against brute force in the tests; here their invariants are.
 
 

@@ -52,8 +52,7 @@ def paste_fasta(seqs: DataFrame, fasta: str) -> DataFrame:
     """FASTA records appended to every alignment, after its last row."""
     from strandline.sources.parsers import parse_fasta
 
-    new = [(i, r.id, r.residues) for i, r in enumerate(parse_fasta(fasta), 1)]
-    add = seqs.sparkSession.createDataFrame(new, "k int, id string, residues string")
-    ends = seqs.groupBy("aln_id").agg(F.max("row_idx").alias("last"))
-    rows = ends.join(F.broadcast(add)).select("aln_id", (F.col("last") + F.col("k")).cast("int").alias("row_idx"), "id", "residues")
+    new = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(r.id).alias("id"), F.lit(r.residues).alias("residues")) for i, r in enumerate(parse_fasta(fasta), 1)])
+    ends = seqs.groupBy("aln_id").agg(F.max("row_idx").alias("last")).select("aln_id", "last", F.explode(new).alias("r"))
+    rows = ends.select("aln_id", (F.col("last") + F.col("r.k")).cast("int").alias("row_idx"), "r.id", "r.residues")
     return seqs.unionByName(rows, allowMissingColumns=True)
