@@ -166,6 +166,29 @@ def test_language_model(spark, sf, docs, monkeypatch, head):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values()) * (0.97 if head > 1000 else 1.1)
 
 
+def test_clusters_come_from_all_texts(spark):
+    """The frequent words are those of all texts, long ones and those beyond any sample included; so are their neighbours."""
+    texts = [f"short text number n{i} of many" for i in range(2500)] + ["mia duo " * 4000 + "tria"]
+    training = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    top = langmodel.frequent_tokens(training)
+    key = {w: int(langmodel.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in ("mia", "duo", "short", "text", "of", "tria")}
+    assert {key[w] for w in ("mia", "duo", "short", "text", "of")} <= set(top.tolist())
+    m, at = langmodel.neighbours(training, top), {w: int(np.searchsorted(top, np.uint64(k))) for w, k in key.items()}
+    assert m[at["mia"], at["duo"]] == pytest.approx(4000 + 3999 / 3) and m[at["mia"], at["mia"]] == pytest.approx(3999 / 2)
+    assert m[at["short"], at["text"]] == 2500 and m[at["of"], at["short"]] == 0
+
+
+def test_words_of_a_rare_language_get_classes(spark):
+    rng = np.random.default_rng(4)
+    common = [" ".join(f"c{x}" for x in rng.integers(0, 600, 200)) for _ in range(60)]
+    rare = [" ".join(w for x in rng.integers(0, 40, 8) for w in (f"r{x}", f"s{x}")) for _ in range(8)]
+    training = spark.createDataFrame([(t,) for t in common + rare], "text string")
+    got = {r["token"]: r["class"] for r in langmodel.count_tokens(training, *langmodel.frequent_clusters(training)).collect()}
+    words = [f"s{x}".encode() for x in range(40)]
+    tok, _ = langmodel.tokens(np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))]))
+    assert len({got[t] for t in tok.view(np.int64).tolist() if t in got}) > 5
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(0)
     w = rng.normal(size=(langmodel.ROWS, langmodel.CLASSES)).astype(np.float32)
