@@ -166,6 +166,16 @@ def test_language_model(spark, sf, docs, monkeypatch, head):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values()) * (0.97 if head > 1000 else 1.1)
 
 
+def test_language_model_scores_alike_on_both_sides_of_the_head(spark, sf, monkeypatch):
+    monkeypatch.setattr(langmodel, "HEAD", 1_000_000)
+    whole = by_id(queries.op5_lm_scores(spark, sf))
+    monkeypatch.setattr(langmodel, "HEAD", 500)
+    split = by_id(queries.op5_lm_scores(spark, sf))
+    assert sum(r["score"] for r in split.values()) > sum(r["base_score"] for r in split.values()) * 0.97
+    off = [abs(split[d]["score"] - r["score"]) / abs(r["score"]) for d, r in whole.items()]
+    assert np.median(off) < 0.02 and np.mean(off) < 0.03
+
+
 def test_clusters_come_from_all_texts(spark):
     """The frequent words are those of all texts, long ones and those beyond any sample included; so are their neighbours."""
     texts = [f"short text number n{i} of many" for i in range(2500)] + ["mia duo " * 4000 + "tria"]
