@@ -18,7 +18,7 @@ from strandline.llm.privacy import redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the rows with a language; texts whose language stays unknown or tied go."""
+    """Learns from the rows with a language; texts whose language stays unknown, or is told too narrowly, go."""
     discard_all(spark)  # what earlier stages left; their results are stored
     named = identify(docs, fit(docs.select("text", "lang")))
     return named.where(~rejected()).select(*docs.columns)

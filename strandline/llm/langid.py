@@ -2,7 +2,8 @@
 
 For each language a raw-content zstandard dictionary is filled with a bounded sample of its training texts.
 Every whole text is compressed with each dictionary; the smallest output names the language. The margin to
-the second smallest says how sure that is. What is compressed are the distinct words of the whole text, in
+the second smallest, as a share of the smallest, says how sure that is; where only one language was learned,
+the second is the size without a dictionary. What is compressed are the distinct words of the whole text, in
 lower case and in order: signs and repetitions cost the same in every language.
 """
 
@@ -21,8 +22,9 @@ from strandline.llm.common import prepare
 UNKNOWN = "und"
 #: Bounds of the sample: texts for each language, bytes of a text that may be in it, bytes of a dictionary.
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 400, 16_384, 65_536
-#: The margin at or below which the operator rejects a text: only ties. Bytes; under 1, of equal sizes those of single words differ.
-LEAST_MARGIN = 0.0
+#: The margin, as a share of the smallest size, at or below which a text is rejected. Held-out texts of learned languages
+#: lie above it and texts of languages that were left out of training below, but for the shortest (figures in the README).
+LEAST_SHARE = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,7 +60,7 @@ def fit(training: DataFrame, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
 
 
 class Sizes:
-    """Compressed sizes of a text under each dictionary."""
+    """Compressed sizes of a text under each dictionary; for a single language also without one, as `und`."""
 
     def __init__(self, contents: dict[str, bytes]):
         import zstandard as z
@@ -66,6 +68,8 @@ class Sizes:
         how = z.ZstdCompressionParameters(window_log=20, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.langs = list(contents)
         self.by = []
+        if len(contents) == 1:
+            self.langs, contents = [*contents, UNKNOWN], contents | {UNKNOWN: b""}
         for c in contents.values():
             d = z.ZstdCompressionDict(c or b"\n", dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
@@ -76,43 +80,49 @@ class Sizes:
 
 
 def identify(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
-    """docs (with text) plus lang_pred, lang_score (0 to 1) and lang_margin (bytes; null for `und`).
+    """docs (with text) plus lang_pred, lang_score (0 to 1), lang_margin (bytes) and lang_share (of the smallest size).
 
-    `und`, with score 0: null texts, texts without a letter, and all texts where no language was learned.
+    `und`, with score 0 and no margin: null texts, texts without a letter, all texts where no language was learned,
+    and those that the only learned language makes no smaller. Of equal sizes those of single words decide; the
+    margin is under 1 then, and the share.
     Ties go to the language that was more frequent in training. Other columns stay as they are,
     but for those with the name of a result.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(contents)
-    docs = docs.drop("lang_pred", "lang_score", "lang_margin")
+    docs = docs.drop("lang_pred", "lang_score", "lang_margin", "lang_share")
     names = docs.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(shared.value)
         for b in batches:
-            pred, margin = [], []
+            pred, margin, share = [], [], []
             for t in b.column("text").to_pylist():
                 if not sizes.langs or not has_letter(t):
-                    pred.append(UNKNOWN), margin.append(None)
+                    pred.append(UNKNOWN), margin.append(None), share.append(None)
                     continue
                 words = normal(t)
                 n = sizes(words)
                 order = sorted(range(len(n)), key=lambda i: n[i])
-                gap = float(n[order[1]] - n[order[0]]) if len(n) > 1 else 64.0
+                gap = float(n[order[1]] - n[order[0]])
+                part = gap / n[order[0]]
                 if gap == 0:  # the same sizes: those of the words one by one decide
                     tied = [i for i in order if n[i] == n[order[0]]]
                     alone = np.sum([sizes(b" " + w + b" ") for w in words.split()], axis=0)
                     tied.sort(key=lambda i: alone[i])
                     order, gap = tied, float(alone[tied[1]] - alone[tied[0]]) / (1 + float(alone.max()))
+                    part = gap
+                known = sizes.langs[order[0]] != UNKNOWN
                 pred.append(sizes.langs[order[0]])
-                margin.append(gap)
+                margin.append(gap if known else None)
+                share.append(part if known else None)
             score = np.array([0.0 if m is None else 1 / (1 + 2.0 ** -min(m, 60)) for m in margin])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(margin, pa.float64())], [*names, "lang_pred", "lang_score", "lang_margin"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(margin, pa.float64()), pa.array(share, pa.float64())], [*names, "lang_pred", "lang_score", "lang_margin", "lang_share"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(kernel, f"{fields}, lang_pred string, lang_score double, lang_margin double")
+    return docs.mapInArrow(kernel, f"{fields}, lang_pred string, lang_score double, lang_margin double, lang_share double")
 
 
-def rejected(least_margin: float = LEAST_MARGIN):
+def rejected(least_share: float = LEAST_SHARE):
     """Rows of identify() that name no language, or do so too narrowly."""
-    return F.col("lang_margin").isNull() | (F.col("lang_margin") <= least_margin)
+    return F.col("lang_share").isNull() | (F.col("lang_share") <= least_share)

@@ -302,6 +302,21 @@ def test_language(spark):
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in got]) > 0.95
 
 
+def test_narrow_margins_are_rejected(spark):
+    """Texts of an unlearned language and random letters go; those of learned languages stay, be it one or three."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(6)
+    rows = table(spark, "/root/testdata/sf0.01", "documents").where("length(text) > 200 and lang is not null").select("doc_id", "text", "lang")
+    junk = [(-i, " ".join("".join(rng.choice(list(letters), 6)) for _ in range(50)), None) for i, letters in enumerate(["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрсту"] * 20, 1)]
+    for learned in (["en", "fr", "es"], ["en"]):
+        docs = rows.selectExpr("doc_id", "text", f"CASE WHEN lang IN ({str(learned)[1:-1]}) THEN lang END AS lang").union(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+        stay = {r["doc_id"] for r in p.language_id(spark, docs, "").collect()}
+        known, other = ({r["doc_id"] for r in rows.where(f"lang {how} ({str(learned)[1:-1]})").collect()} for how in ("IN", "NOT IN"))
+        assert len(known & stay) > 0.99 * len(known) and len(other & stay) < 0.05 * len(other)
+        assert not {d for d in stay if d < 0}
+
+
 def test_fingerprints(spark, sf, docs):
     got, ids = by_id(queries.op9_fingerprints(spark, sf)), sorted(docs)
     prints = defaultdict(set)
