@@ -8,9 +8,11 @@ import numpy as np
 
 from strandline.alphabet import GAPS, GROUPS, KMER, PROTEIN
 from strandline.kernels import matrices, trees
-from strandline.kernels.pairwise import path
+from strandline.kernels.pairwise import global_pairs, path
 
 _REFERENCE = 5.8  # mean diagonal of BLOSUM62; penalties are scaled to a table by it
+#: Cells of pairwise alignments up to which the clustal engine's tree comes from them; above, from k-mers.
+PAIRWISE_CELLS = 200_000_000
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,37 @@ def kmer_distances(seqs: list[str], alphabet: str) -> np.ndarray:
     return out
 
 
+def corrected(p: np.ndarray, alphabet: str) -> np.ndarray:
+    """Shares of differing residues as distances: Jukes-Cantor for nucleotides, Kimura's formula for proteins; 5 at most."""
+    knee = 0.75
+    q = np.minimum(p, knee)
+    if alphabet != PROTEIN:
+        return np.where(p < knee, -0.75 * np.log(1 - 4 * np.where(p < knee, p, 0) / 3), 5.0)
+    return -np.log(1 - q - 0.2 * q * q) + (p - q) / (1 - knee) * (5.0 + np.log(1 - knee - 0.2 * knee**2))
+
+
+def pairwise_distances(seqs: list[str], alphabet: str) -> np.ndarray:
+    """Corrected distances after global alignment of each pair by the alphabet's own table, whatever the engine's penalties."""
+    m = matrices.choose(alphabet)
+    scale = m.mean_diagonal / _REFERENCE
+    n = len(seqs)
+    i, j = np.tril_indices(n, -1)
+    share = np.zeros(len(i))
+    for k in range(0, len(i), 64):  # as many pairs have their rows at once
+        for x, (a, b, _) in enumerate(global_pairs([(seqs[p], seqs[q]) for p, q in zip(i[k : k + 64], j[k : k + 64], strict=True)], m.table, 10.0 * scale, 0.5 * scale), k):
+            a, b = (np.frombuffer(r.upper().encode("ascii", "replace"), np.uint8) for r in (a, b))
+            both = (a != ord("-")) & (b != ord("-"))
+            share[x] = (both & (a != b)).sum() / max(1, both.sum())
+    return trees.square(n, i, j, corrected(share, alphabet))
+
+
+def guide_distances(seqs: list[str], alphabet: str, engine: str) -> np.ndarray:
+    """For clustal of pairwise alignments, if these have PAIRWISE_CELLS at most; else of k-mers."""
+    n = len(seqs)
+    cells = n * (n - 1) // 2 * (sum(map(len, seqs)) // n) ** 2
+    return pairwise_distances(seqs, alphabet) if engine == "clustal" and cells <= PAIRWISE_CELLS else kmer_distances(seqs, alphabet)
+
+
 class Profile:
     """Gapped rows with weights, and the weighted letters of each column."""
 
@@ -202,7 +235,7 @@ def align(residues: list[str], alphabet: str, p: Params = Params()) -> list[str]
         return [s.ljust(width, "-") for s in plain]
     seqs = [np.frombuffer(plain[i].encode("ascii", "replace"), np.uint8) for i in full]
     m = matrices.choose(alphabet, p.matrix)
-    d = kmer_distances([plain[i] for i in full], alphabet)
+    d = guide_distances([plain[i] for i in full], alphabet, p.engine)
     tree = trees.build(d, "nj" if p.engine == "clustal" else "upgma")
     w = trees.weights(tree, len(full))
     rows = progressive(seqs, tree, w, m, p)

@@ -40,7 +40,7 @@ def pairwise_distance(seqs: DataFrame, alphabet: str) -> DataFrame:
     """aln_id, i, j, d: corrected distance after global alignment of each pair."""
     scale = matrices.choose(alphabet).mean_diagonal / 5.8
     al = pairwise_align(seqs, alphabet, "global", 10.0 * scale, 0.5 * scale)
-    z = F.zip_with(S.cells_of(F.col("row_i")), S.cells_of(F.col("row_j")), lambda x, y: F.when((x == "-") | (y == "-"), 0).when(x == y, 2).otherwise(1))
+    z = F.zip_with(S.cells_of(S.upper(F.col("row_i"))), S.cells_of(S.upper(F.col("row_j"))), lambda x, y: F.when((x == "-") | (y == "-"), 0).when(x == y, 2).otherwise(1))
     n = al.withColumn("_z", z).select("aln_id", "i", "j", F.size(F.filter("_z", lambda v: v > 0)).alias("both"), F.size(F.filter("_z", lambda v: v == 1)).alias("diff"))
     p = F.coalesce(F.try_divide(F.col("diff").cast("double"), F.col("both")), F.lit(0.0))
     return n.select("aln_id", "i", "j", (S.kimura_protein(p) if alphabet == PROTEIN else S.jukes_cantor(p)).alias("d"))

@@ -159,6 +159,11 @@ def pairwise_global(spark, sf):
     return p.select("aln_id", "i", "j", F.translate("row_i", "-", "").alias("a"), F.translate("row_j", "-", "").alias("b"))
 
 
+@query()
+def pairwise_distance(spark, sf):
+    return align.pairwise_distance(family(spark, sf), PROTEIN)
+
+
 @query()
 def pairwise_local(spark, sf):
     return align.pairwise_align(family(spark, sf), PROTEIN, "local")

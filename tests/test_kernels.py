@@ -126,6 +126,56 @@ def test_alignment_of_related_rows(engine):
     assert len(want & pairs(got)) / len(want) > 0.9
 
 
+def diverged(seed):
+    rng = np.random.default_rng(seed)
+    root = rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 60)
+    rows = []
+    for k in range(6):
+        r = root.copy()
+        sub = rng.random(60) < 0.15 * (k + 1)
+        r[sub] = rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), sub.sum())
+        rows.append("".join(r[rng.random(60) > 0.05]))
+    return rows
+
+
+def test_clustal_tree_comes_from_pairwise_alignments(monkeypatch):
+    rows = diverged(3)
+    d, k = msa.pairwise_distances(rows, "protein"), msa.kmer_distances(rows, "protein")
+    m = matrices.choose("protein")
+    for i in range(6):
+        for j in range(i):
+            a, b, _ = pairwise.global_align(rows[i], rows[j], m.table, 10.0 * m.mean_diagonal / 5.8, 0.5 * m.mean_diagonal / 5.8)
+            both = [(x, y) for x, y in zip(a, b, strict=True) if "-" not in (x, y)]
+            p = sum(x != y for x, y in both) / len(both)
+            assert d[i, j] == d[j, i] == pytest.approx(-np.log(1 - p - 0.2 * p * p) if p < 0.75 else 1.984131 + (p - 0.75) * 4 * (5 - 1.984131), abs=1e-4)
+    shape = lambda x: sorted(map(sorted, trees.leaves_below(trees.build(x, "nj"), 6)))
+    assert shape(d) != shape(k)
+    seen = []
+    monkeypatch.setattr(msa.trees, "build", lambda x, how, build=trees.build: seen.append(x) or build(x, how))
+    msa.align(rows, "protein")
+    monkeypatch.setattr(msa, "PAIRWISE_CELLS", 15 * 40 * 40)
+    msa.align(rows, "protein")
+    msa.align(rows, "protein", msa.Params.of("mafft"))
+    assert np.array_equal(seen[0], d) and np.array_equal(seen[1], k) and np.array_equal(seen[2], k)
+
+
+def test_corrections_at_their_bounds():
+    p = np.array([0, 0.3, 0.75, 1.0])
+    assert msa.corrected(p, "DNA") == pytest.approx([0, 0.383119, 5, 5], abs=1e-5)
+    assert msa.corrected(p, "protein") == pytest.approx([0, 0.382726, 1.984131, 5], abs=1e-3)
+
+
+def test_pairwise_distance_is_that_of_the_kernel(spark):
+    from strandline.operators import align
+
+    rows = diverged(3)
+    rows[2] = rows[2].lower()
+    d = msa.pairwise_distances(rows, "protein")
+    seqs = spark.createDataFrame([("x", k, f"t{k}", r) for k, r in enumerate(rows)], "aln_id string, row_idx int, id string, residues string")
+    got = align.pairwise_distance(seqs, "protein").collect()
+    assert len(got) == 15 and all(r["d"] == pytest.approx(d[r["i"], r["j"]], abs=1e-9) for r in got)
+
+
 def test_alignment_of_degenerate_sets():
     assert msa.align([], "protein") == []
     assert msa.align(["", "A-C"], "protein") == ["--", "AC"]
