@@ -1,17 +1,19 @@
-"""Reading tables, cutting lineage in the shared folder, and Arrow batch helpers."""
+"""Reading tables, cutting lineage in the shared folder, hot keys, and Arrow batch helpers."""
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandline.session import ship_code
 
@@ -22,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS = 500
 #: Bytes of text that a numpy kernel takes at once (a longer text goes alone).
 CHUNK_BYTES = 1 << 20
+#: Rows of one key that a join leaves in one task, and most keys that are split (the most frequent ones).
+KEY_ROWS, HOT_KEYS = 20_000, 100_000
 
 _own_dir: list[str] = []
 
@@ -39,65 +43,122 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master
+    gets a temporary folder, a cluster the user's folder of its default file system if that is no local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        if fs.getUri().getScheme() != "file":
+            return f"{fs.getHomeDirectory()}/.strandline/{spark.sparkContext.applicationId}"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="strandline-"))
-        atexit.register(_drop_own)
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return _own_dir[0]
 
 
-def _drop_own() -> None:
-    import shutil
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    for d in _own_dir:
-        shutil.rmtree(d, ignore_errors=True)
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
-def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: later steps survive lost executors without recomputing it.
+class Workspace:
+    """A folder of one run's intermediate tables, deleted when the run ends, be it by an error.
 
-    parts: most files, for tables that are small beside the corpus.
+    Nothing that leaves the `with` block may still read from it: results go to keep().
     """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = prepare(spark), shared_path(spark, name)
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.n = 0
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.paths.clear()
+        delete(self.spark, self.path)
+
+    def store(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """Write df and read it again: later steps survive lost executors without recomputing it.
+
+        parts: most files, for tables that are small beside the corpus.
+        """
+        self.n += 1
+        path = f"{self.path}/{name}-{self.n}"
+        out = _stored(df, path, parts)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables early, once all that is made of them is stored itself."""
+        for t in tables:
+            found = self.paths.pop(id(t), None)
+            if found:
+                delete(self.spark, found[1])
+
+
+def _stored(df: DataFrame, path: str, parts: int | None) -> DataFrame:
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Store a result that outlives its run; its folder goes when the driver ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    (df.coalesce(parts) if parts else df).write.parquet(path)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    out = _stored(df, path, parts)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     return out
 
 
-_written: list[str] = []
-_paths: dict[int, tuple[DataFrame, str]] = {}
+def packed(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
+    """docs as the named columns and one struct `_rest` of all others, so that no name of theirs can clash;
+    and the columns that unpack it, in the order of docs."""
+    rest = [c for c in docs.columns if c not in names]
+    inner = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(None).cast("int")
 
+    def unpack(df: DataFrame) -> list[Column]:
+        at = {c: i for i, c in enumerate(rest)}
+        return [df["_rest"][f"c{at[c]}"].alias(c) if c in at else df[c] for c in docs.columns]
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return docs.select(*[docs[f"`{c}`"] for c in names], inner.alias("_rest")), unpack
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete what materialize() gave, once all that is made of it is stored itself."""
-    for t in tables:
-        found = _paths.pop(id(t), None)
-        if found:
-            _written.remove(found[1])
-            _delete(t.sparkSession, found[1])
+def extended(df: DataFrame, more: str) -> StructType:
+    """The schema of df and further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Delete all tables of materialize() so far: between stages, when what they led to is stored elsewhere."""
-    for path in _written:
-        _delete(spark, path)
-    _written.clear()
-    _paths.clear()
+def salted_join(work: Workspace, left: DataFrame, right: DataFrame, key: list[str], spread: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right (each key once), where a key with many rows in left is split over several tasks.
+
+    Rows of keys with over KEY_ROWS are dealt by `spread` and the right row is repeated, once for each
+    KEY_ROWS. At most HOT_KEYS keys are split and broadcast: any other has under 1 / HOT_KEYS of the rows.
+    counts: rows of each key (_n), where they are known.
+    """
+    counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    hot = counts.where(F.col("_n") > KEY_ROWS).orderBy(F.desc("_n"), *key).limit(HOT_KEYS)
+    hot = work.store(hot.select(*key, F.ceil(F.col("_n") / KEY_ROWS).cast("int").alias("_lots")), "hot", 1)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    lots = F.coalesce("_lots", F.lit(1))
+    one = left.join(F.broadcast(hot), key, "left").withColumn("_lot", F.pmod(F.xxhash64(spread), lots).cast("int")).drop("_lots")
+    many = right.join(F.broadcast(hot), key, "left").withColumn("_lot", F.explode(F.sequence(F.lit(0), lots - 1))).drop("_lots")
+    return one.join(many, [*key, "_lot"], how).drop("_lot")
 
 
 def ascii_lower(c: Column) -> Column:
