@@ -12,6 +12,10 @@ Where components meet in an open bucket, the estimate is computed for blocks of
 only likely pairs leave that step, the likeliest are verified first, and the others where that didn't join
 the components.
 Texts with one and the same set are one node from the start, however many copies there are.
+
+With exact=True no link is lost to chance: buckets are then the shingles of each set's prefix (the smallest
+n - ceil(0.75 n) + 1 hashes; two sets of the similarity share one of them), and estimates don't decide.
+It costs a row for each prefix shingle in place of one for each band, and more verification.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import discard, materialize, prepare, row_blocks, text_buffer
+from strandline.llm.common import Workspace, keep, packed, prepare, row_blocks, salted_join, text_buffer
 from strandline.llm.components import components
 from strandline.llm.wordhash import SPACE, TO_LOWER, U64, mix, span_hashes, word_spans
 
@@ -34,8 +38,9 @@ BANDS, BAND = 80, 7
 B, RATE, TOP = 1.001, 20.0, 65_534
 #: How many standard errors the estimate may lie below the threshold.
 SIGMAS = 4.0
-#: Nodes whose registers are compared at once, parts that a component's blocks are dealt to, and likeliest pairs verified first.
-BLOCK, DEAL, FIRST = 128, 8, 8
+#: Nodes whose registers are compared at once, blocks that meet others in one task, most parts that a side's blocks are dealt to,
+#: and likeliest pairs verified first.
+BLOCK, TOGETHER, DEAL, FIRST = 128, 4, 64, 8
 #: Most files of a table that is small beside the texts.
 PARTS = 64
 #: Most ids that are broadcast to pick texts; above, the join shuffles.
@@ -122,8 +127,8 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     return (lo + hi) / 2
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (of the set; null for an empty one), regs; docs: doc_id, text."""
+def sketch(docs: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    """doc_id, n_shingles, fp1, fp2 (of the set; null for an empty one), regs, prefix (where exact); docs: doc_id, text."""
     prepare(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +146,13 @@ def sketch(docs: DataFrame) -> DataFrame:
                             fp[0, i], fp[1, i] = s.sum(), np.bitwise_xor.reduce(mix(s))
                 regs = exponential_registers(least)
                 none = n == 0
+                prefix = [s[: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if exact and len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(fp[0].view(np.int64), mask=none), pa.array(fp[1].view(np.int64), mask=none), pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary())],
-                    ["doc_id", "n_shingles", "fp1", "fp2", "regs"],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(fp[0].view(np.int64), mask=none), pa.array(fp[1].view(np.int64), mask=none), pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "fp1", "fp2", "regs", "prefix"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary, prefix array<long>")
 
 
 def _matrix(blobs: list[bytes]) -> np.ndarray:
@@ -157,8 +163,10 @@ def _least_estimate(least: float) -> float:
     return least - SIGMAS * float(np.sqrt(least * (1 - least) / (BANDS * BAND)))
 
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """node, key: one row for each band."""
+def bucket_rows(nodes: DataFrame, exact: bool) -> DataFrame:
+    """node, key: one row for each band, or for each shingle of the prefix."""
+    if exact:
+        return nodes.select("node", F.explode("prefix").alias("key"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -169,10 +177,14 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(kernel, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate isn't clearly below the threshold."""
-    n = nodes.select("node", "n_shingles", "regs")
-    both = pairs.join(n.toDF("b", "nb", "rb"), "b").join(n.toDF("a", "na", "ra"), "a").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
+def _likely(work: Workspace, pairs: DataFrame, nodes: DataFrame, least: float, exact: bool) -> DataFrame:
+    """Pairs (a, b) whose estimate isn't clearly below the threshold (exact: whose sizes allow it); few a are centres of many."""
+    n = nodes.select("node", "n_shingles", *([] if exact else ["regs"]))
+    if exact:
+        both = salted_join(work, pairs.join(n.toDF("b", "nb"), "b"), n.toDF("a", "na"), ["a"], F.col("b"))
+        return both.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b")
+    both = salted_join(work, pairs.join(n.toDF("b", "nb", "rb"), "b"), n.toDF("a", "na", "ra"), ["a"], F.col("b"), counts=pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
+    both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -184,48 +196,64 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kernel, "a long, b long")
 
 
-def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _beside(work: Workspace, rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with a stored table that has a row for each key: broadcast up to BROADCAST_IDS rows, else with hot keys split."""
+    return rows.join(F.broadcast(few), key, how) if few.count() <= BROADCAST_IDS else salted_join(work, rows, few, [key], F.col(spread), how)
+
+
+def _between(work: Workspace, rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float, exact: bool) -> DataFrame:
     """Likely pairs between components that meet in a bucket: a, b (a < b), y (which of them is of the smaller
     part), main (the other's component), estimate. rest: key, node, component of open buckets.
 
     In a bucket the component with most members there is the main one. Where two components meet, all
     members of the smaller are compared with all of the larger, in blocks (group `m` and the larger one), if
     one of them is the bucket's main one or large; small ones that meet beside the same main one are
-    compared among each other (group `g` and the main one).
+    compared among each other (group `g` and the main one). Each pair of blocks meets in a part of its own
+    (main, left, right), up to DEAL x DEAL of them, so a large component's blocks are spread over many tasks.
     """
     in_key = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = in_key.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = materialize(in_key.join(main, "key").join(sizes, "component").select("key", "main", "component", "size"), "nd-met", PARTS)
+    sizes = work.store(members.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes", PARTS)
+    sized = work.store(_beside(work, in_key.join(main, "key"), sizes, "component", "key").select("key", "main", "component", "size"), "met", PARTS)
     side = sized.where("component <> main")
     mains = sized.where("component = main").select("key", F.col("component").alias("c2"), F.col("size").alias("s2"))
     large = side.where(F.col("size") > BLOCK).select("key", F.col("component").alias("c2"), F.col("size").alias("s2"))
     met = side.join(mains.unionByName(large), "key").where("component <> c2").select("component", "size", "c2", "s2").distinct()
     swap = F.struct(F.col("s2").alias("n"), F.col("c2").alias("c")) < F.struct(F.col("size").alias("n"), F.col("component").alias("c"))
-    meet = met.select(F.when(swap, F.col("component")).otherwise(F.col("c2")).alias("main"), F.when(swap, F.col("c2")).otherwise(F.col("component")).alias("other")).distinct()
-    full = members.join(nodes.select("node", "n_shingles", "regs"), "node")
+    meet = met.select(F.when(swap, F.col("component")).otherwise(F.col("c2")).alias("main"), F.when(swap, F.col("c2")).otherwise(F.col("component")).alias("other"))
+    meet = work.store(meet.distinct(), "meet", PARTS)
+    full = work.store(members.join(nodes.select("node", "n_shingles", "regs"), "node"), "full")
     entry = F.struct("node", "n_shingles", "regs", "component")
     by_main = F.concat(F.lit("m"), F.col("main").cast("string"))
-    xs = full.join(meet.select(F.col("main").alias("component")).distinct(), "component", "left_semi").withColumn("main", F.col("component"))
-    ys = meet.join(full.withColumnRenamed("component", "other"), "other").withColumnRenamed("other", "component")
-    small = side.where(F.col("size") <= BLOCK).select("main", "component").distinct()
-    among = small.join(full, "component")
+    large_side = work.store(meet.select(F.col("main").alias("component")).distinct(), "mains", PARTS)
+    xs = _beside(work, full, large_side, "component", "node", "left_semi").withColumn("main", F.col("component"))
+    # A component that meets several larger ones goes to each of them.
+    partners = work.store(meet.groupBy(F.col("other").alias("component")).agg(F.collect_set("main").alias("mains")), "partners", PARTS)
+    ys = _beside(work, full, partners, "component", "node").withColumn("main", F.explode("mains"))
+    small = side.where(F.col("size") <= BLOCK).groupBy("component").agg(F.collect_set("main").alias("mains"))
+    among = _beside(work, full, work.store(small, "small", PARTS), "component", "node").withColumn("main", F.explode("mains"))
     columns = ("main", "node", "n_shingles", "regs", "component")
     xs, ys, among = (d.select(*columns) for d in (xs, ys, among))
     among = among.withColumn("main", F.concat(F.lit("g"), F.col("main").cast("string")))
     xs, ys = (d.withColumn("main", by_main).unionByName(among) for d in (xs, ys))
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
-        return df.join(sizes, "main").groupBy("main", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("block")).agg(F.collect_list(entry).alias(name)).withColumn("deal", F.pmod("block", F.lit(DEAL)).cast("int"))
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+
+    meta = count(xs, "nx").join(count(ys, "ny"), "main")
+    deals = [F.least(F.lit(DEAL), F.ceil(F.col(n) / TOGETHER)).cast("int").alias(d) for n, d in (("nx", "dx"), ("ny", "dy"))]
+    meta = work.store(meta.select("main", "nx", "ny", *deals), "blocks", PARTS)
 
-    left = blocks(xs, "xs")
-    dealt = left.groupBy("main").agg(F.max("deal").alias("most"))
-    right = blocks(ys, "ys").drop("deal", "block").join(dealt, "main").withColumn("deal", F.explode(F.sequence(F.lit(0), "most"))).drop("most")
-    both = left.drop("block").join(right, ["main", "deal"]).select("main", "xs", "ys")
+    def blocks(df: DataFrame, name: str, n: str, mine: str, others: str, part: str, other: str) -> DataFrame:
+        own = _beside(work, df, meta, "main", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col(n)))
+        own = own.groupBy("main", "block", mine, others).agg(F.collect_list(entry).alias(name))
+        return own.select("main", name, F.pmod("block", F.col(mine)).cast("int").alias(part), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
+
+    left, right = blocks(xs, "xs", "nx", "dx", "dy", "px", "py"), blocks(ys, "ys", "ny", "dy", "dx", "py", "px")
+    both = left.join(right, ["main", "px", "py"]).select("main", "xs", "ys")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = _least_estimate(least)
+        low = -1.0 if exact else _least_estimate(least)
         for x in batches:
             for i in range(x.num_rows):
                 main = x.column("main")[i].as_py()
@@ -246,13 +274,13 @@ def _between(rest: DataFrame, members: DataFrame, nodes: DataFrame, least: float
     return both.mapInArrow(kernel, "a long, b long, y long, main string, estimate double")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(work: Workspace, pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b; stored) whose whole texts' sets have the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = work.store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids", PARTS)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    both = salted_join(work, pairs.join(texts.toDF("b", "tb"), "b"), texts.toDF("a", "ta"), ["a"], F.col("b"), counts=counts)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -269,58 +297,96 @@ def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "ta", "tb").mapInArrow(kernel, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at least the similarity. Null, empty and
-    blank texts have empty sets and no links. Rows that share an id are linked. A null id links with
-    nothing: its component_id is null and it is kept. No rows give no rows.
+    blank texts have empty sets and no links. Rows that share an id are linked, and all of them are kept or none is
+    (kept: doc_id = component_id); keep_one() leaves one of them. A null id links with nothing: its component_id
+    is null and it is kept. Ties of estimates go by id. Columns besides these two aren't read. No rows give no rows.
+    exact: lose no link to chance, at a higher cost.
     """
-    num, den = threshold
+    with Workspace(docs.sparkSession, "nd") as work:
+        return keep(_near_duplicates(work, docs.select("doc_id", "text"), *threshold, exact), "nd-groups", PARTS)
+
+
+def _near_duplicates(work: Workspace, docs: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
     least = num / den
-    sk = materialize(sketch(docs), "nd-sketch")
-    ids = materialize(sk.select("doc_id", "n_shingles", "fp1", "fp2"), "nd-ids", PARTS)
+    sk = work.store(sketch(docs, num, den, exact), "sketch")
+    ids = work.store(sk.select("doc_id", "n_shingles", "fp1", "fp2"), "ids", PARTS)
     set_key = ["fp1", "fp2", "n_shingles"]
     keyed = ids.where(F.col("fp1").isNotNull() & F.col("doc_id").isNotNull())
-    sets = materialize(keyed.groupBy(*set_key).agg(F.min("doc_id").alias("node")), "nd-sets", PARTS)
-    first_of = sets.withColumnRenamed("node", "doc_id")
-    nodes = materialize(sk.join(first_of, [*set_key, "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"]).select(F.col("doc_id").alias("node"), "n_shingles", "regs"), "nd-nodes")
-    discard(sk)
-    # Each document's set has a node. An id with texts of several sets links their nodes.
-    assigned = keyed.join(sets, set_key).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    assigned = materialize(assigned, "nd-assigned", PARTS)
-
-    order = Window.partitionBy("key").orderBy("node")
-    buckets = bucket_rows(nodes).withColumns({"centre": F.first("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_1": F.lead("node", 1).over(order), "_at": F.row_number().over(order), "_2": F.lead("node", 2).over(order)})
-    buckets = buckets.where("_at > 1 or _1 is not null").withColumn("many", F.expr("_at > 2 or (_at = 2 and _1 is not null) or (_at = 1 and _2 is not null)"))
-    buckets = materialize(buckets.select("key", "node", "centre", "many"), "nd-buckets", PARTS)
-    done = materialize(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "nd-pairs", PARTS)
-    likely = materialize(_likely(done, nodes, least), "nd-likely", PARTS)
-    links = _confirm(likely, docs, num, den).unionByName(assigned.where("a <> b").select("a", "b"))
-    found = components(links)
-
-    members = materialize(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "nd-members", PARTS)
+    sets = work.store(keyed.groupBy(*set_key).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n")), "sets", PARTS)
+    first_of = sets.select(*set_key, F.col("node").alias("doc_id"))
+    nodes = sk.join(first_of, [*set_key, "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
+    nodes = work.store(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "regs", "prefix"), "nodes")
+    work.drop(sk)
+    # Each document's set has a node. An id with texts of several sets links their nodes with the smallest.
+    of = work.store(salted_join(work, keyed, sets.drop("_n"), set_key, F.col("doc_id"), counts=sets.select(*set_key, "_n")).select("doc_id", "node").distinct(), "of", PARTS)
+    assigned = work.store(of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")), "assigned", PARTS)
+    several = assigned.where("a <> b").select("doc_id", "a")
+    own_links = of.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+    # Buckets with several nodes: the smallest is their centre. A bucket may hold a large share of all nodes.
+    rows = bucket_rows(nodes, exact)
+    shared = work.store(rows.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared", PARTS)
+    buckets = salted_join(work, rows, shared, ["key"], F.col("node"), counts=shared.select("key", "_n"))
+    buckets = work.store(buckets.select("key", "node", "centre", (F.col("_n") > 2).alias("many")), "buckets", PARTS)
+    done = work.store(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs", PARTS)
+    likely = work.store(_likely(work, done, nodes, least, exact), "likely", PARTS)
+    links = _confirm(work, likely, docs, num, den).unionByName(own_links)
+    found = components(work, links)
+
+    members = work.store(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "members", PARTS)
     many = buckets.where("many").select("key", "node").join(members, "node")
     open_keys = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(many.join(open_keys, "key", "left_semi").select("key", "node", "component"), "nd-open", PARTS)
-    more = materialize(_between(rest, members, nodes, least).join(done, ["a", "b"], "left_anti"), "nd-more", PARTS)
-    discard(nodes, buckets, rest, likely, done)
+    open_keys = work.store(open_keys, "open-keys", PARTS)
+    rest = work.store(_beside(work, many, open_keys, "key", "node", "left_semi").select("key", "node", "component"), "open", PARTS)
+    more = work.store(_between(work, rest, members, nodes, least, exact).join(done, ["a", "b"], "left_anti"), "more", PARTS)
+    work.drop(nodes, buckets, rest, likely, done)
     rank = F.row_number().over(Window.partitionBy("y", "main").orderBy(F.desc("estimate"), "a", "b"))
-    first = materialize(more.withColumn("_r", rank).where(F.col("_r") <= FIRST).select("a", "b").distinct(), "nd-first", PARTS)
-    new = _confirm(first, docs, num, den)
+    first = work.store(more.withColumn("_r", rank).where(F.col("_r") <= FIRST).select("a", "b").distinct(), "first", PARTS)
+    new = _confirm(work, first, docs, num, den)
     if not new.isEmpty():
         links = links.unionByName(new)
-        found = components(links)
+        found = components(work, links)
     apart = more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti").join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-    apart = materialize(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "nd-last", PARTS)
-    new = _confirm(apart, docs, num, den)
+    apart = work.store(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "last", PARTS)
+    new = _confirm(work, apart, docs, num, den)
     if not new.isEmpty():
-        found = components(links.unionByName(new))
+        found = components(work, links.unionByName(new))
 
-    of_doc = assigned.join(found.withColumnRenamed("node", "a"), "a", "left").select("doc_id", F.coalesce("component", "a").alias("component"))
-    out = ids.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    # Copies of one set share its node, which may be that of a large share of all rows.
+    node_counts = assigned.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    of_doc = salted_join(work, assigned, found.withColumnRenamed("node", "a"), ["a"], F.col("doc_id"), "left", node_counts).select("doc_id", F.coalesce("component", "a").alias("component"))
+    repeats = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    out = salted_join(work, ids.select("doc_id", "n_shingles", "fp1"), of_doc, ["doc_id"], F.col("fp1"), "left", repeats).withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    return materialize(_verified(pairs, docs, num, den), "nd-links", PARTS)
+def _confirm(work: Workspace, pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    return work.store(_verified(work, pairs, docs, num, den), "links", PARTS)
+
+
+def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, exact: bool = False) -> DataFrame:
+    """docs (with doc_id, text) with one row of each group of near-duplicates: that of the smallest id. Of rows that
+    share that id one stays, the one with the smallest hash; of rows without an id one of each text stays. Texts
+    without words are in no group, but rows that share an id are. All columns stay as they are; no rows give none."""
+    rows, unpack = packed(docs, "doc_id", "text")
+    with Workspace(docs.sparkSession, "nd") as work:
+        found = _near_duplicates(work, docs.select("doc_id", "text"), *threshold, exact)
+        gone = keep(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "nd-gone", PARTS)
+        text = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_text")
+        again = docs.select(F.col("doc_id").alias("_again"), text).groupBy("_again", "_text").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        again = keep(again, "nd-again", PARTS)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    stay = rows.join(gone, rows["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    if again.isEmpty():
+        return stay.select(*unpack(stay))
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    stay = stay.withColumn("_text", text)
+    same = stay["doc_id"].eqNullSafe(again["_again"]) & stay["_text"].eqNullSafe(again["_text"])
+    single = stay.join(again, same, "left_anti").select("doc_id", "text", "_rest")
+    doubled = stay.join(again, same, "left_semi").groupBy("doc_id", "_text").agg(F.min_by(F.struct("doc_id", "text", "_rest"), F.xxhash64("text")).alias("_one")).select("_one.*")
+    out = single.unionByName(doubled)
+    return out.select(*unpack(out))
