@@ -5,7 +5,7 @@ most `capacity` counts, whatever the corpus holds. Minimum bin slack runs on the
 length left opens a bin, a subset-sum over bitsets finds the fullest set of other lengths that fits
 beside it, and the combination is used as often as the counts allow, then removed. Each use empties a
 length, so there are at most `capacity` distinct combinations. Pieces then get their place from their rank
-among those of their length, which is counted in salted groups, so no length gathers in one task.
+among those of their length, which is counted in lots of about LOT pieces, so no length gathers in one task.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, prepare, row_blocks, text_buffer
+from strandline.llm.common import Workspace, extended, keep, prepare, row_blocks, text_buffer
 from strandline.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Groups in which the pieces of one length are numbered.
-SALTS = 64
+#: Pieces of one length that are numbered in one task; the number of tasks for a length follows from it.
+LOT = 50_000
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -89,7 +89,7 @@ def plan_table(plan: list[tuple[int, dict[int, int]]], capacity: int) -> dict[st
     return {k: t[:, i].copy() for i, k in enumerate(("length", "first", "per", "base", "offset"))} | {"start": np.searchsorted(t[:, 0], np.arange(capacity + 2))}
 
 
-def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, keep: list[str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Token pieces of documents (doc_id, text): doc_id, piece, start, length, ids_crc32.
 
     A null text is empty and gives one piece with only the end id. Only texts over the capacity are cut.
@@ -116,19 +116,21 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capac
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """parts (with doc_id, piece, length in 1..capacity, stored: read twice) plus sequence_id and offset.
+def pack(work: Workspace, parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """parts (with length in 1..capacity, stored: read several times) plus sequence_id and offset.
 
-    Ties: pieces of one length go in any fixed order. Null ids and repeated rows are pieces like others.
-    No rows give no rows.
+    Ties: pieces of one length go in any fixed order. Null ids and repeated rows are pieces like others, each with
+    a place of its own. Columns named _n, _lot, _rank, sequence_id or offset give way; others stay. No rows give no rows.
     """
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    per_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    parts = parts.drop("_lot", "_rank", "sequence_id", "offset")
+    per_length = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = parts.sparkSession.sparkContext.broadcast(plan_table(minimum_bin_slack(per_length, capacity), capacity))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).select("length", "_salt", "_before")
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start"))
-    ranked = salted.withColumn("_rank", rank - 1).join(before, ["length", "_salt"])
+    lots = max(1, -(-max(per_length.values(), default=0) // LOT))
+    salted = work.store(parts.withColumn("_n", F.monotonically_increasing_id()), "numbered").withColumn("_lot", F.pmod(F.xxhash64("_n"), F.lit(lots)).cast("int"))
+    counts = salted.groupBy("length", "_lot").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("length").orderBy("_lot")) - F.col("_c")).select("length", "_lot", "_before")
+    rank = F.row_number().over(Window.partitionBy("length", "_lot").orderBy("_n"))
+    ranked = salted.withColumn("_rank", rank - 1).join(before, ["length", "_lot"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     names = [*parts.columns, "_rank"]
 
@@ -146,10 +148,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
             offset = p["offset"][run] + at % p["per"][run] * length
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(offset)], [*names[:-1], "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return ranked.select(*names).mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*names).mapInArrow(place, extended(parts, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """All documents' pieces with their sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(pieces(docs, path, capacity=capacity), "pieces"), capacity)
+    """All documents' pieces with their sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset. See pieces() and pack()."""
+    with Workspace(docs.sparkSession, "packing") as work:
+        return keep(pack(work, work.store(pieces(docs, path, capacity=capacity), "pieces"), capacity), "packed")
