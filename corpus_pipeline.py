@@ -1,7 +1,9 @@
 """A corpus pipeline of five operators, each stage written as Parquet and read again by the next.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
-No rows give no rows, extra columns stay as they are, null texts are rejected by the first stage.
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents. Columns
+besides doc_id and text stay as they are, whatever their names (n_chars follows the text in pii). No rows give no
+rows; null texts are rejected by the first stage. Rows that share an id are treated each on its own, but near_dedup
+keeps one of them. Every stage works on all rows it is given, and deletes its intermediate tables before it returns.
 """
 
 from __future__ import annotations
@@ -9,47 +11,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import discard_all, materialize, shared_path, table
+from strandline.llm.common import delete, packed, shared_path, table
 from strandline.llm.decontamination import decontaminate
 from strandline.llm.langid import fit, identify, rejected
-from strandline.llm.neardup import BROADCAST_IDS, near_duplicates
+from strandline.llm.neardup import keep_one
 from strandline.llm.packing import pack_documents
 from strandline.llm.privacy import redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows with a language; texts whose language stays unknown, or is told too narrowly, go."""
-    discard_all(spark)  # what earlier stages left; their results are stored
-    named = identify(docs, fit(docs.select("text", "lang")))
-    return named.where(~rejected()).select(*docs.columns)
+    rows, unpack = packed(docs, "text")
+    named = identify(rows, fit(docs.select("text", "lang"))).where(~rejected())
+    return named.select(*unpack(named))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    discard_all(spark)  # what earlier stages left; their results are stored
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "dedup-gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
-    discard_all(spark)  # what earlier stages left; their results are stored
-    marked = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    rows, unpack = packed(docs, "doc_id", "text")
+    marked = decontaminate(rows, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated"))
+    return marked.select(*unpack(marked))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is put as <KIND>; n_chars follows."""
-    discard_all(spark)  # what earlier stages left; their results are stored
-    out = redact(docs)
+    rows, unpack = packed(docs, "doc_id", "text")
+    out = redact(rows)
+    out = out.select(*unpack(out))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in as few sequences as can be."""
-    discard_all(spark)  # what earlier stages left; their results are stored
     return pack_documents(docs.select("doc_id", "text"))
 
 
@@ -60,9 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         out, path = stage(spark, docs, sf_dir), shared_path(spark, f"pipeline-{name}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            delete(spark, last)
+        last = path
+    out = STAGES[-1][1](spark, docs, sf_dir)  # stored by its operator
+    delete(spark, last)
+    return out
