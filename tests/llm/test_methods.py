@@ -237,7 +237,7 @@ def test_shards_by_levels_and_with_hot_texts(spark, monkeypatch):
 # language model
 
 
-def test_sums_are_those_of_a_dense_model(monkeypatch):
+def test_sums_are_those_of_a_dense_model():
     """What a step gathers equals plain loops over tokens, features and outcomes."""
     rng = np.random.default_rng(0)
     lay = langmodel.Layout(11)
@@ -247,10 +247,11 @@ def test_sums_are_those_of_a_dense_model(monkeypatch):
     cls, word, at = pick[tok.astype(int)], rng.integers(0, 16, 60), np.array([0, 25, 60])
     bias = tuple(rng.normal(size=s).astype(np.float32) for s in ((langmodel.OUT,), (2 * langmodel.GROUPS, langmodel.SUB), (langmodel.FINE, langmodel.WORDS)))
     h = langmodel.features(tok, at, cls)
-    sums = langmodel.Sums(lay)
+    sums, model = langmodel.Sums(lay), langmodel.Scorer(lay, w, bias)
     for i in range(0, 60, 7):  # batches don't matter
-        sums.add(w, bias, h[i : i + 7], cls[i : i + 7], word[i : i + 7])
-    seen, expected = np.zeros_like(sums.seen), np.zeros_like(sums.expected)
+        sums.add(model, h[:, i : i + 7], cls[i : i + 7], word[i : i + 7])
+    sums.flush()
+    seen, expected = np.zeros_like(sums.seen), np.zeros_like(sums.seen)
     total = 0.0
     for i in range(60):
         c = int(cls[i])
@@ -260,7 +261,7 @@ def test_sums_are_those_of_a_dense_model(monkeypatch):
         if c < 240:
             path.append((2, c, int(word[i])))
         for factor, condition, out in path:
-            rows = lay.buckets(h[i : i + 1], np.array([condition]), factor)[0]
+            rows = lay.buckets(h[:, i : i + 1], np.array([condition]), factor)[:, 0]
             z = lay.own(w, factor)[condition] + bias[factor].reshape(-1, lay.wide[factor])[condition] + sum(lay.table(w, factor)[r] for r in rows)
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -271,10 +272,9 @@ def test_sums_are_those_of_a_dense_model(monkeypatch):
                 t += p
     assert np.allclose(sums.seen, seen) and np.allclose(sums.expected, expected, atol=1e-4)
     # the tokens before a text don't count: features of a text don't change with its neighbours
-    assert (langmodel.features(tok[25:], np.array([0, 35]), cls[25:]) == h[25:]).all()
+    assert (langmodel.features(tok[25:], np.array([0, 35]), cls[25:]) == h[:, 25:]).all()
     v = langmodel.Vocabulary(*([np.zeros(0)] * 4), np.ones(langmodel.CLASSES), np.ones(langmodel.FINE * 16), 1, 1, 1)
-    monkeypatch.setattr(langmodel.Vocabulary, "biases", lambda self: bias)
-    lp = langmodel.log_probabilities(lay, w, v, h, cls, word, np.ones(60))
+    lp = langmodel.log_probabilities(model, v, h, cls, word, np.ones(60))
     shared = (cls == langmodel.OTHER_CLASS).sum() * np.log10(2)
     assert lp.sum() == pytest.approx(total - shared, rel=1e-5)
 
@@ -289,8 +289,10 @@ def test_a_step_raises_the_likelihood():
     h, at = langmodel.features(tok, np.array([0, 2000]), cls), []
     for _ in range(5):
         sums = langmodel.Sums(lay)
-        sums.add(w, bias, h, cls, word)
-        p = langmodel.softmax(lay, w, bias, 0, lay.buckets(h, np.zeros(2000, int), 0), np.zeros(2000, int))
+        model = langmodel.Scorer(lay, w, bias)
+        sums.add(model, h, cls, word)
+        sums.flush()
+        p = model.probabilities(0, lay.buckets(h, np.zeros(2000, int), 0), np.zeros(2000, int))
         at.append(np.log(p[np.arange(2000), cls // 16]).mean())
         w = langmodel.step(lay, w, sums.seen, sums.expected)
     assert at == sorted(at) and at[0] == pytest.approx(-np.log(32), abs=1e-4) and at[-1] > -1.5
