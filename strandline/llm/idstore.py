@@ -3,10 +3,11 @@
 Documents are dealt in ranges of ascending key to parts, and each part is written as shards. Under the
 output folder:
 
-    ids-PPPPP-SSSSS.u32      the ids of a shard's records, one after another: little-endian unsigned 32-bit, nothing else
+    ids-PPPPP-SSSSS.bin      the ids of a shard's records, one after another, nothing else: little-endian unsigned, of
+                             16 bits if the vocabulary has at most 2^16 ids, else of 32
     keys-PPPPP-SSSSS.bin     for scans: records and null keys (2 x u32), then the key (int64) and the number of ids (u32) of each record
     index-PPPPP.mph          the minimal perfect hash of the part's keys: key -> (shard, offset in it, ids)
-    manifest/                a Parquet table of shards: part, seq, base, n_ids, n_records, n_null, first_key, last_key
+    manifest/                a Parquet table of shards: part, seq, width (bytes of an id), base, n_ids, n_records, n_null, first_key, last_key
 
 The hash is a cascade of bit sets: a key that is alone on its place in a level owns that bit, others go to
 the next level. A key's slot is the number of set bits before its own, so slots are 0..n-1 without gaps;
@@ -34,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace, keep, prepare, row_blocks, text_buffer
-from strandline.llm.tokens import encoder, tokenizer_path
+from strandline.llm.tokens import encoder, tokenizer_path, vocabulary_size
 from strandline.llm.wordhash import mix
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Ids after which a shard is closed, be it between records of one key.
 SHARD_IDS = 1 << 20
-MANIFEST = "part int, seq int, base long, n_ids long, n_records long, n_null long, first_key long, last_key long"
+MANIFEST = "part int, seq int, width int, base long, n_ids long, n_records long, n_null long, first_key long, last_key long"
 NAMES = [x.split()[0] for x in MANIFEST.split(", ")]
 TYPES = [{"int": pa.int32(), "long": pa.int64()}[x.split()[1]] for x in MANIFEST.split(", ")]
 #: Bits whose count is stored once, and an entry: fingerprint, shard, offset and ids of a key.
@@ -160,8 +161,8 @@ class Folder:
 class _Part:
     """Writes the shards and the index of one part."""
 
-    def __init__(self, out: str, part: int, shard_ids: int):
-        self.folder, self.part, self.most = Folder(out), part, shard_ids
+    def __init__(self, out: str, part: int, shard_ids: int, width: int):
+        self.folder, self.part, self.most, self.width = Folder(out), part, shard_ids, width
         self.seq = self.base = 0
         self.runs: list[list[int]] = []  # key, shard, offset, ids
         self.clear()
@@ -182,7 +183,7 @@ class _Part:
                 self.runs.append([key, self.seq, self.held, len(ids)])
         self.keys.append(key)
         self.sizes.append(len(ids))
-        self.blobs.append(ids.astype("<u4").tobytes())
+        self.blobs.append(ids.astype(f"<u{self.width}").tobytes())
         self.held += len(ids)
 
     def close(self) -> pa.RecordBatch:
@@ -191,8 +192,8 @@ class _Part:
         name = f"{self.part:05d}-{self.seq:05d}"
         head = np.array([len(self.keys), n_null], "<u4").tobytes()
         self.folder.write(f"keys-{name}.bin", head + np.array([0] * n_null + real, "<i8").tobytes() + np.array(self.sizes, "<u4").tobytes())
-        self.folder.write(f"ids-{name}.u32", b"".join(self.blobs))
-        row = [self.part, self.seq, self.base, self.held, len(self.keys), n_null, real[0] if real else None, real[-1] if real else None]
+        self.folder.write(f"ids-{name}.bin", b"".join(self.blobs))
+        row = [self.part, self.seq, self.width, self.base, self.held, len(self.keys), n_null, real[0] if real else None, real[-1] if real else None]
         self.seq, self.base = self.seq + 1, self.base + self.held
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, TYPES, strict=True)], NAMES)
@@ -214,11 +215,12 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
     spark = prepare(docs.sparkSession)
     path = path or tokenizer_path(TOKENIZER)
     lots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = 2 if max(vocabulary_size(path) - 1, end_id) < 1 << 16 else 4
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = _Part(out, TaskContext.get().partitionId(), shard_ids)
+        part = _Part(out, TaskContext.get().partitionId(), shard_ids, width)
         any_row = False
         for batch in batches:
             any_row |= batch.num_rows > 0
@@ -276,7 +278,7 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
                 at[n_null:][alone] = entry["offset"][alone].astype(np.int64)
                 if not found.all() or (entry["seq"][alone] != row["seq"]).any() or (at != own).any():
                     raise ValueError(f"the index of part {part} doesn't give what shard {name} holds")
-                ids = np.frombuffer(folder.read(f"ids-{name}.u32"), "<u4")
+                ids = np.frombuffer(folder.read(f"ids-{name}.bin"), f"<u{row['width']}").astype("<u4")
                 crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(at.tolist(), size.tolist(), strict=True)]
                 base = row["base"] + before_parts.value[part]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), mask=np.arange(n) < n_null), pa.array(at + base), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -288,8 +290,9 @@ class Store:
     """Keyed reads of single documents from the files. Holds the first and last key of each part and opened indexes."""
 
     def __init__(self, spark: SparkSession, out: str):
-        keyed = manifest(spark, out).groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).where("lo is not null")
-        rows = sorted((r["part"], r["lo"], r["hi"]) for r in keyed.collect())  # one row for each part
+        keyed = manifest(spark, out).groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"), F.max("width").alias("width")).where("lo is not null")
+        rows = sorted((r["part"], r["lo"], r["hi"], r["width"]) for r in keyed.collect())  # one row for each part
+        self.width = rows[0][3] if rows else 4
         self.parts, self.lo, self.hi = ([r[i] for r in rows] for i in range(3))
         self.folder = Folder(out)
         self.indexes: dict[int, Index] = {}
@@ -299,8 +302,8 @@ class Store:
         """size ids from a place of a shard; a run goes on at the begin of the next."""
         out = []
         while size > 0:
-            got = self.folder.reader(f"ids-{part:05d}-{seq:05d}.u32")(4 * offset, 4 * size)
-            out.append(np.frombuffer(got, "<u4"))
+            got = self.folder.reader(f"ids-{part:05d}-{seq:05d}.bin")(self.width * offset, self.width * size)
+            out.append(np.frombuffer(got, f"<u{self.width}").astype("<u4"))
             size, seq, offset = size - len(out[-1]), seq + 1, 0
         self.ids_read += sum(map(len, out))
         return np.concatenate(out) if out else np.zeros(0, "<u4")

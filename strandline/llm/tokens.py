@@ -27,6 +27,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str) -> int:
+    """Largest id and one."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 class ChunkEncoder:
     """name: a file of the public tokenizers. words: white space doesn't count and case of ASCII letters neither."""
 
