@@ -154,6 +154,7 @@ def salted_join(work: Workspace, left: DataFrame, right: DataFrame, key: list[st
     hot = counts.where(F.col("_n") > KEY_ROWS).orderBy(F.desc("_n"), *key).limit(HOT_KEYS)
     hot = work.store(hot.select(*key, F.ceil(F.col("_n") / KEY_ROWS).cast("int").alias("_lots")), "hot", 1)
     if hot.isEmpty():
+        work.drop(hot)
         return left.join(right, key, how)
     lots = F.coalesce("_lots", F.lit(1))
     one = left.join(F.broadcast(hot), key, "left").withColumn("_lot", F.pmod(F.xxhash64(spread), lots).cast("int")).drop("_lots")

@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Workspace
+from strandline.llm.common import Workspace, salted_join
 
-#: Most files of a table of edges, and lots that the links of a node are dealt to.
-PARTS, LOTS = 64, 16
-
-
-def _with_least(edges: DataFrame, least: DataFrame, key: str, other: str) -> DataFrame:
-    """edges with the least neighbour m of `key`. A centre may have a large share of all links, so they are dealt to
-    LOTS by their other end, and least has a row for each lot."""
-    spread = edges.withColumn("_lot", F.pmod(F.xxhash64(other), F.lit(LOTS)).cast("int"))
-    return spread.join(least.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1)))), [key, "_lot"]).drop("_lot")
+#: Most files of a table of edges.
+PARTS = 64
 
 
 def components(work: Workspace, edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -23,7 +16,8 @@ def components(work: Workspace, edges: DataFrame, rounds: int = 64) -> DataFrame
 
     Large star: each node's larger neighbours link to its smallest one. Small star: its smaller neighbours
     and itself do. When nothing changes every edge leads from a node to its component's smallest. Each
-    round is written to the shared folder. Least neighbours are partial minima, so a centre's links never meet in one task.
+    round is written to the shared folder. Least neighbours are partial minima, and the links of a node with very many
+    are split where they meet it, so they never gather in one task.
     No edges give no rows; edges of a node with itself, and repeated ones, change nothing.
     """
     now = work.store(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc", PARTS)
@@ -32,11 +26,11 @@ def components(work: Workspace, edges: DataFrame, rounds: int = 64) -> DataFrame
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_least(both.where("v > u"), least, "u", "v").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+        large = salted_join(work, both.where("v > u"), least.drop("_n"), ["u"], F.col("v"), counts=least.select("u", "_n")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         large = work.store(large, "cc-large", PARTS)
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = _with_least(large, least, "hi", "lo")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("_n"))
+        joined = salted_join(work, large, least.drop("_n"), ["hi"], F.col("lo"), counts=least.select("hi", "_n"))
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
         old, now = now, work.store(small, "cc", PARTS)
         work.drop(old, large)

@@ -326,7 +326,7 @@ def test_index_is_minimal_perfect_and_read_by_places():
     assert idstore.Index(lambda a, n: none[a : a + n]).find(5) is None
 
 
-def test_raw_shards_and_keyed_reads(spark, tmp_path):
+def test_raw_shards_and_keyed_reads(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(idstore.tokenizer_path("byte_bpe_50k.json"))
@@ -336,8 +336,11 @@ def test_raw_shards_and_keyed_reads(spark, tmp_path):
     shards = idstore.manifest(spark, out).collect()
     assert len(shards) > 10 and all(r["n_ids"] < 30 for r in shards)  # also inside the run of one key, and of none
     ids = {x: [*t.encode(x, add_special_tokens=False).ids, 0] for _, x in rows}
-    raw = b"".join((tmp_path / "ids" / f"ids-{r['part']:05d}-{r['seq']:05d}.u32").read_bytes() for r in sorted(shards))
-    assert len(raw) == 4 * sum(len(ids[x]) for _, x in rows)
+    raw = b"".join((tmp_path / "ids" / f"ids-{r['part']:05d}-{r['seq']:05d}.bin").read_bytes() for r in sorted(shards))
+    assert len(raw) == 2 * sum(len(ids[x]) for _, x in rows) and {r["width"] for r in shards} == {2}
+    monkeypatch.setattr(idstore, "vocabulary_size", lambda path: 70_000)  # ids of 32 bits
+    idstore.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"{out}-wide", shard_ids=20)
+    assert idstore.Store(spark, f"{out}-wide").fetch(33) == ids["text 33"] and idstore.read_documents(spark, f"{out}-wide").count() == len(rows)
     store = idstore.Store(spark, out)
     assert store.fetch(33) == ids["text 33"] and store.ids_read == len(ids["text 33"])
     seven = store.fetch(7)
