@@ -8,8 +8,9 @@ import numpy as np
 
 from strandline.alphabet import PROTEIN
 
-#: BLOSUM62, lower triangle in the order of its letters.
+#: BLOSUM62 as published, lower triangle in the order of its letters, with those for several residues.
 _ORDER = "ARNDCQEGHILKMFPSTWYV"
+_PUBLISHED = _ORDER + "BZX"
 _BLOSUM62 = """
 4
 -1 5
@@ -31,6 +32,9 @@ _BLOSUM62 = """
 -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
 -2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
 0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+-2 -1 3 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4
+-1 0 0 1 -3 3 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -3 -2 -2 1 4
+0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2 0 0 -2 -1 -1 -1 -1 -1
 """
 #: Nucleotides under each IUPAC letter.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT", "X": "ACGT"}
@@ -86,7 +90,7 @@ def _protein(name: str, scores: dict[tuple[str, str], float]) -> Matrix:
 
 def blosum62() -> Matrix:
     rows = [x.split() for x in _BLOSUM62.strip().splitlines()]
-    return _protein("BLOSUM62", {(_ORDER[i], _ORDER[j]): float(v) for i, r in enumerate(rows) for j, v in enumerate(r)})
+    return _protein("BLOSUM62", {(_PUBLISHED[i], _PUBLISHED[j]): float(v) for i, r in enumerate(rows) for j, v in enumerate(r)})
 
 
 def iub() -> Matrix:

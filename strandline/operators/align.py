@@ -18,7 +18,8 @@ from strandline.session import ship_code
 
 
 def pairwise_align(seqs: DataFrame, alphabet: str, mode: str = "global", open: float = 10.0, extend: float = 0.5, terminal: float = 1.0) -> DataFrame:
-    """aln_id, i, j, row_i, row_j, score of all pairs of rows (gaps in them don't count).
+    """aln_id, i, j, row_i, row_j, score of all pairs of rows (gaps in them don't count); of local alignments also
+    the ranges start_i, end_i, start_j, end_j of what they align, in residues.
 
     The pairs are dealt anew before the kernel, as their cost doesn't show in their size.
     """
@@ -30,10 +31,12 @@ def pairwise_align(seqs: DataFrame, alphabet: str, mode: str = "global", open: f
         for x in batches:
             both = list(zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True))
             out = pairwise.global_pairs(both, table, open, extend, terminal) if mode == "global" else pairwise.local_pairs(both, table, open, extend)
-            cols = [pa.array([o[k] for o in out], pa.float64() if k == 2 else pa.string()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([x.column("aln_id"), x.column("i"), x.column("j"), *cols], ["aln_id", "i", "j", "row_i", "row_j", "score"])
+            cols = [pa.array([o[k] for o in out], pa.string() if k < 2 else pa.float64() if k == 2 else pa.int32()) for k in range(3 + len(ranges))]
+            yield pa.RecordBatch.from_arrays([x.column("aln_id"), x.column("i"), x.column("j"), *cols], ["aln_id", "i", "j", "row_i", "row_j", "score", *ranges])
 
-    return p.select("aln_id", "i", "j", "a", "b").mapInArrow(kernel, "aln_id string, i int, j int, row_i string, row_j string, score double")
+    ranges = () if mode == "global" else ("start_i", "end_i", "start_j", "end_j")
+    schema = "aln_id string, i int, j int, row_i string, row_j string, score double" + "".join(f", {r} int" for r in ranges)
+    return p.select("aln_id", "i", "j", "a", "b").mapInArrow(kernel, schema)
 
 
 def pairwise_distance(seqs: DataFrame, alphabet: str) -> DataFrame:

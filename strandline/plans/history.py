@@ -1,4 +1,8 @@
-"""Versions of a set of sequences. Each edit is a plan over the one before; undo and redo move a pointer."""
+"""Versions of a set of sequences. Each edit is a plan over the one before; undo and redo move a pointer.
+
+An edit reads its set twice (rows and width), so plans of edits upon edits would double each time. Where the
+session has a checkpoint folder, every STORED-th version is checkpointed there, and plans stay short.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-LIMIT = 200
+LIMIT, STORED = 200, 2
 
 
 class History:
@@ -28,10 +32,13 @@ class History:
     def apply(self, label: str, edit: Callable[[DataFrame], DataFrame]) -> History:
         """A new version after the current one; what was undone is gone. The oldest go beyond the limit."""
         del self._versions[self._at + 1 :]
-        self._versions.append((label, edit(self.current)))
+        self.revision += 1
+        new = edit(self.current)
+        if self.revision % STORED == 0 and new.sparkSession.sparkContext.getCheckpointDir():
+            new = new.checkpoint()
+        self._versions.append((label, new))
         del self._versions[: max(0, len(self._versions) - 1 - self.limit)]
         self._at = len(self._versions) - 1
-        self.revision += 1
         return self
 
     def undo(self) -> str | None:

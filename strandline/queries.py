@@ -207,14 +207,22 @@ def dedupe_ids(spark, sf):
 _OCC = "occ AS (SELECT aln_id, col, count(*) FILTER (res <> '-') AS occ FROM fc GROUP BY ALL)"
 
 
-@query(_sql(_FAMILY, "SELECT aln_id, col FROM fc WHERE row_idx < 2 GROUP BY ALL HAVING count(*) FILTER (res <> '-') = 0"))
+_TWO = "fc2 AS (SELECT aln_id || '/' || (row_idx // 2) AS aln_id, row_idx, col, res FROM fc)"
+
+
+def _couples(spark, sf):
+    """Every two rows of a family as an alignment of their own, so that some columns are all gaps."""
+    return family(spark, sf).withColumn("aln_id", F.concat_ws("/", "aln_id", F.floor(F.col("row_idx") / 2)))
+
+
+@query(_sql(_FAMILY + "," + _TWO, "SELECT aln_id, col FROM fc2 GROUP BY ALL HAVING count(*) FILTER (res <> '-') = 0"))
 def all_gap_columns(spark, sf):
-    return edits.all_gap_columns(family(spark, sf).where("row_idx < 2"))
+    return edits.all_gap_columns(_couples(spark, sf))
 
 
-@query(_sql(_FAMILY, "SELECT aln_id, row_idx, string_agg(res, '' ORDER BY col) AS residues FROM fc JOIN (SELECT aln_id, col FROM fc WHERE row_idx < 2 GROUP BY ALL HAVING count(*) FILTER (res <> '-') > 0) USING (aln_id, col) WHERE row_idx < 2 GROUP BY ALL"))
+@query(_sql(_FAMILY + "," + _TWO, "SELECT aln_id, row_idx, string_agg(res, '' ORDER BY col) AS residues FROM fc2 JOIN (SELECT aln_id, col FROM fc2 GROUP BY ALL HAVING count(*) FILTER (res <> '-') > 0) USING (aln_id, col) GROUP BY ALL"))
 def remove_all_gap_columns(spark, sf):
-    return edits.remove_all_gap_columns(family(spark, sf).where("row_idx < 2")).select(*_KEYS)
+    return edits.remove_all_gap_columns(_couples(spark, sf)).select(*_KEYS)
 
 
 # Statistics

@@ -409,12 +409,14 @@ def parse_msf(text: str) -> list[Record]:
 
 def parse_genbank(text: str) -> list[Record]:
     out: list[Record] = []
+    pieces: list[tuple[list[str], list[str]]] = []  # of each record: description, residues
     part = None
     for n, line in _lines(text):
         key = line[:12].strip()
         if line.startswith("LOCUS"):
             words = line.split()
             out.append(Record(words[1] if len(words) > 1 else "", ""))
+            pieces.append(([], []))
             part = "head"
         elif line.startswith("//"):
             part = None
@@ -423,19 +425,20 @@ def parse_genbank(text: str) -> list[Record]:
         elif part is None:
             raise ParseError("GenBank", n, "a record must start with LOCUS")
         elif line.startswith("DEFINITION"):
-            out[-1].description, part = line[12:].strip(), "definition"
+            pieces[-1][0][:], part = [line[12:].strip()], "definition"
         elif line.startswith("ORIGIN"):
             part = "origin"
         elif part == "origin":
-            out[-1].residues += _residues(line)
+            pieces[-1][1].append(_residues(line))
         elif part == "definition" and not key:
-            out[-1].description += " " + line.strip()
+            pieces[-1][0].append(line.strip())
         else:
             part = "head"
     if not out:
         raise ParseError("GenBank", 1, "no LOCUS line")
-    for r in out:
-        r.residues, r.description = _clean(r.residues), r.description.rstrip(".").strip()
+    for r, (description, residues) in zip(out, pieces, strict=True):
+        r.residues = _clean("".join(residues))
+        r.description = " ".join(description).rstrip(".").strip() if description else r.description.rstrip(".").strip()
     return out
 
 

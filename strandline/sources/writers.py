@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.alphabet import NEXUS_TYPE
 from strandline.errors import FormatError
 from strandline.functions import scalars as S
-from strandline.operators.stats import cells, shape
+from strandline.operators.stats import alphabet_guess, cells, shape
 
 
 def rows_to_write(seqs: DataFrame, include_hidden: bool = False, sanitize: bool = True, uppercase: bool = False) -> DataFrame:
@@ -93,11 +93,14 @@ def phylip(seqs: DataFrame, block_width: int = 60, strict: bool = False) -> Data
     return out.join(shape(seqs), "aln_id").select("aln_id", F.concat(F.col("rows").cast("string"), F.lit(" "), F.col("width").cast("string"), F.lit("\n"), "text").alias("text"))
 
 
-def nexus(seqs: DataFrame, alphabet: str) -> DataFrame:
+def nexus(seqs: DataFrame, alphabet: str | None = None) -> DataFrame:
+    """alphabet: of all alignments; where none is given, each one's is guessed."""
     quoted = F.when(F.regexp_like("id", F.lit(r"[\s()\[\]{}/\\,;:=*'\"<>`-]")), F.concat(F.lit("'"), F.replace(F.col("id"), F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(F.col("id"))
     body = _joined(require_rectangular(seqs).withColumn("_l", F.concat(F.lit("    "), quoted, F.lit(" "), "residues", F.lit("\n"))), F.col("_l"))
-    head = F.concat(F.lit("#NEXUS\n\nbegin data;\n  dimensions ntax="), F.col("rows").cast("string"), F.lit(" nchar="), F.col("width").cast("string"), F.lit(f";\n  format datatype={NEXUS_TYPE[alphabet]} gap=- missing=?;\n  matrix\n"))
-    return body.join(shape(seqs), "aln_id").select("aln_id", F.concat(head, "text", F.lit("  ;\nend;\n")).alias("text"))
+    head = F.concat(F.lit("#NEXUS\n\nbegin data;\n  dimensions ntax="), F.col("rows").cast("string"), F.lit(" nchar="), F.col("width").cast("string"), F.lit(";\n  format datatype="), F.col("_type"), F.lit(" gap=- missing=?;\n  matrix\n"))
+    types = F.create_map(*[F.lit(x) for pair in NEXUS_TYPE.items() for x in pair])
+    typed = shape(seqs).withColumn("_type", F.lit(NEXUS_TYPE[alphabet])) if alphabet else shape(seqs).join(alphabet_guess(seqs), "aln_id").withColumn("_type", types[F.col("alphabet")])
+    return body.join(typed, "aln_id").select("aln_id", F.concat(head, "text", F.lit("  ;\nend;\n")).alias("text"))
 
 
 def conservation(seqs: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def stockholm(seqs: DataFrame) -> DataFrame:
     return out.select("aln_id", F.concat(F.lit("# STOCKHOLM 1.0\n\n"), "text", F.lit("//\n")).alias("text"))
 
 
-def render(seqs: DataFrame, format: str, alphabet: str = "protein", **options) -> DataFrame:
+def render(seqs: DataFrame, format: str, alphabet: str | None = None, **options) -> DataFrame:
     """aln_id, text in a format that can be written."""
     by = {"fasta": fasta, "fastq": fastq, "phylip-relaxed": phylip, "clustal": clustal, "stockholm": stockholm}
     if format == "nexus":

@@ -190,3 +190,9 @@ def test_region_and_adding():
     both = msa.add_to(rows, ["ACDEFGHIKL", "CDEMMFGHI"], "protein")
     keep = [k for k in range(len(both[0])) if any(r[k] != "-" for r in both[:3])]
     assert ["".join(r[k] for k in keep) for r in both[:3]] == rows
+
+
+def test_published_scores_of_letters_for_several_residues():
+    t = matrices.blosum62().table
+    for pair, score in {"XA": 0, "XC": -2, "XW": -2, "XX": -1, "BN": 3, "BD": 4, "BB": 4, "ZQ": 3, "ZE": 4, "BZ": 1, "BL": -4, "JA": 0, "WW": 11, "CC": 9}.items():
+        assert t[ord(pair[0]), ord(pair[1])] == t[ord(pair[1]), ord(pair[0])] == score

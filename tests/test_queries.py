@@ -77,3 +77,22 @@ def test_block_parameters():
     for bad in (clean.Blocks(b1=5), clean.Blocks(b1=8, b2=7), clean.Blocks(b4=1)):
         with pytest.raises(Exception):
             bad.validate(10)
+
+
+def test_plans_of_many_edits_stay_short(spark):
+    import time
+
+    d = spark.createDataFrame([("x", i, f"s{i}", "ACGT-ACGT") for i in range(4)], "aln_id string, row_idx int, id string, residues string")
+    h, begin = History(d), time.time()
+    for i in range(12):
+        h.apply(f"edit {i}", lambda x: edits.insert_columns(x, 2, 1))
+    assert h.undo() == "edit 11" and {r["residues"] for r in h.current.collect()} == {"AC" + "-" * 11 + "GT-ACGT"}
+    assert time.time() - begin < 60
+
+
+def test_local_alignments_have_ranges(spark):
+    from strandline.operators import align
+
+    d = spark.createDataFrame([("x", 0, "a", "MMMWCHKWCHKMMM"), ("x", 1, "b", "GGWCHKWCHKGGGGG")], "aln_id string, row_idx int, id string, residues string")
+    r = align.pairwise_align(d, "protein", "local").first()
+    assert ("MMMWCHKWCHKMMM", "GGWCHKWCHKGGGGG")[r["i"]][r["start_i"] : r["end_i"]] == r["row_i"] == "WCHKWCHK" == ("MMMWCHKWCHKMMM", "GGWCHKWCHKGGGGG")[r["j"]][r["start_j"] : r["end_j"]]

@@ -98,3 +98,15 @@ def test_files_and_streams(spark, tmp_path):
         writers.stockholm(rows).collect()
     writers.write(rows, str(tmp_path / "out"), "fasta")
     assert any("AC" in f.read_text() for f in (tmp_path / "out").rglob("part-*"))
+
+
+def test_nexus_datatype_is_that_of_each_alignment(spark):
+    d = spark.createDataFrame([("d", 0, "a", "ACGTACGTAC"), ("d", 1, "b", "ACGTACGTAA"), ("p", 0, "a", "MKVLAWYRHE"), ("r", 0, "a", "ACGUUGCAUU")], "aln_id string, row_idx int, id string, residues string")
+    text = {r["aln_id"]: r["text"] for r in writers.render(d, "nexus").collect()}
+    assert ["datatype=" + x in text[k] for k, x in (("d", "dna"), ("p", "protein"), ("r", "rna"))] == [True] * 3
+
+
+def test_long_genbank_records_are_joined_once():
+    lines = "".join(f"{i * 60 + 1:>9} acgtacgtac gtacgtacgt acgtacgtac gtacgtacgt acgtacgtac gtacgtacgt\n" for i in range(30_000))
+    out = P.parse_genbank(f"LOCUS       X 1\nDEFINITION  one\n            two.\nORIGIN\n{lines}//\n")
+    assert (out[0].description, len(out[0].residues)) == ("one two", 1_800_000)
