@@ -65,12 +65,17 @@ class Blocks:
             raise AlgorithmError(f"b1 must be over half of {rows} rows and at most all, not {b1}")
         if not b1 <= b2 <= rows:
             raise AlgorithmError(f"b2 must be from b1 to {rows}, not {b2}")
+        self.validate_sizes()
+
+    def validate_sizes(self) -> None:
+        """What doesn't depend on the number of rows."""
         if self.b3 < 1 or self.b4 < 2 or self.b5 not in (NONE, HALF, ALL):
             raise AlgorithmError("b3 must be at least 1, b4 at least 2, and b5 none, half or all")
 
 
 def block_flags(seqs: DataFrame, alphabet: str, p: Blocks = Blocks()) -> DataFrame:
     """aln_id, col, flag. The most common letter decides (ties: the lowest byte); blanks are gaps and '?'."""
+    p.validate_sizes()
     u = S.upper(F.col("res"))
     letters = cells(seqs).where(~F.col("res").isin(*BLANKS)).groupBy("aln_id", "col", u.alias("res")).agg(F.count(F.lit(1)).alias("n"))
     rank = Window.partitionBy("aln_id", "col")
@@ -86,6 +91,8 @@ def block_flags(seqs: DataFrame, alphabet: str, p: Blocks = Blocks()) -> DataFra
     rows, gaps = F.col("rows"), F.col("rows") - F.col("filled")
     b1 = F.floor(rows / 2) + 1 if p.b1 is None else F.lit(p.b1)
     b2 = F.greatest(F.floor((17 * rows + 19) / 20), b1) if p.b2 is None else b1 if p.b2 < 0 else F.lit(p.b2)
+    bad = F.raise_error(F.concat(F.lit(f"b1 {p.b1} and b2 {p.b2} don't suit the rows of "), "aln_id"))
+    full = full.where(F.when((b1 * 2 > rows) & (b1 <= b2) & (b2 <= rows), F.lit(True)).otherwise(bad.cast("boolean")))
     allowed = {NONE: gaps == 0, HALF: gaps * 2 < rows, ALL: F.lit(True)}[p.b5]
     flank = F.when(F.col("identities") * 2 > rows, F.col("similarities")).otherwise(F.col("identities"))
     return full.select("aln_id", "col", F.when(~allowed, GAPPY).when(flank >= b2, HIGH).when(F.col("identities") >= b1, CONSERVED).otherwise(NONCONSERVED).alias("flag"))

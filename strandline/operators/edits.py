@@ -1,4 +1,8 @@
-"""Row and column edits: each takes and gives a set of sequences. Rows and columns count from 0."""
+"""Row and column edits: each takes and gives a set of sequences. Rows and columns count from 0.
+
+An edit runs on all alignments of a set. A place that one of them doesn't have leaves that one as it is, or,
+with strict=True, fails the query.
+"""
 
 from __future__ import annotations
 
@@ -27,56 +31,117 @@ def _padded(seqs: DataFrame, least: int = 0) -> DataFrame:
     return p.withColumn("residues", S.pad(F.col("residues"), F.col("_w")))
 
 
+def _require(df: DataFrame, ok: Column, what: str) -> DataFrame:
+    """The same rows; the query fails at the first that isn't ok."""
+    bad = F.raise_error(F.concat(F.lit(f"out of range: {what} in "), "aln_id"))
+    return df.where(F.when(ok, F.lit(True)).otherwise(bad.cast("boolean")))
+
+
+def _require_row(seqs: DataFrame, row: int) -> DataFrame:
+    rows = shape(seqs).select("aln_id", F.col("rows").alias("_rows"))
+    return _require(seqs.join(rows, "aln_id"), F.col("_rows") > row, f"row {row}").select(*seqs.columns)
+
+
 def pad_rows(seqs: DataFrame) -> DataFrame:
     return _padded(seqs).select(*seqs.columns)
 
 
-def set_residue(seqs: DataFrame, row: int, col: int, residue: str) -> DataFrame:
-    """Overwrite one cell; a short row is padded up to it."""
+def set_residue(seqs: DataFrame, row: int, col: int, residue: str, strict: bool = False) -> DataFrame:
+    """Overwrite one cell; a short row is padded up to it, its scores with 0."""
+    if row < 0 or col < 0:
+        raise OutOfRangeError("negative row or column")
+    seqs = _require_row(seqs, row) if strict else seqs
     r = S.pad(F.col("residues"), F.lit(col + 1))
     new = F.concat(F.substring(r, 1, col), F.lit(residue), F.substring(r, col + 2, 1 << 30))
-    return _with(seqs, F.when(F.col("row_idx") == row, new).otherwise(F.col("residues")))
+    here = F.col("row_idx") == row
+    q = F.when(here & (F.length("residues") <= col), S.pad_quality(F.col("quality"), F.lit(col + 1))).otherwise(F.col("quality")) if "quality" in seqs.columns else None
+    return _with(seqs, F.when(here, new).otherwise(F.col("residues")), q)
 
 
-def insert_columns(seqs: DataFrame, at: int, count: int) -> DataFrame:
+def insert_columns(seqs: DataFrame, at: int, count: int, strict: bool = False) -> DataFrame:
     """Gap columns before column `at`; alignments narrower than that stay as they are."""
     if at < 0 or count < 0:
         raise OutOfRangeError("negative column or count")
     p = _padded(seqs)
+    p = _require(p, F.col("_w") >= at, f"column {at}") if strict and count else p
     r = F.col("residues")
     new = F.concat(F.substring(r, 1, at), F.lit("-" * count), F.substring(r, at + 1, 1 << 30))
     q = F.concat(F.slice("quality", 1, at), F.array_repeat(F.lit(0).cast("smallint"), count), F.slice("quality", at + 1, 1 << 30)) if "quality" in seqs.columns else None
+    q = F.when(F.col("_w") >= at, q).otherwise(F.col("quality")) if q is not None else None
     return _with(p, F.when(F.col("_w") >= at, new).otherwise(r), q).select(*seqs.columns)
 
 
-def delete_columns(seqs: DataFrame, start: int, end: int) -> DataFrame:
+def delete_columns(seqs: DataFrame, start: int, end: int, strict: bool = False) -> DataFrame:
     if not 0 <= start <= end:
         raise OutOfRangeError("columns out of order")
     p = _padded(seqs)
+    p = _require(p, F.col("_w") >= end, f"column {end}") if strict else p
     r = F.col("residues")
     q = F.concat(F.slice("quality", 1, start), F.slice("quality", end + 1, 1 << 30)) if "quality" in seqs.columns else None
     return _with(p, F.concat(F.substring(r, 1, start), F.substring(r, end + 1, 1 << 30)), q).select(*seqs.columns)
 
 
+def removed_columns(seqs: DataFrame, start: int, end: int) -> DataFrame:
+    """aln_id, row_idx, removed: what delete_columns() takes away, for restore_columns()."""
+    if not 0 <= start <= end:
+        raise OutOfRangeError("columns out of order")
+    return _padded(seqs).select("aln_id", "row_idx", F.substring("residues", start + 1, end - start).alias("removed"))
+
+
+def restore_columns(seqs: DataFrame, at: int, removed: DataFrame) -> DataFrame:
+    """Columns of removed_columns() put back before column `at`; shorter rows are padded up to it, scores come back as 0.
+
+    The query fails where a row has no columns to get back, or the other way round.
+    """
+    if at < 0:
+        raise OutOfRangeError("negative column")
+    back = removed.select(F.col("aln_id").alias("_a"), F.col("row_idx").alias("_r"), F.col("removed").alias("_b"))
+    both = seqs.join(back, (F.col("aln_id") == F.col("_a")) & (F.col("row_idx") == F.col("_r")), "full")
+    bad = F.raise_error(F.concat(F.lit("out of range: rows to restore in "), F.coalesce("aln_id", "_a")))
+    both = both.where(F.when(F.col("row_idx").isNotNull() & F.col("_r").isNotNull(), F.lit(True)).otherwise(bad.cast("boolean")))
+    r = S.pad(F.col("residues"), F.greatest(F.length("residues"), F.lit(at)))
+    q = None
+    if "quality" in seqs.columns:
+        scores = S.pad_quality(F.col("quality"), F.greatest(F.size("quality"), F.lit(at)))
+        q = F.concat(F.slice(scores, 1, at), F.array_repeat(F.lit(0).cast("smallint"), F.length("_b")), F.slice(scores, at + 1, 1 << 30))
+    return _with(both, F.concat(F.substring(r, 1, at), "_b", F.substring(r, at + 1, 1 << 30)), q).select(*seqs.columns)
+
+
 def keep_columns(seqs: DataFrame, mask: DataFrame) -> DataFrame:
-    """mask: aln_id, col, keep. An alignment's kept columns travel as one array to its rows."""
-    kept = mask.groupBy("aln_id").agg(F.sort_array(F.collect_list(F.when(F.col("keep"), F.col("col")))).alias("_kept"))
-    p = _padded(seqs).join(kept, "aln_id")
+    """mask: aln_id, col, keep, one row for each column, else the query fails. Kept columns travel as one array to the rows."""
+    kept = mask.groupBy("aln_id").agg(F.count(F.lit(1)).alias("_m"), F.sort_array(F.collect_list(F.when(F.col("keep"), F.col("col")))).alias("_kept"))
+    p = _require(_padded(seqs).join(kept, "aln_id"), F.col("_m") == F.col("_w"), "size of the mask")
     new = F.array_join(F.transform("_kept", lambda i: F.substring("residues", i + 1, F.lit(1))), "")
     q = F.transform("_kept", lambda i: F.get("quality", i)) if "quality" in seqs.columns else None
     return _with(p, new, q).select(*seqs.columns)
 
 
-def insert_gap(seqs: DataFrame, row: int, col: int) -> DataFrame:
-    r = F.col("residues")
+def insert_gap(seqs: DataFrame, row: int, col: int, strict: bool = False) -> DataFrame:
+    """One gap before column `col` of a row, with score 0. A row that ends before it stays, or is padded if strict."""
+    if row < 0 or col < 0:
+        raise OutOfRangeError("negative row or column")
+    seqs = _require_row(seqs, row) if strict else seqs
+    here = F.col("row_idx") == row if strict else (F.col("row_idx") == row) & (F.length("residues") >= col)
+    r = S.pad(F.col("residues"), F.greatest(F.length("residues"), F.lit(col)))
     new = F.concat(F.substring(r, 1, col), F.lit("-"), F.substring(r, col + 1, 1 << 30))
-    return _with(seqs, F.when((F.col("row_idx") == row) & (F.length(r) >= col), new).otherwise(r))
+    q = None
+    if "quality" in seqs.columns:
+        scores = S.pad_quality(F.col("quality"), F.greatest(F.size("quality"), F.lit(col)))
+        q = F.when(here, F.concat(F.slice(scores, 1, col), F.array(F.lit(0).cast("smallint")), F.slice(scores, col + 1, 1 << 30))).otherwise(F.col("quality"))
+    return _with(seqs, F.when(here, new).otherwise(F.col("residues")), q)
 
 
-def delete_at(seqs: DataFrame, row: int, col: int) -> DataFrame:
+def delete_at(seqs: DataFrame, row: int, col: int, strict: bool = False) -> DataFrame:
+    """One position of a row goes, with its score; a row that ends before it stays, or fails the query if strict."""
+    if row < 0 or col < 0:
+        raise OutOfRangeError("negative row or column")
+    here = F.col("row_idx") == row
+    if strict:
+        seqs = _require(_require_row(seqs, row), ~here | (F.length("residues") > col), f"column {col}")
     r = F.col("residues")
     new = F.concat(F.substring(r, 1, col), F.substring(r, col + 2, 1 << 30))
-    return _with(seqs, F.when(F.col("row_idx") == row, new).otherwise(r))
+    q = F.when(here, F.concat(F.slice("quality", 1, col), F.slice("quality", col + 2, 1 << 30))).otherwise(F.col("quality")) if "quality" in seqs.columns else None
+    return _with(seqs, F.when(here, new).otherwise(r), q)
 
 
 def all_gap_columns(seqs: DataFrame) -> DataFrame:

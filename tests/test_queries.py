@@ -56,6 +56,38 @@ def test_edits(spark):
     assert edits.rename(d, 1, "new name").where("row_idx = 1").first()["id"] == "new"
 
 
+def test_edits_keep_scores_in_step(spark):
+    d = seqs(spark, "ACGT", "AC")
+    for new in (edits.insert_gap(d, 1, 1), edits.delete_at(d, 0, 3), edits.set_residue(d, 1, 3, "T"), edits.insert_gap(d, 1, 5, strict=True), edits.insert_columns(d, 4, 2), edits.insert_columns(d, 9, 2)):
+        assert all(len(r["residues"]) == len(r["quality"]) for r in new.collect())
+    assert texts(edits.insert_gap(d, 1, 5, strict=True)) == ["ACGT", "AC----"]
+    assert edits.delete_at(d, 0, 0).orderBy("row_idx").first()["quality"] == [1, 1, 1]
+
+
+def test_places_outside(spark):
+    d = seqs(spark, "ACGT", "AC")
+    outside = [
+        edits.insert_columns(d, 5, 1, strict=True), edits.delete_columns(d, 2, 5, strict=True), edits.set_residue(d, 2, 0, "A", strict=True),
+        edits.insert_gap(d, 2, 0, strict=True), edits.delete_at(d, 1, 2, strict=True), edits.keep_columns(d, spark.createDataFrame([("a", 0, True)], "aln_id string, col int, keep boolean")),
+        edits.restore_columns(d, 0, edits.removed_columns(d, 0, 2).where("row_idx = 0")), edits.restore_columns(d.where("row_idx = 0"), 0, edits.removed_columns(d, 0, 2)),
+        clean.block_mask(d, "DNA", clean.Blocks(b1=3)), clean.block_mask(d, "DNA", clean.Blocks(b1=2, b2=1)),
+    ]
+    for df in outside:
+        with pytest.raises(Exception, match="out of range|don't suit"):
+            df.collect()
+    assert texts(edits.insert_columns(d, 4, 1, strict=True)) == ["ACGT-", "AC---"] and texts(edits.delete_columns(d, 2, 4, strict=True)) == ["AC", "AC"]
+    for wrong in (lambda: edits.insert_gap(d, -1, 0), lambda: clean.block_mask(d, "DNA", clean.Blocks(b4=1))):
+        with pytest.raises(Exception):
+            wrong()
+
+
+def test_deleted_columns_come_back(spark):
+    d = seqs(spark, "ACGT-A", "ACG", "")
+    back = edits.restore_columns(edits.delete_columns(d, 1, 4), 1, edits.removed_columns(d, 1, 4))
+    assert texts(back) == ["ACGT-A", "ACG---", "------"]
+    assert back.orderBy("row_idx").first()["quality"] == [1, 0, 0, 0, 1, 1]
+
+
 def test_history(spark):
     d = seqs(spark, "AC-T")
     h = History(d, limit=2)
