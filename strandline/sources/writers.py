@@ -33,6 +33,19 @@ def _joined(rows: DataFrame, line: Column, between: str = "") -> DataFrame:
     return rows.groupBy("aln_id").agg(F.array_join(F.transform(items, lambda x: x["line"]), between).alias("text"))
 
 
+def _in_blocks(rows: DataFrame, label: Column, width: int, later_label: Column | None = None) -> DataFrame:
+    """One text for each alignment: all rows' first columns, a blank line, their next columns and so on.
+
+    rows: of equal length. later_label: what lines of the second and later blocks begin with, if not label.
+    """
+    parts = F.when(F.length("residues") > 0, wrap(F.col("residues"), width)).otherwise(F.array(F.lit("")))
+    each = rows.select("aln_id", "row_idx", label.alias("_first"), (label if later_label is None else later_label).alias("_later"), F.posexplode(parts).alias("block", "part"))
+    lead = F.when((F.col("block") > 0) & (F.col("row_idx") == F.min("row_idx").over(Window.partitionBy("aln_id", "block"))), "\n").otherwise("")
+    line = F.concat(lead, F.when(F.col("block") > 0, F.col("_later")).otherwise(F.col("_first")), "part", F.lit("\n"))
+    items = F.sort_array(F.collect_list(F.struct("block", "row_idx", "line")))
+    return each.withColumn("line", line).groupBy("aln_id").agg(F.array_join(F.transform(items, lambda x: x["line"]), "").alias("text"))
+
+
 def require_rectangular(seqs: DataFrame) -> DataFrame:
     """The same rows; the query fails where an alignment's rows differ in length."""
     bad = F.raise_error(F.concat(F.lit("rows of unequal length in "), "aln_id"))
@@ -83,21 +96,29 @@ def _with_strict_names(seqs: DataFrame) -> DataFrame:
     return seqs.drop("id").join(names, ["aln_id", "row_idx"])
 
 
-def phylip(seqs: DataFrame, block_width: int = 60, strict: bool = False) -> DataFrame:
-    """Relaxed: names padded to the longest, wrapped rows continue after blanks. Strict: ten-column names."""
+def phylip(seqs: DataFrame, block_width: int = 60, strict: bool = False, interleaved: bool = False) -> DataFrame:
+    """Relaxed: names padded to the longest, wrapped rows continue after blanks. Strict: ten-column names.
+
+    interleaved: blocks of all rows; only the first has names.
+    """
     r = require_rectangular(_with_strict_names(seqs) if strict else seqs)
     r = r.withColumn("_n", F.lit(10) if strict else F.max(F.length("id")).over(Window.partitionBy("aln_id")) + 1)
     lines = wrap(F.col("residues"), block_width or 60)
     body = F.concat(F.rpad("id", F.col("_n"), F.lit(" ")), F.array_join(F.transform(lines, lambda x, i: F.when(i > 0, F.concat(F.lit("\n"), F.repeat(F.lit(" "), F.col("_n")), x)).otherwise(x)), ""), F.lit("\n"))
-    out = _joined(r.withColumn("_l", body), F.col("_l"))
+    if interleaved:
+        out = _in_blocks(r, F.rpad("id", F.col("_n"), F.lit(" ")), block_width or 60, F.lit(""))
+    else:
+        out = _joined(r.withColumn("_l", body), F.col("_l"))
     return out.join(shape(seqs), "aln_id").select("aln_id", F.concat(F.col("rows").cast("string"), F.lit(" "), F.col("width").cast("string"), F.lit("\n"), "text").alias("text"))
 
 
-def nexus(seqs: DataFrame, alphabet: str | None = None) -> DataFrame:
-    """alphabet: of all alignments; where none is given, each one's is guessed."""
+def nexus(seqs: DataFrame, alphabet: str | None = None, interleaved: bool = False, block_width: int = 60) -> DataFrame:
+    """alphabet: of all alignments; where none is given, each one's is guessed. interleaved: blocks of all rows."""
     quoted = F.when(F.regexp_like("id", F.lit(r"[\s()\[\]{}/\\,;:=*'\"<>`-]")), F.concat(F.lit("'"), F.replace(F.col("id"), F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(F.col("id"))
-    body = _joined(require_rectangular(seqs).withColumn("_l", F.concat(F.lit("    "), quoted, F.lit(" "), "residues", F.lit("\n"))), F.col("_l"))
-    head = F.concat(F.lit("#NEXUS\n\nbegin data;\n  dimensions ntax="), F.col("rows").cast("string"), F.lit(" nchar="), F.col("width").cast("string"), F.lit(";\n  format datatype="), F.col("_type"), F.lit(" gap=- missing=?;\n  matrix\n"))
+    name = F.concat(F.lit("    "), quoted, F.lit(" "))
+    r = require_rectangular(seqs)
+    body = _in_blocks(r, name, block_width or 60) if interleaved else _joined(r.withColumn("_l", F.concat(name, "residues", F.lit("\n"))), F.col("_l"))
+    head = F.concat(F.lit("#NEXUS\n\nbegin data;\n  dimensions ntax="), F.col("rows").cast("string"), F.lit(" nchar="), F.col("width").cast("string"), F.lit(";\n  format datatype="), F.col("_type"), F.lit(f" gap=- missing=?{' interleave=yes' if interleaved else ''};\n  matrix\n"))
     types = F.create_map(*[F.lit(x) for pair in NEXUS_TYPE.items() for x in pair])
     typed = shape(seqs).withColumn("_type", F.lit(NEXUS_TYPE[alphabet])) if alphabet else shape(seqs).join(alphabet_guess(seqs), "aln_id").withColumn("_type", types[F.col("alphabet")])
     return body.join(typed, "aln_id").select("aln_id", F.concat(head, "text", F.lit("  ;\nend;\n")).alias("text"))
@@ -125,30 +146,34 @@ def clustal(seqs: DataFrame, block_width: int = 60) -> DataFrame:
     return out.select("aln_id", F.concat(F.lit("CLUSTAL multiple sequence alignment\n\n\n"), "text").alias("text"))
 
 
-def stockholm(seqs: DataFrame) -> DataFrame:
+def stockholm(seqs: DataFrame, interleaved: bool = False, block_width: int = 60) -> DataFrame:
     r = require_rectangular(seqs).withColumn("_n", F.max(F.length("id")).over(Window.partitionBy("aln_id")) + 2)
-    out = _joined(r.withColumn("_l", F.concat(F.rpad("id", F.col("_n"), F.lit(" ")), "residues", F.lit("\n"))), F.col("_l"))
+    name = F.rpad("id", F.col("_n"), F.lit(" "))
+    out = _in_blocks(r, name, block_width or 60) if interleaved else _joined(r.withColumn("_l", F.concat(name, "residues", F.lit("\n"))), F.col("_l"))
     return out.select("aln_id", F.concat(F.lit("# STOCKHOLM 1.0\n\n"), "text", F.lit("//\n")).alias("text"))
 
 
-def render(seqs: DataFrame, format: str, alphabet: str | None = None, **options) -> DataFrame:
-    """aln_id, text in a format that can be written."""
+def render(seqs: DataFrame, format: str, alphabet: str | None = None, crlf: bool = False, **options) -> DataFrame:
+    """aln_id, text in a format that can be written; lines end in CR LF if crlf."""
     by = {"fasta": fasta, "fastq": fastq, "phylip-relaxed": phylip, "clustal": clustal, "stockholm": stockholm}
     if format == "nexus":
-        return nexus(seqs, alphabet)
-    if format == "phylip":
-        return phylip(seqs, strict=True, **options)
-    if format not in by:
+        out = nexus(seqs, alphabet, **options)
+    elif format == "phylip":
+        out = phylip(seqs, strict=True, **options)
+    elif format in by:
+        out = by[format](seqs, **options)
+    else:
         raise FormatError(f"can't write {format}")
-    return by[format](seqs, **options)
+    return out.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n"))) if crlf else out
 
 
 def write(seqs: DataFrame, path: str, format: str, **options) -> None:
     """One text row for each alignment in a directory of its own; Spark's commit makes it all or nothing.
 
-    pad=True: rows of unequal length are padded first, as formats of matrices need it.
+    pad=True: rows of unequal length are padded first, as formats of matrices need it. include_hidden, sanitize
+    and uppercase are those of rows_to_write(); other options go to the format.
     """
-    rows = rows_to_write(seqs)
+    rows = rows_to_write(seqs, **{k: options.pop(k) for k in ("include_hidden", "sanitize", "uppercase") if k in options})
     if options.pop("pad", False):
         from strandline.operators.edits import pad_rows
 

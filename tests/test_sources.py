@@ -110,3 +110,16 @@ def test_long_genbank_records_are_joined_once():
     lines = "".join(f"{i * 60 + 1:>9} acgtacgtac gtacgtacgt acgtacgtac gtacgtacgt acgtacgtac gtacgtacgt\n" for i in range(30_000))
     out = P.parse_genbank(f"LOCUS       X 1\nDEFINITION  one\n            two.\nORIGIN\n{lines}//\n")
     assert (out[0].description, len(out[0].residues)) == ("one two", 1_800_000)
+
+
+def test_interleaved_layouts_and_line_ends(spark):
+    d = spark.createDataFrame([("a", 0, "one", "ACGTACGT"), ("a", 1, "second", "AC-TACGA")], "aln_id string, row_idx int, id string, residues string")
+    text = {f: writers.render(d, f, interleaved=True, block_width=3).first()["text"] for f in ("phylip", "phylip-relaxed", "nexus", "stockholm")}
+    assert text["phylip-relaxed"] == "2 8\none    ACG\nsecond AC-\n\nTAC\nTAC\n\nGT\nGA\n"
+    assert text["stockholm"] == "# STOCKHOLM 1.0\n\none     ACG\nsecond  AC-\n\none     TAC\nsecond  TAC\n\none     GT\nsecond  GA\n//\n"
+    assert "interleave=yes" in text["nexus"]
+    for f, t in text.items():
+        assert rows(t, f) == [("one", "ACGTACGT"), ("second", "AC-TACGA")], f
+    for f in ("fasta", "clustal", "nexus"):
+        t = writers.render(d, f, crlf=True).first()["text"]
+        assert t.count("\r\n") == t.count("\n") > 2 and rows(t, f) == [("one", "ACGTACGT"), ("second", "AC-TACGA")]
