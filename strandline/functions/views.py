@@ -25,3 +25,13 @@ def column_at(seqs: DataFrame, number: int) -> DataFrame:
     """aln_id, row_idx, res of the column with this number (from 1); rows that end before it have a gap."""
     at = max(1, number)
     return seqs.select("aln_id", "row_idx", F.when(F.length("residues") >= at, F.substring("residues", at, 1)).otherwise("-").alias("res"))
+
+
+def class_runs(seqs: DataFrame, alphabet: str) -> DataFrame:
+    """aln_id, row_idx, start, end (exclusive), class: maximal runs of one colour class along each row. No shuffle."""
+    n = F.length("residues")
+    c = seqs.where(n > 0).select("aln_id", "row_idx", F.transform(S.cells_of(F.col("residues")), lambda x: S.residue_class(x, alphabet)).alias("_c"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_c") - 1), lambda i: (i == 0) | (F.get("_c", i) != F.get("_c", i - 1)))
+    c = c.withColumn("_s", starts)
+    runs = c.select("aln_id", "row_idx", "_c", "_s", F.posexplode("_s").alias("_k", "start"))
+    return runs.select("aln_id", "row_idx", "start", F.coalesce(F.get("_s", F.col("_k") + 1), F.size("_c")).alias("end"), F.get("_c", F.col("start")).alias("class"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.alphabet import BLANKS, PROTEIN, SIMILAR
 from strandline.errors import AlgorithmError
 from strandline.functions import scalars as S
+from strandline.operators.edits import keep_columns
 from strandline.operators.stats import _all_columns, as_float, cells, shape
 
 NONE, HALF, ALL = "none", "half", "all"
@@ -41,6 +42,21 @@ def trim_ends(seqs: DataFrame, min_occupancy: float) -> DataFrame:
     return ends.select("aln_id", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce(F.col("end") + 1, F.lit(0)).alias("end"))
 
 
+PRESET = 0.5  # of the two presets below
+
+
+def without_gappy_columns(seqs: DataFrame) -> DataFrame:
+    """Columns go that are blank in more than half of the rows."""
+    return keep_columns(seqs, gappy_columns(seqs, PRESET))
+
+
+def with_trimmed_ends(seqs: DataFrame) -> DataFrame:
+    """Columns go before the first and after the last that at least half of the rows fill."""
+    ends = trim_ends(seqs, PRESET)
+    mask = _all_columns(seqs).join(ends, "aln_id").select("aln_id", "col", ((F.col("col") >= F.col("start")) & (F.col("col") < F.col("end"))).alias("keep"))
+    return keep_columns(seqs, mask)
+
+
 @dataclass(frozen=True)
 class Blocks:
     """Parameters; b1 and b2 as shares of the rows are worked out for each alignment where they are None."""

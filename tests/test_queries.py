@@ -128,3 +128,13 @@ def test_local_alignments_have_ranges(spark):
     d = spark.createDataFrame([("x", 0, "a", "MMMWCHKWCHKMMM"), ("x", 1, "b", "GGWCHKWCHKGGGGG")], "aln_id string, row_idx int, id string, residues string")
     r = align.pairwise_align(d, "protein", "local").first()
     assert ("MMMWCHKWCHKMMM", "GGWCHKWCHKGGGGG")[r["i"]][r["start_i"] : r["end_i"]] == r["row_i"] == "WCHKWCHK" == ("MMMWCHKWCHKMMM", "GGWCHKWCHKGGGGG")[r["j"]][r["start_j"] : r["end_j"]]
+
+
+def test_presets_and_class_runs(spark):
+    from strandline.functions import views
+
+    d = seqs(spark, "--AC-T-", "-GAC-TT", "-GA-ATT")
+    assert texts(clean.without_gappy_columns(d)) == ["-ACT-", "GACTT", "GA-TT"]
+    assert texts(clean.with_trimmed_ends(d)) == ["-AC-T-", "GAC-TT", "GA-ATT"]
+    runs = views.class_runs(seqs(spark, "AA-?C", ""), "DNA").orderBy("start").collect()
+    assert [(r["row_idx"], r["start"], r["end"], r["class"]) for r in runs] == [(0, 0, 2, "A"), (0, 2, 4, "gap"), (0, 4, 5, "C")]
