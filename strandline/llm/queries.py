@@ -98,5 +98,39 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op5_lm_scores, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing)}
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.quality import judge, ledger
+
+    out = judge(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    first = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(*first, "failures", "sole_rule", "n_lines", "n_letter_words", "n_bullet_lines", "n_cut_lines")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY 1),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+             CAST(len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS BIGINT) AS n_letter_words,
+             CAST(len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[*•-]'))) AS BIGINT) AS n_bullet_lines,
+             CAST(len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_cut_lines
+      FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+             + CASE WHEN n_words > 100000 THEN 4 ELSE 0 END + CASE WHEN word_chars < 3 * n_words THEN 8 ELSE 0 END
+             + CASE WHEN word_chars > 10 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 32 ELSE 0 END
+             + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 64 ELSE 0 END + CASE WHEN 100 * n_letter_words < 80 * n_words THEN 128 ELSE 0 END
+             + CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 256 ELSE 0 END + CASE WHEN 100 * n_cut_lines > 30 * n_lines THEN 512 ELSE 0 END AS BIGINT) AS failures FROM m),
+v AS (SELECT *, bit_count(failures & 187) AS hard, bit_count(failures & 832) AS soft FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, hard = 0 AND soft <= 1 AS kept, failures,
+       CASE WHEN hard = 1 AND soft <= 1 THEN CASE failures & 187 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 8 THEN 'short_words' WHEN 16 THEN 'long_words' WHEN 32 THEN 'symbols' ELSE 'few_letters' END END AS sole_rule,
+       n_lines, n_letter_words, n_bullet_lines, n_cut_lines
+FROM v
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op5_lm_scores, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing, op11_quality)}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_quality": OP11_SQL}
