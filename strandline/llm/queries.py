@@ -132,5 +132,41 @@ FROM v
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op5_lm_scores, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing, op11_quality)}
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_quality": OP11_SQL}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.merkle import RESULTS, lowered, manifest
+
+    return manifest(table(spark, sf_dir, "documents"), lowered(F.col("text"), F.col("doc_id"))).select(*RESULTS)
+
+
+def _tree_sql(name: str, levels: int = 8) -> str:
+    """Common tables that fold the nodes of {name}_0 (tree, place, pos, n, h, p) level by level until a tree has one: `place` is the leaf's
+    place, `pos` that of its node, h the node's digest, p the siblings so far ([left, right] each). At most 16^levels leaves a tree."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}_g{k} AS (SELECT tree, pos // 16 AS run, string_agg(h, '' ORDER BY pos) AS hs FROM (SELECT DISTINCT tree, pos, h FROM {name}_{k} WHERE n > 1) GROUP BY ALL),
+{name}_{k + 1} AS (SELECT a.tree, place, pos // 16 AS pos, (n + 15) // 16 AS n, sha256(hs) AS h, list_append(p, [hs[1:64 * (pos % 16)], hs[64 * (pos % 16) + 65:]]) AS p
+  FROM {name}_{k} a JOIN {name}_g{k} g ON a.tree = g.tree AND a.pos // 16 = g.run WHERE n > 1 UNION ALL SELECT tree, place, pos, n, h, p FROM {name}_{k} WHERE n = 1)""")
+    return ",\n".join(out)
+
+
+def _op13_sql() -> str:
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', {c}) END"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = ", ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+    folds = ",\n".join(f"f{k} AS (SELECT * EXCLUDE (f), CASE WHEN len(p) >= {k} THEN sha256(concat(p[{k}][1], f, p[{k}][2])) ELSE f END AS f FROM f{k - 1})" for k in range(1, 17))
+    return f"""
+WITH d AS (SELECT doc_id, source, sha256(concat({head}, {part("text")})) AS leaf, sha256(concat({head}, {part(low)})) AS changed, {crc} % 5 = 0 AS tampered FROM documents),
+s AS (SELECT source, n, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM (SELECT source, count(*) AS n FROM d GROUP BY 1)),
+w_0 AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS place, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS pos, n, leaf AS h,
+  CAST([] AS VARCHAR[][]) AS p, doc_id, leaf, CASE WHEN tampered THEN changed ELSE leaf END AS start FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+t_0 AS (SELECT tree, place, pos, n, h, p FROM w_0), {_tree_sql("t")},
+u_0 AS (SELECT CAST(0 AS BIGINT) AS tree, tree AS place, tree AS pos, count(*) OVER () AS n, h, CAST([] AS VARCHAR[][]) AS p FROM (SELECT DISTINCT tree, h FROM t_8)), {_tree_sql("u")},
+f0 AS (SELECT w_0.doc_id, w_0.leaf, t_8.h AS subroot, u_8.h AS root, list_concat(t_8.p, u_8.p) AS p, w_0.start AS f FROM w_0 JOIN t_8 USING (tree, place) JOIN u_8 ON u_8.place = w_0.tree),
+{folds}
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda x: concat(x[1], x[2])), '')) AS proof_sha256, f AS folded_root, f = root AS verified FROM f16
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op5_lm_scores, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing, op11_quality, op13_merkle)}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_quality": OP11_SQL, "op13_merkle": _op13_sql()}
