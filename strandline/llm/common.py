@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -162,6 +162,18 @@ def salted_join(work: Workspace, left: DataFrame, right: DataFrame, key: list[st
     return one.join(many, [*key, "_lot"], how).drop("_lot")
 
 
+def placed(work: Workspace, df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df stored in sorted runs, with `run` and `place`, its place in the whole order from 0."""
+    sorted_runs = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    stored = work.store(sorted_runs, name)
+    at, run = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("_at", 33)
+    stored = stored.withColumn("run", run)
+    # One row for each task that sorted: their counts are summed up in one window, and broadcast.
+    sizes = stored.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("run", (F.sum("_n").over(Window.orderBy("run")) - F.col("_n")).alias("_before"))
+    return stored.join(F.broadcast(before), "run").withColumn("place", at + F.col("_before")).drop("_at", "_before")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

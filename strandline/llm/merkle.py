@@ -18,10 +18,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Workspace, ascii_lower, keep, text_buffer
+from strandline.llm.common import Workspace, ascii_lower, keep, placed, text_buffer
 from strandline.llm.decontamination import small
 
 FANOUT = 16
@@ -41,18 +41,6 @@ def leaf(columns: list[Column]) -> Column:
     return digest(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
 
 
-def _placed(work: Workspace, df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df stored in sorted runs, with `run` and `place`, its place in the whole order from 0."""
-    sorted_runs = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    stored = work.store(sorted_runs, name)
-    at, run = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("_at", 33)
-    stored = stored.withColumn("run", run)
-    # One row for each task that sorted: their counts are summed up in one window, and broadcast.
-    sizes = stored.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("run", (F.sum("_n").over(Window.orderBy("run")) - F.col("_n")).alias("_before"))
-    return stored.join(F.broadcast(before), "run").withColumn("place", at + F.col("_before")).drop("_at", "_before")
-
-
 def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (tree, pos, n, hash) in the order of a file to rows of RUN; a run that goes on in another file comes in parts."""
     held = None
@@ -164,9 +152,9 @@ def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
         own = [F.col(c) for c in FIELDS]
         checked = F.lit(None).cast("string") if altered is None else F.when(altered.isNotNull(), leaf([*own[:-1], altered]))
         rows = work.store(docs.select("doc_id", "source", leaf(own).alias("leaf"), checked.alias("checked"), F.monotonically_increasing_id().alias("u")), "rows")
-        placed = _placed(work, rows, ["source", "doc_id", "leaf", "u"], "leaves")
+        placed = placed(work, rows, ["source", "doc_id", "leaf", "u"], "leaves")
         sources = placed.groupBy("source").agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("n"))
-        trees = _placed(work, sources, ["source"], "sources").select("source", F.col("place").alias("tree"), "begin", "n")
+        trees = placed(work, sources, ["source"], "sources").select("source", F.col("place").alias("tree"), "begin", "n")
         trees = work.store(trees, "trees")
         most, n_trees = trees.agg(F.max("n"), F.count(F.lit(1))).first()
         # What leads from a run's row to its coordinate: a row for each run and source, so that no key has more rows than a run.

@@ -132,6 +132,25 @@ FROM v
 """
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.negatives import hard_negatives, whole_numbers
+
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(whole_numbers(rows), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.merkle import RESULTS, lowered, manifest
 
@@ -168,5 +187,5 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lam
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op5_lm_scores, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing, op11_quality, op13_merkle)}
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_quality": OP11_SQL, "op13_merkle": _op13_sql()}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_privacy, op3_toxicity, op4_sharding, op5_lm_scores, op6_token_ids, op7_neardup, op8_langid, op9_fingerprints, op10_packing, op11_quality, op12_negatives, op13_merkle)}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_quality": OP11_SQL, "op12_negatives": OP12_SQL, "op13_merkle": _op13_sql()}
