@@ -30,16 +30,18 @@ from strandline.llm.common import Workspace, keep, placed
 
 #: Reference points, and the rows they are fitted on (a bounded sample, by hash; it bears on speed alone).
 PIVOTS, SAMPLE_ROWS = 64, 4096
+#: Rows of the sample that first radii are guessed from.
+SEEN_ROWS = 256
 SEGMENT_ROWS = 1024
 #: Most bytes of the vectors of one block of anchors.
 BLOCK_BYTES = 16 << 20
 #: Anchors that a kernel takes at once.
 KERNEL_ROWS = 2048
-#: Relative slack of distances, far over their rounding.
-SLACK = 1e-9
+#: Slack of distances, relative and as a share of the longest vector, far over their rounding.
+SLACK, SHARE = 1e-9, 1e-6
 SEGMENT = "pivot int, lo double, hi double, rows int, uids binary, ids binary, labels binary, vectors binary"
 FOUND = "uid long, anchor_id long, slot int, id long, score long"
-NONE, LEAST = -np.inf, np.iinfo(np.int64).min
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256, vector: str = "embedding") -> DataFrame:
@@ -84,6 +86,10 @@ class Space(NamedTuple):
     def of_anchors(self, v: np.ndarray) -> np.ndarray:
         return np.hstack([v.astype(np.float64), np.zeros((len(v), 1))])
 
+    @property
+    def slack(self) -> float:
+        return SHARE * max(1.0, float(self.most) ** 0.5)
+
     @property
     def kind(self) -> type:
         return next(t for t in (np.int16, np.int32, np.int64) if self.large <= np.iinfo(t).max)
@@ -171,8 +177,9 @@ class Block(NamedTuple):
     k: int
 
 
-def _meets(far: np.ndarray, r: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    wide = r * (1 + SLACK) + SLACK * (1 + far)
+def _meets(far: np.ndarray, r: np.ndarray, lo: float, hi: float, slack: float) -> np.ndarray:
+    """Of anchors so far from a pivot, those whose keys within r of theirs meet lo to hi."""
+    wide = r * (1 + SLACK) + slack
     return (r >= 0) & (lo <= far + wide) & (hi >= far - wide)
 
 
@@ -181,11 +188,11 @@ def _best(scores: np.ndarray, allowed: np.ndarray, k: int, exact: bool) -> tuple
     n = scores.shape[1]
     k = min(k, n)
     if exact:  # score and place as one number
-        value = np.where(allowed, scores * n + (n - 1 - np.arange(n)), NONE)
+        value = np.where(allowed, scores * n + (n - 1 - np.arange(n)), -np.inf)
         top = np.argpartition(-value, k - 1, axis=1)[:, :k]
     else:
-        value = np.where(allowed, scores.astype(object), -(1 << 100))
-        top = np.argsort(-value, axis=1, kind="stable")[:, :k]
+        value = np.where(allowed, ~scores, MOST)
+        top = np.argsort(value, axis=1, kind="stable")[:, :k]
     return top, np.take_along_axis(allowed, top, 1)
 
 
@@ -196,11 +203,11 @@ def _scan(space: Space, shared):
         a: Block = shared.value
         m, slots = a.lo.shape
         x = a.vectors.astype(np.float64 if exact else np.int64)
-        score, ids = np.full((m, slots, a.k), LEAST), np.full((m, slots, a.k), np.iinfo(np.int64).max)
+        score, ids = np.full((m, slots, a.k), LEAST), np.full((m, slots, a.k), MOST)
         for b in batches:
             for s in b.to_pylist():
                 far = a.far[:, s["pivot"]]
-                due = np.flatnonzero(_meets(far, a.new, s["lo"], s["hi"]) & ~_meets(far, a.old, s["lo"], s["hi"]))
+                due = np.flatnonzero(_meets(far, a.new, s["lo"], s["hi"], space.slack) & ~_meets(far, a.old, s["lo"], s["hi"], space.slack))
                 if not len(due):
                     continue
                 uid, vec_id, label = (np.frombuffer(s[c], np.int64) for c in ("uids", "ids", "labels"))
@@ -218,7 +225,7 @@ def _scan(space: Space, shared):
                             continue
                         top, real = _best(got[some], allowed[some], a.k, exact)
                         new = np.where(real, np.take_along_axis(got[some], top, 1), LEAST).astype(np.int64)
-                        new_id = np.where(real, vec_id[top], np.iinfo(np.int64).max)
+                        new_id = np.where(real, vec_id[top], MOST)
                         both, both_id = np.hstack([score[i[some], j], new]), np.hstack([ids[i[some], j], new_id])
                         order = np.lexsort((both_id, ~both), axis=-1)[:, : a.k]
                         score[i[some], j], ids[i[some], j] = np.take_along_axis(both, order, 1), np.take_along_axis(both_id, order, 1)
@@ -235,7 +242,8 @@ class Index:
 
     def __init__(self, work: Workspace, vectors: DataFrame):
         self.work = work
-        self.space, self.sample_labels, self.sample = space_of(vectors)
+        self.space, labels, sample = space_of(vectors)
+        self.sample_labels, self.sample = labels[:SEEN_ROWS], sample[:SEEN_ROWS]
         keyed = vectors.withColumn("uid", F.monotonically_increasing_id())
         schema = "vec_id long, label long, v array<long>, uid long, pivot int, key double"
         self.keyed = work.store(keyed.select("vec_id", "label", "v", "uid").mapInArrow(_keyed(self.space), schema), "keyed")
@@ -253,33 +261,31 @@ class Index:
 
     def _radius(self, square: np.ndarray, score: np.ndarray) -> np.ndarray:
         """The distance from anchors (of such squares of lengths) at which a vector has that score."""
-        with np.errstate(invalid="ignore"):
-            return np.sqrt(np.maximum(square + self.space.most - 2 * score, 0))
+        return np.sqrt(np.maximum(square + self.space.most - 2 * score, 0))
 
     def search(self, anchors: tuple, lo: np.ndarray, hi: np.ndarray, same: bool, k: int) -> DataFrame:
         """FOUND and rank: for each anchor and slot the first k rows by score, then id, with lo <= score <= hi and the anchor's
-        label or another one; lo = inf: the slot is empty."""
+        label or another one; lo = MOST: the slot is empty; lo = LEAST and hi = MOST: without bounds."""
         uids, ids, labels, vectors = anchors
         x = vectors.astype(np.float64)
         square, far = (x * x).sum(1), self.space.to_pivots(self.space.of_anchors(vectors))
         m, slots = lo.shape
-        empty = np.isinf(lo) & (lo > 0)
-        with np.errstate(invalid="ignore"):
-            cap = self._radius(square, np.where(empty, np.inf, lo).min(1))  # beyond it nothing is sought
-        cap = np.where(empty.all(1), -1.0, cap)
-        inner = self._radius(square, np.where(empty, np.inf, hi).min(1))
+        empty, slack = lo == MOST, self.space.slack
+        cap = self._radius(square, np.where(empty, np.inf, np.where(lo == LEAST, -np.inf, lo)).min(1)) * (1 + 4 * SLACK) + 4 * slack  # beyond it nothing is sought
+        inner = self._radius(square, np.where(empty | (hi == MOST), np.inf, hi).min(1))
         seen = self._radius(square[:, None], x @ self.sample.T.astype(np.float64))  # of the sample
         fit = (labels[:, None] == self.sample_labels) == same
         if same:
             fit &= seen > 0
         seen = np.sort(np.where(fit & (seen >= inner[:, None]), seen, np.inf), axis=1)
         new = np.minimum(seen[:, min(1, seen.shape[1] - 1)] if seen.size else np.full(m, np.inf), cap)
+        median = np.sort(np.where(np.isinf(seen), 0, seen), axis=1)[:, seen.shape[1] // 2] if seen.size else np.zeros(m)
         old, active, best, n_round = np.full(m, -1.0), ~empty.all(1), None, 0
         while active.any():
             i = np.flatnonzero(active)
             block = Block(uids[i], ids[i], labels[i], vectors[i], far[i], old[i], new[i], lo[i], hi[i], same, k)
             shared = self.work.spark.sparkContext.broadcast(block)
-            wide = new[i] * (1 + SLACK) + SLACK * (1 + far[i].max())
+            wide = new[i] * (1 + SLACK) + slack
             spans = [(p, float((far[i, p] - wide).min()), float((far[i, p] + wide).max())) for p in range(far.shape[1])]
             reach = F.broadcast(self.work.spark.createDataFrame(spans, "pivot int, from_key double, to_key double"))  # a row for each pivot
             near = self.segments.join(reach, "pivot").where("hi >= from_key AND lo <= to_key").drop("from_key", "to_key")
@@ -295,19 +301,17 @@ class Index:
             slot = state["slot"].to_numpy()
             n[row, slot], least[row, slot] = state["n"].to_numpy(), state["least"].to_numpy()
             full = n == k
-            # What was not read is farther than the radius.
-            sure = np.where(np.isinf(new), 0, new * (1 - SLACK) - SLACK)
-            bound = np.where(np.isinf(new), NONE, (square + self.space.most - np.maximum(sure, 0) ** 2) / 2)[:, None]
+            # What was not read is farther away than the radius.
+            sure = np.maximum(new * (1 - SLACK) - slack, 0)
+            bound = ((square + self.space.most - sure**2) / 2)[:, None]
             done = empty | (full & (least >= bound)) | (lo > bound) | np.isinf(new)[:, None]
             active &= ~done.all(1)
-            enough = (full | done).all(1)
-            enough_r = np.where(full & ~done, self._radius(square[:, None], np.where(full, least, 0)), 0).max(1) * (1 + 4 * SLACK) + 4 * SLACK
-            median = np.sort(np.where(np.isinf(seen), 0, seen), axis=1)[:, seen.shape[1] // 2] if seen.size else np.zeros(m)
-            wider = np.maximum(median, 1.25 * new) if n_round < 2 else np.full(m, np.inf)
-            old, new = np.where(active, new, old), np.where(active, np.minimum(np.maximum(np.where(enough, enough_r, wider), new), np.maximum(cap * (1 + 4 * SLACK) + 4 * SLACK, new)), new)
+            # Where all slots are full, the distance of their last rows is sure to do; else farther out, at last everything.
+            certain = np.where(full & ~done, self._radius(square[:, None], np.where(full, least, 0)), 0).max(1) * (1 + 4 * SLACK) + 4 * slack
+            farther = np.maximum(median, 1.25 * new) if n_round < 2 else np.full(m, np.inf)
             n_round += 1
-            if n_round > 3:
-                new = np.where(active, np.inf, new)
+            wider = np.where((full | done).all(1), certain, farther) if n_round < 4 else np.full(m, np.inf)
+            old, new = np.where(active, new, old), np.where(active, np.maximum(np.minimum(wider, cap), new), new)
         return best
 
 
@@ -325,15 +329,15 @@ def hard_negatives(vectors: DataFrame, chosen: Column, positives: int = 5, negat
         out = []
         for block in index.blocks(chosen):
             uids, m = block[0], len(block[0])
-            best = index.search(block, np.full((m, 1), NONE), np.full((m, 1), np.inf), True, positives)
+            best = index.search(block, np.full((m, 1), LEAST), np.full((m, 1), MOST), True, positives)
             got = best.select("uid", "rank", "score").toArrow()  # at most `positives` for each anchor of the block
             order = np.argsort(uids)
             row, at, score = order[np.searchsorted(uids[order], got["uid"].to_numpy())], got["rank"].to_numpy() - 1, got["score"].to_numpy()
-            lo, hi = np.full((m, positives), np.inf), np.full((m, positives), NONE)
+            lo, hi = np.full((m, positives), MOST), np.full((m, positives), LEAST)
             # Whole numbers: 100 * negative >= low * positive, and <= high * positive.
             lo[row, at], hi[row, at] = -((-low * score) // 100), high * score // 100
-            lo = np.where(lo > hi, np.inf, lo)
-            if np.isinf(lo).all():
+            lo = np.where(lo > hi, MOST, lo)
+            if (lo == MOST).all():
                 continue
             found = index.search(block, lo, hi, False, negatives)
             pos = best.select("uid", (F.col("rank") - 1).alias("slot"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
