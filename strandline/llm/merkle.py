@@ -152,16 +152,16 @@ def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
         own = [F.col(c) for c in FIELDS]
         checked = F.lit(None).cast("string") if altered is None else F.when(altered.isNotNull(), leaf([*own[:-1], altered]))
         rows = work.store(docs.select("doc_id", "source", leaf(own).alias("leaf"), checked.alias("checked"), F.monotonically_increasing_id().alias("u")), "rows")
-        placed = placed(work, rows, ["source", "doc_id", "leaf", "u"], "leaves")
-        sources = placed.groupBy("source").agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("n"))
+        leaf_rows = placed(work, rows, ["source", "doc_id", "leaf", "u"], "leaves")
+        sources = leaf_rows.groupBy("source").agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("n"))
         trees = placed(work, sources, ["source"], "sources").select("source", F.col("place").alias("tree"), "begin", "n")
         trees = work.store(trees, "trees")
         most, n_trees = trees.agg(F.max("n"), F.count(F.lit(1))).first()
         # What leads from a run's row to its coordinate: a row for each run and source, so that no key has more rows than a run.
-        spans = placed.select("run", F.col("source").alias("own")).distinct().join(trees, F.col("own").eqNullSafe(F.col("source")))
+        spans = leaf_rows.select("run", F.col("source").alias("own")).distinct().join(trees, F.col("own").eqNullSafe(F.col("source")))
         spans = work.store(spans.select(F.col("run").alias("r"), F.col("own").alias("s"), "tree", "begin", "n"), "spans")
         n_bytes = spans.agg(F.sum(F.coalesce(F.octet_length("s"), F.lit(0)) + 40)).first()[0] or 0
-        leaves = placed.join(small(spans, n_bytes), (placed["run"] == spans["r"]) & placed["source"].eqNullSafe(spans["s"]))
+        leaves = leaf_rows.join(small(spans, n_bytes), (leaf_rows["run"] == spans["r"]) & leaf_rows["source"].eqNullSafe(spans["s"]))
         leaves = leaves.select("doc_id", "leaf", "checked", "tree", (F.col("place") - F.col("begin")).alias("pos"), "n")
         forest = grow(work, leaves.select("tree", "pos", "n", F.col("leaf").alias("hash")), most or 0, "nodes")
         roots = work.store(forest.roots.join(trees.select("tree", "n"), "tree"), "subroots")
