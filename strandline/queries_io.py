@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from strandline.alphabet import PROTEIN
 from strandline.functions import views
-from strandline.operators import align, distances, edits, stats
+from strandline.operators import align, distances, edits, progressive, stats
 from strandline.plans.history import History
 from strandline.queries import _FAMILY, _KEYS, _STATS, _TEXTS, _sql, family, gapped, query, texts
 from strandline.sources import reader, writers
+from strandline.store import Store
 
 _WRAP = "CASE WHEN length(residues) > 0 THEN array_to_string(list_transform(range(0, (length(residues) + 59) // 60), lambda i: substr(residues, i * 60 + 1, 60)), {sep}) ELSE '' END"
 
@@ -108,22 +109,46 @@ def quality_track(spark, sf):
     return s.select("aln_id", "col", S.quality_class(F.col("quality").cast("float")).alias("class"))
 
 
-@query(_sql(_FAMILY, "SELECT aln_id, row_idx, replace(residues, '-', '') AS residues FROM family"))
-def align_muscle(spark, sf):
-    return edits.degap(align.align(family(spark, sf), PROTEIN, "muscle")).select(*_KEYS)
+# Alignment. The rows as they came show how `family` was made: deletions alone move residues, so they are the true
+# alignment. Set left-aligned without gaps, rows of no family share over 0.42 of its residue pairs.
+
+
+_HELD = _sql(_FAMILY, "SELECT aln_id, row_idx, replace(residues, '-', '') AS residues, true AS even, true AS aligned FROM family")
+
 
+def _held(spark, sf, aligned, least: float):
+    """Rows without gaps, whether all rows of the set have one width, and whether at least that share of the true pairs is found."""
+    aligned = Store(spark, "held").put(aligned.select(*_KEYS), "aligned")
+    found = stats.accuracy(aligned, family(spark, sf)).select("aln_id", (F.col("sp") >= least).alias("aligned"))
+    even = stats.shape(aligned).select("aln_id", F.col("aligned").alias("even"))
+    return edits.degap(aligned).select(*_KEYS).join(even, "aln_id").join(found, "aln_id")
 
-# Alignment. The kernels' results are held against brute force in the tests; here their invariants are.
+
+@query(_HELD)
+def align_muscle(spark, sf):
+    return _held(spark, sf, align.align(family(spark, sf), PROTEIN, "muscle"), 0.65)
 
 
-@query(_sql(_FAMILY, "SELECT aln_id, row_idx, replace(residues, '-', '') AS residues FROM family"))
+@query(_HELD)
 def align_clustal(spark, sf):
-    return edits.degap(align.align(family(spark, sf), PROTEIN, "clustal")).select(*_KEYS)
+    return _held(spark, sf, align.align(family(spark, sf), PROTEIN, "clustal"), 0.65)
 
 
-@query(_sql(_FAMILY, "SELECT aln_id, row_idx, replace(residues, '-', '') AS residues FROM family"))
+@query(_HELD)
 def align_mafft(spark, sf):
-    return edits.degap(align.align(family(spark, sf), PROTEIN, "mafft")).select(*_KEYS)
+    return _held(spark, sf, align.align(family(spark, sf), PROTEIN, "mafft"), 0.65)
+
+
+@query(_HELD)
+def align_levels(spark, sf):
+    return _held(spark, sf, progressive.align_levels(family(spark, sf), PROTEIN), 0.65)
+
+
+@query()
+def upgma_rounds(spark, sf):
+    f = family(spark, sf)
+    tree, _ = progressive.guide_rounds(distances.corrected(f, PROTEIN), f, Store(spark, "rounds"))
+    return tree.withColumn("height", F.round("height", 6))
 
 
 @query(_sql(_FAMILY, "SELECT aln_id, row_idx, substr(residues, 1, 20) || '|' || replace(substr(residues, 21, 20), '-', '') || '|' || substr(residues, 41) AS parts FROM family"))
@@ -136,11 +161,11 @@ def realign_region(spark, sf):
     return new.join(old, ["aln_id", "row_idx"]).select("aln_id", "row_idx", F.concat(F.substring("residues", 1, 20), F.lit("|"), middle, F.lit("|"), tail).alias("parts"))
 
 
-@query(_sql(_FAMILY, "SELECT aln_id, row_idx, replace(residues, '-', '') AS residues FROM family"))
+@query(_HELD)
 def add_to_alignment(spark, sf):
     f = family(spark, sf)
     base, more = f.where("row_idx < 12"), f.where("row_idx >= 12").withColumn("row_idx", F.col("row_idx") - 12)
-    return edits.degap(align.add_to_alignment(base, more, PROTEIN)).select(*_KEYS)
+    return _held(spark, sf, align.add_to_alignment(base, more, PROTEIN), 0.65)
 
 
 @query()
@@ -155,10 +180,23 @@ def upgma_tree(spark, sf):
     return align.guide_trees(distances.corrected(f, PROTEIN), f, "upgma")
 
 
-@query(_sql(_FAMILY, "SELECT a.aln_id, a.row_idx AS i, b.row_idx AS j, replace(a.residues, '-', '') AS a, replace(b.residues, '-', '') AS b FROM family a JOIN family b USING (aln_id) WHERE a.row_idx > b.row_idx"))
+@query(_sql(_FAMILY, "SELECT a.aln_id, a.row_idx AS i, b.row_idx AS j, replace(a.residues, '-', '') AS a, replace(b.residues, '-', '') AS b, true AS aligned FROM family a JOIN family b USING (aln_id) WHERE a.row_idx > b.row_idx"))
 def pairwise_global(spark, sf):
     p = align.pairwise_align(family(spark, sf), PROTEIN)
-    return p.select("aln_id", "i", "j", F.translate("row_i", "-", "").alias("a"), F.translate("row_j", "-", "").alias("b"))
+    same = lambda a, b: F.size(F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda z: (z["x"] == z["y"]) & (z["x"] != "-")))
+    true = stats.pairs(family(spark, sf)).select("aln_id", "i", "j", same(F.col("a"), F.col("b")).alias("true_same"))
+    # The best alignment by score has about as many equal residues as the true one; rows that aren't aligned have a fraction.
+    found = same(F.col("row_i"), F.col("row_j")) >= 0.8 * F.col("true_same")
+    return p.join(true, ["aln_id", "i", "j"]).select("aln_id", "i", "j", F.translate("row_i", "-", "").alias("a"), F.translate("row_j", "-", "").alias("b"), found.alias("aligned"))
+
+
+@query(_sql(_FAMILY, """, n AS (SELECT aln_id, col, count(*) FILTER (res <> '-' AND row_idx % 2 = 0) AS e, count(*) FILTER (res <> '-' AND row_idx % 2 = 1) AS o FROM fc GROUP BY ALL)
+SELECT aln_id, round(sum(e * (e - 1) / 2 + o * (o - 1) / 2) / sum((e + o) * (e + o - 1) / 2), 6) AS sp, round(count(*) FILTER (e + o > 1 AND (e = 0 OR o = 0)) / count(*) FILTER (e + o > 1), 6) AS tc FROM n GROUP BY aln_id"""))
+def accuracy_shifted(spark, sf):
+    """Every other row is moved by one column, so that half the pairs and nearly all columns are lost."""
+    f = family(spark, sf)
+    moved = f.withColumn("residues", F.when(F.col("row_idx") % 2 == 1, F.concat(F.lit("-"), "residues")).otherwise(F.col("residues")))
+    return stats.accuracy(moved, f).select("aln_id", F.round("sp", 6).alias("sp"), F.round("tc", 6).alias("tc"))
 
 
 @query()
