@@ -29,9 +29,12 @@ def column_at(seqs: DataFrame, number: int) -> DataFrame:
 
 def class_runs(seqs: DataFrame, alphabet: str) -> DataFrame:
     """aln_id, row_idx, start, end (exclusive), class: maximal runs of one colour class along each row. No shuffle."""
-    n = F.length("residues")
-    c = seqs.where(n > 0).select("aln_id", "row_idx", F.transform(S.cells_of(F.col("residues")), lambda x: S.residue_class(x, alphabet)).alias("_c"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_c") - 1), lambda i: (i == 0) | (F.get("_c", i) != F.get("_c", i - 1)))
-    c = c.withColumn("_s", starts)
-    runs = c.select("aln_id", "row_idx", "_c", "_s", F.posexplode("_s").alias("_k", "start"))
-    return runs.select("aln_id", "row_idx", "start", F.coalesce(F.get("_s", F.col("_k") + 1), F.size("_c")).alias("end"), F.get("_c", F.col("start")).alias("class"))
+    classes = F.transform(S.cells_of(F.col("residues")), lambda x: S.residue_class(x, alphabet))
+    c = seqs.where(F.length("residues") > 0).select("aln_id", "row_idx", classes.alias("_c"))
+    beside = F.arrays_zip(F.col("_c").alias("c"), F.concat(F.array(F.lit(None).cast("string")), "_c").alias("b"), F.sequence(F.lit(0), F.size("_c")).alias("start"))
+    # The last of these stands after the row and ends its last run.
+    edge = F.filter(beside, lambda x: x["c"].isNull() | x["b"].isNull() | (x["c"] != x["b"]))
+    c = c.select("aln_id", "row_idx", edge.alias("_e"))
+    runs = F.arrays_zip(F.col("_e").alias("e"), F.slice("_e", 2, F.size("_e") - 1).alias("n"))
+    r = c.select("aln_id", "row_idx", F.explode(F.slice(runs, F.lit(1), F.size("_e") - 1)).alias("r"))
+    return r.select("aln_id", "row_idx", "r.e.start", F.col("r.n.start").alias("end"), F.col("r.e.c").alias("class"))

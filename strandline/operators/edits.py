@@ -108,12 +108,14 @@ def restore_columns(seqs: DataFrame, at: int, removed: DataFrame) -> DataFrame:
 
 
 def keep_columns(seqs: DataFrame, mask: DataFrame) -> DataFrame:
-    """mask: aln_id, col, keep, one row for each column, else the query fails. Kept columns travel as one array to the rows."""
-    kept = mask.groupBy("aln_id").agg(F.count(F.lit(1)).alias("_m"), F.sort_array(F.collect_list(F.when(F.col("keep"), F.col("col")))).alias("_kept"))
+    """mask: aln_id, col, keep, one row for each column, else the query fails. Marks travel as one array to the rows."""
+    marks = F.transform(F.sort_array(F.collect_list(F.struct("col", F.coalesce("keep", F.lit(False)).alias("keep")))), lambda x: x["keep"])
+    kept = mask.groupBy("aln_id").agg(F.count(F.lit(1)).alias("_m"), marks.alias("_keep"))
     p = _require(_padded(seqs).join(kept, "aln_id"), F.col("_m") == F.col("_w"), "size of the mask")
-    new = F.array_join(F.transform("_kept", lambda i: F.substring("residues", i + 1, F.lit(1))), "")
-    q = F.transform("_kept", lambda i: F.get("quality", i)) if "quality" in seqs.columns else None
-    return _with(p, new, q).select(*seqs.columns)
+    # Cells and marks side by side: an index into a row from inside a lambda would split the row anew for each cell.
+    chosen = lambda values: F.transform(F.filter(F.arrays_zip(values.alias("v"), F.col("_keep").alias("k")), lambda x: x["k"]), lambda x: x["v"])
+    q = chosen(F.col("quality")) if "quality" in seqs.columns else None
+    return _with(p, F.array_join(chosen(S.cells_of(F.col("residues"))), ""), q).select(*seqs.columns)
 
 
 def insert_gap(seqs: DataFrame, row: int, col: int, strict: bool = False) -> DataFrame:

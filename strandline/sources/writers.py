@@ -23,8 +23,8 @@ def wrap(s: Column, width: int) -> Column:
     """Lines of at most so many characters; 0 is one line."""
     if not width:
         return F.when(F.length(s) > 0, F.array(s)).otherwise(F.array().cast("array<string>"))
-    at = F.when(F.length(s) > 0, F.sequence(F.lit(0), F.floor((F.length(s) - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(s, i * width + 1, F.lit(width)))
+    lines = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))  # one pass, however long the row
+    return F.when(F.length(s) > 0, lines).otherwise(F.array().cast("array<string>"))
 
 
 def _joined(rows: DataFrame, line: Column, between: str = "") -> DataFrame:

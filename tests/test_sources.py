@@ -123,3 +123,32 @@ def test_interleaved_layouts_and_line_ends(spark):
     for f in ("fasta", "clustal", "nexus"):
         t = writers.render(d, f, crlf=True).first()["text"]
         assert t.count("\r\n") == t.count("\n") > 2 and rows(t, f) == [("one", "ACGTACGT"), ("second", "AC-TACGA")]
+
+
+def test_long_rows_in_one_pass(spark):
+    """A row of a million residues is wrapped, and 30,000 columns are kept, in time that grows with their number."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from strandline.functions import views
+    from strandline.operators import edits
+    from strandline.sources import writers
+
+    row = lambda n: "".join("ACGT-"[(i * i + i // 7) % 5] for i in range(n))
+    began = time.time()
+    long = row(1_000_000)
+    df = spark.createDataFrame([("a", 0, "x", long), ("b", 0, "y", ""), ("c", 0, "z", "é🙂" * 61)], "aln_id string, row_idx int, id string, residues string")
+    got = {r["aln_id"]: r["text"] for r in writers.fasta(df).collect()}
+    assert got["a"] == ">x\n" + "".join(long[i : i + 60] + "\n" for i in range(0, len(long), 60))
+    assert got["b"] == ">y\n" and got["c"].split("\n")[1:-1] == [("é🙂" * 61)[i : i + 60] for i in range(0, 122, 60)]
+    wide = [row(30_000), row(29_000)]
+    seqs = spark.createDataFrame([("a", i, f"s{i}", s, [j % 90 for j in range(len(s))]) for i, s in enumerate(wide)], "aln_id string, row_idx int, id string, residues string, quality array<smallint>")
+    mask = spark.range(30_000).select(F.lit("a").alias("aln_id"), F.col("id").cast("int").alias("col"), (F.col("id") % 7 > 2).alias("keep"))
+    out = {r["row_idx"]: r for r in edits.keep_columns(seqs, mask).collect()}
+    for i, s in enumerate(wide):
+        assert out[i]["residues"] == "".join(c for j, c in enumerate(s.ljust(30_000, "-")) if j % 7 > 2)
+        assert out[i]["quality"] == [j % 90 if j < len(s) else 0 for j in range(30_000) if j % 7 > 2]
+    runs = [(r["start"], r["end"], r["class"]) for r in views.class_runs(seqs.where("row_idx = 0"), "DNA").orderBy("start").collect()]
+    assert "".join((c if c != "gap" else "-") * (e - s) for s, e, c in runs) == wide[0] and all(a[1] == b[0] and a[2] != b[2] for a, b in zip(runs, runs[1:], strict=False))
+    assert time.time() - began < 60
