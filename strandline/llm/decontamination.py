@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Workspace, ascii_lower, keep, packed
+from strandline.llm.common import Workspace, ascii_lower, keep, packed, salted_join
 
 WINDOW = 10
 #: What parts words of a text whose case is kept: all ASCII signs but letters and digits.
@@ -52,6 +52,13 @@ def small(df: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
+def met_by_term(work: Workspace, places: DataFrame, terms: DataFrame, n_bytes: int) -> DataFrame:
+    """places joined with terms (key: term). Terms beyond BROADCAST_BYTES are shuffled, and a term with very many places is split."""
+    if n_bytes <= BROADCAST_BYTES:
+        return places.join(F.broadcast(terms), "term")
+    return salted_join(work, places, terms, ["term"], F.struct(*TEXT, "at"))
+
+
 def text_key() -> Column:
     return F.xxhash64("text").alias("text_key")
 
@@ -63,10 +70,10 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(at, lambda i: F.slice(F.col("w"), i, size))).alias("words"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def postings(work: Workspace, docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """The index over n_terms terms (their hashes): term, doc_id, text_key, at (in words, from 0), of whole texts."""
     bare = split(docs, "doc_id", text_key()).select(*TEXT, F.posexplode("w").alias("at", "word")).select(*TEXT, "at", term(F.col("word")).alias("term"))
-    return bare.join(small(terms, 16 * n_terms), "term").select("term", *TEXT, "at")
+    return met_by_term(work, bare, terms, 16 * n_terms).select("term", *TEXT, "at")
 
 
 def _same_text(a: DataFrame, b: DataFrame) -> list[Column]:
@@ -83,8 +90,11 @@ class Index:
         spread = self.distinct.select("window", F.posexplode("words").alias("offset", "word")).select("window", "offset", term(F.col("word")).alias("term"))
         terms = spread.select("term").distinct()
         n_terms = terms.count()
-        found = split(docs).select(F.explode("w").alias("word")).select(term(F.col("word")).alias("term")).join(small(terms, 16 * n_terms), "term")
-        self.counted = work.store(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
+        found = split(docs).select(F.explode("w").alias("word")).select(term(F.col("word")).alias("term"))
+        counted = lambda df: df.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        # Terms that can't be broadcast meet counts that tasks have summed up, not words.
+        few = 16 * n_terms <= BROADCAST_BYTES
+        self.counted = work.store(counted(found.join(F.broadcast(terms), "term")) if few else counted(found).join(terms, "term"), "counts")
         # A window with a term that no document has cannot occur.
         ranked = spread.join(self.counted, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         by_window = Window.partitionBy("window")  # at most `size` rows
@@ -93,7 +103,7 @@ class Index:
 
     def lists(self, terms: DataFrame) -> DataFrame:
         terms = terms.distinct()
-        return self.work.store(postings(self.docs, terms, terms.count()), "postings")
+        return self.work.store(postings(self.work, self.docs, terms, terms.count()), "postings")
 
     def exact(self) -> DataFrame:
         """doc_id, text_key, window, start, length of the places where a window's words stand one after another."""
@@ -102,7 +112,7 @@ class Index:
         one = pivots.where("rank = 1").select("window", "term", "offset")
         two = pivots.where("rank = 2").select("window", F.col("term").alias("term2"), F.col("offset").alias("offset2"))
         both = self.work.store(one.join(two, "window", "left"), "pivots")
-        begun = index.join(small(both, 40 * both.count()), "term").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0")
+        begun = met_by_term(self.work, index, both, 40 * both.count()).withColumn("start", F.col("at") - F.col("offset")).where("start >= 0")
         begun = begun.select(*TEXT, "window", "start", "term2", (F.col("start") + F.col("offset2")).alias("at2"))
         other = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("at").alias("a")).distinct()
         met = begun.where("term2 IS NOT NULL").join(other, (F.col("term2") == F.col("t")) & (F.col("text_key") == F.col("k")) & (F.col("at2") == F.col("a")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
@@ -135,7 +145,7 @@ class Index:
         by_term = Window.partitionBy("window", "term").orderBy("rank")
         terms = self.ranked.withColumn("r", F.row_number().over(by_term)).where("r = 1").select("window", "term", "rank")
         index = self.lists(terms.select("term"))
-        anchors = index.join(small(terms.where("rank = 1").select("window", "term"), 24 * self.distinct.count()), "term").select(*TEXT, "window", "at").distinct()
+        anchors = met_by_term(self.work, index, terms.where("rank = 1").select("window", "term"), 24 * self.distinct.count()).select(*TEXT, "window", "at").distinct()
         rest = terms.where("rank > 1").select("window", "term")
         wanted = anchors.join(small(rest, 24 * 10 * self.distinct.count()), "window").withColumn("block", F.explode(F.array(*[F.floor(F.col("at") / within) + i for i in (-1, 0, 1)])))
         other = index.select("term", F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("at").alias("there")).distinct().withColumn("block", F.floor(F.col("there") / within))
@@ -189,7 +199,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
         ids = found.select(*TEXT, F.col("item_id").cast("string").alias("item")).distinct()
         per_item = ids.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("sha"))
         marks = hit.join(per_item, _same_text(hit, per_item)).select(hit["doc_id"].alias("_id"), hit["text_key"].alias("_key"), "hit", "items", "sha")
-        marks = keep(marks, "dc-marks", 64)
+        marks = keep(marks, "dc-marks")
     keyed = rows.select("doc_id", "text", "_rest", text_key(), F.size(words(F.col("text"))).cast("long").alias("n"))
     n_marks = marks.count()
     out = keyed.join(small(marks, 120 * n_marks), keyed["doc_id"].eqNullSafe(marks["_id"]) & (keyed["text_key"] == marks["_key"]), "left")
