@@ -209,13 +209,23 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, int, int, in
         form = 1 if _GROUPS["phone"].fullmatch(span) else -1
         checksum = -1 if len(set(digits)) == 1 or _DATE.match(span) else 0
         gazetteer = _caller(span, digits)
-    before = _WORD.findall(text[max(0, start - 40) : start].lower())[-4:]
+    before = _WORD.findall(around(text, start, end)[0])[-4:]
     cue = 1 if any(w.startswith(CUES[KINDS[kind]]) for w in before) else -1 if any(w.startswith(AGAINST) for w in before) else 0
     sides = text[max(0, start - 1) : start] + text[end : end + 1]
     border = -1 if any(c.isalnum() or c in "\"'=_/#" for c in sides) else 1
     return (form, checksum, gazetteer, cue, border)
 
 
+def around(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands before and after a span, in lower case: 40 characters, and on to the end of a word that they cut."""
+    lo, hi = max(0, start - 40), min(len(text), end + 40)
+    while lo > 0 and lo < start and text[lo].isalpha() and text[lo - 1].isalpha():
+        lo -= 1
+    while hi < len(text) and hi > end and text[hi - 1].isalpha() and text[hi].isalpha():
+        hi += 1
+    return text[lo:start].lower(), text[end:hi].lower()
+
+
 def code(vote: tuple[int, ...]) -> int:
     n = 0
     for v in vote:
@@ -240,7 +250,8 @@ def features(text: str, kind: int, start: int, end: int, vote: tuple[int, ...])
     at = kind * (1 + 2 * len(LABELERS))
     out = [at] + [at + 1 + 2 * j + (v > 0) for j, v in enumerate(vote) if v]
     runs = re.sub(r"[0-9]+", lambda m: f"d{len(m[0])}", text[start:end]) if kind else ""
-    said = [f"b{w}" for w in _WORD.findall(text[max(0, start - 40) : start].lower())[-2:]] + [f"a{w}" for w in _WORD.findall(text[end : end + 40].lower())[:2]]
+    left, right = around(text, start, end)
+    said = [f"b{w}" for w in _WORD.findall(left)[-2:]] + [f"a{w}" for w in _WORD.findall(right)[:2]]
     return out + sorted({_N_VOTES + zlib.crc32(f"{kind}{x}".encode()) % BUCKETS for x in [f"s{runs}", *said]})
 
 
@@ -296,9 +307,9 @@ class Classifier:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
-    def adds(self, vote: int, at: list[int]) -> bool:
-        """Whether a proposed span is added: it is likely, and more labelers favour than reject it."""
-        return sum(decode(vote)) > 0 and float(self.bias + self.weights[at].sum()) >= np.log(ACCEPT / (1 - ACCEPT))
+    def adds(self, at: list[int]) -> bool:
+        """Whether a proposed span is added: it is likely."""
+        return float(self.bias + self.weights[at].sum()) >= np.log(ACCEPT / (1 - ACCEPT))
 
 
 def train(rows: list[list[int]], target: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> Classifier:
@@ -358,7 +369,7 @@ def find(docs: DataFrame) -> DataFrame:
                     base = [s for s in spans if s["base"]]
                     for s in base:
                         counts[i, s["kind"]] += 1
-                    kept = [s for s in spans if s["base"] or model.adds(s["votes"], s["at"])]
+                    kept = [s for s in spans if s["base"] or model.adds(s["at"])]
                     digest.append(hashlib.sha256(",".join(map(text, base)).encode()).hexdigest())
                     every.append(",".join(map(text, kept)))
                     listed.append([{"kind": KINDS[s["kind"]], "start": s["start"], "end": s["end"]} for s in kept])
@@ -386,7 +397,7 @@ def redact(docs: DataFrame) -> DataFrame:
         spans = list(base)
         for k, a, b in proposed_spans(text, base):
             v = votes(text, k, a, b)
-            if model.adds(code(v), features(text, k, a, b, v)):
+            if model.adds(features(text, k, a, b, v)):
                 spans.append((k, a, b))
         out, done = [], 0
         for k, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
