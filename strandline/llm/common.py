@@ -125,6 +125,11 @@ def keep(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     return out
 
 
+def lots_of(df: DataFrame) -> int:
+    """Parts for what is made of df row by row: they follow its size, as its scan's do, and are at least those of a shuffle."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def packed(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
     """docs as the named columns and one struct `_rest` of all others, so that no name of theirs can clash;
     and the columns that unpack it, in the order of docs."""

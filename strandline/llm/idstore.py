@@ -34,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Workspace, keep, prepare, row_blocks, text_buffer
+from strandline.llm.common import Workspace, keep, lots_of, prepare, row_blocks, text_buffer
 from strandline.llm.tokens import encoder, tokenizer_path, vocabulary_size
 from strandline.llm.wordhash import mix
 
@@ -100,7 +100,7 @@ class Index:
         for m in sizes:
             self.levels.append((m, at, at + m // 8))
             at += m // 8 + 8 * (m // BLOCK)
-        self.entries = at
+        self.entries, self.whole = at, None
 
     def find(self, key: int) -> tuple[int, int, int] | None:
         """Shard, offset and ids of one key, in a few small reads; None where it isn't in the index."""
@@ -116,16 +116,21 @@ class Index:
         return None
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For many keys at once (reads the whole index): found, and their entries."""
-        slot, left, before = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
-        for level, (m, bits_at, _) in enumerate(self.levels):
-            bits = np.unpackbits(np.frombuffer(self.read(bits_at, m // 8), np.uint8), bitorder="little").astype(bool)
-            rank = np.cumsum(bits) - bits + before
-            at = (_level_hash(keys[left], level) % _U(m)).astype(np.int64)
+        """For many keys at once (the whole index is read, once): found, and their entries."""
+        if self.whole is None:
+            self.whole, before = [], 0
+            for m, bits_at, _ in self.levels:
+                bits = np.unpackbits(np.frombuffer(self.read(bits_at, m // 8), np.uint8), bitorder="little").astype(bool)
+                self.whole.append((bits, (np.cumsum(bits) - bits + before).astype(np.int32)))
+                before += int(bits.sum())
+            self.all_entries = np.frombuffer(self.read(self.entries, self.n * ENTRY.itemsize), ENTRY)
+        slot, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for level, (bits, rank) in enumerate(self.whole):
+            at = (_level_hash(keys[left], level) % _U(len(bits))).astype(np.int64)
             hit = bits[at]
             slot[left[hit]] = rank[at[hit]]
-            left, before = left[~hit], before + int(bits.sum())
-        entries = np.frombuffer(self.read(self.entries, self.n * ENTRY.itemsize), ENTRY)
+            left = left[~hit]
+        entries = self.all_entries
         found = slot >= 0
         got = entries[np.where(found, slot, 0)] if self.n else np.zeros(len(keys), ENTRY)
         return found & (got["print"] == _print(keys)), got
@@ -214,7 +219,7 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
     """
     spark = prepare(docs.sparkSession)
     path = path or tokenizer_path(TOKENIZER)
-    lots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = lots_of(docs)
     width = 2 if max(vocabulary_size(path) - 1, end_id) < 1 << 16 else 4
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +260,7 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
         before[part] = so_far
         so_far += n
     before_parts = spark.sparkContext.broadcast(before)
-    lots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(totals))  # shards of a part follow each other in one task
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder(out)
@@ -283,7 +288,7 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
                 base = row["base"] + before_parts.value[part]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), mask=np.arange(n) < n_null), pa.array(at + base), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.repartition(lots, "part", "seq").sortWithinPartitions("part", "seq").mapInArrow(kernel, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(lots, "part").sortWithinPartitions("part", "seq").mapInArrow(kernel, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class Store:
