@@ -41,8 +41,6 @@ SIGMAS = 4.0
 #: Nodes whose registers are compared at once, blocks that meet others in one task, most parts that a side's blocks are dealt to,
 #: and likeliest pairs verified first.
 BLOCK, TOGETHER, DEAL, FIRST = 128, 4, 64, 8
-#: Most files of a table that is small beside the texts.
-PARTS = 64
 #: Most ids that are broadcast to pick texts; above, the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -213,25 +211,25 @@ def _between(work: Workspace, rest: DataFrame, members: DataFrame, nodes: DataFr
     """
     in_key = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = in_key.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    sizes = work.store(members.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes", PARTS)
-    sized = work.store(_beside(work, in_key.join(main, "key"), sizes, "component", "key").select("key", "main", "component", "size"), "met", PARTS)
+    sizes = work.store(members.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sized = work.store(_beside(work, in_key.join(main, "key"), sizes, "component", "key").select("key", "main", "component", "size"), "met")
     side = sized.where("component <> main")
     mains = sized.where("component = main").select("key", F.col("component").alias("c2"), F.col("size").alias("s2"))
     large = side.where(F.col("size") > BLOCK).select("key", F.col("component").alias("c2"), F.col("size").alias("s2"))
     met = side.join(mains.unionByName(large), "key").where("component <> c2").select("component", "size", "c2", "s2").distinct()
     swap = F.struct(F.col("s2").alias("n"), F.col("c2").alias("c")) < F.struct(F.col("size").alias("n"), F.col("component").alias("c"))
     meet = met.select(F.when(swap, F.col("component")).otherwise(F.col("c2")).alias("main"), F.when(swap, F.col("c2")).otherwise(F.col("component")).alias("other"))
-    meet = work.store(meet.distinct(), "meet", PARTS)
+    meet = work.store(meet.distinct(), "meet")
     full = work.store(members.join(nodes.select("node", "n_shingles", "regs"), "node"), "full")
     entry = F.struct("node", "n_shingles", "regs", "component")
     by_main = F.concat(F.lit("m"), F.col("main").cast("string"))
-    large_side = work.store(meet.select(F.col("main").alias("component")).distinct(), "mains", PARTS)
+    large_side = work.store(meet.select(F.col("main").alias("component")).distinct(), "mains")
     xs = _beside(work, full, large_side, "component", "node", "left_semi").withColumn("main", F.col("component"))
     # A component that meets several larger ones goes to each of them.
-    partners = work.store(meet.groupBy(F.col("other").alias("component")).agg(F.collect_set("main").alias("mains")), "partners", PARTS)
+    partners = work.store(meet.groupBy(F.col("other").alias("component")).agg(F.collect_set("main").alias("mains")), "partners")
     ys = _beside(work, full, partners, "component", "node").withColumn("main", F.explode("mains"))
     small = side.where(F.col("size") <= BLOCK).groupBy("component").agg(F.collect_set("main").alias("mains"))
-    among = _beside(work, full, work.store(small, "small", PARTS), "component", "node").withColumn("main", F.explode("mains"))
+    among = _beside(work, full, work.store(small, "small"), "component", "node").withColumn("main", F.explode("mains"))
     columns = ("main", "node", "n_shingles", "regs", "component")
     xs, ys, among = (d.select(*columns) for d in (xs, ys, among))
     among = among.withColumn("main", F.concat(F.lit("g"), F.col("main").cast("string")))
@@ -242,7 +240,7 @@ def _between(work: Workspace, rest: DataFrame, members: DataFrame, nodes: DataFr
 
     meta = count(xs, "nx").join(count(ys, "ny"), "main")
     deals = [F.least(F.lit(DEAL), F.ceil(F.col(n) / TOGETHER)).cast("int").alias(d) for n, d in (("nx", "dx"), ("ny", "dy"))]
-    meta = work.store(meta.select("main", "nx", "ny", *deals), "blocks", PARTS)
+    meta = work.store(meta.select("main", "nx", "ny", *deals), "blocks")
 
     def blocks(df: DataFrame, name: str, n: str, mine: str, others: str, part: str, other: str) -> DataFrame:
         own = _beside(work, df, meta, "main", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col(n)))
@@ -276,7 +274,7 @@ def _between(work: Workspace, rest: DataFrame, members: DataFrame, nodes: DataFr
 
 def _verified(work: Workspace, pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b; stored) whose whole texts' sets have the similarity."""
-    ids = work.store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids", PARTS)
+    ids = work.store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
@@ -307,51 +305,51 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, exa
     exact: lose no link to chance, at a higher cost.
     """
     with Workspace(docs.sparkSession, "nd") as work:
-        return keep(_near_duplicates(work, docs.select("doc_id", "text"), *threshold, exact), "nd-groups", PARTS)
+        return keep(_near_duplicates(work, docs.select("doc_id", "text"), *threshold, exact), "nd-groups")
 
 
 def _near_duplicates(work: Workspace, docs: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
     least = num / den
     sk = work.store(sketch(docs, num, den, exact), "sketch")
-    ids = work.store(sk.select("doc_id", "n_shingles", "fp1", "fp2"), "ids", PARTS)
+    ids = work.store(sk.select("doc_id", "n_shingles", "fp1", "fp2"), "ids")
     set_key = ["fp1", "fp2", "n_shingles"]
     keyed = ids.where(F.col("fp1").isNotNull() & F.col("doc_id").isNotNull())
-    sets = work.store(keyed.groupBy(*set_key).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n")), "sets", PARTS)
+    sets = work.store(keyed.groupBy(*set_key).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n")), "sets")
     first_of = sets.select(*set_key, F.col("node").alias("doc_id"))
     nodes = sk.join(first_of, [*set_key, "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
     nodes = work.store(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "regs", "prefix"), "nodes")
     work.drop(sk)
     # Each document's set has a node. An id with texts of several sets links their nodes with the smallest.
-    of = work.store(salted_join(work, keyed, sets.drop("_n"), set_key, F.col("doc_id"), counts=sets.select(*set_key, "_n")).select("doc_id", "node").distinct(), "of", PARTS)
-    assigned = work.store(of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")), "assigned", PARTS)
+    of = work.store(salted_join(work, keyed, sets.drop("_n"), set_key, F.col("doc_id"), counts=sets.select(*set_key, "_n")).select("doc_id", "node").distinct(), "of")
+    assigned = work.store(of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")), "assigned")
     several = assigned.where("a <> b").select("doc_id", "a")
     own_links = of.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     # Buckets with several nodes: the smallest is their centre. A bucket may hold a large share of all nodes.
     rows = bucket_rows(nodes, exact)
-    shared = work.store(rows.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared", PARTS)
+    shared = work.store(rows.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
     buckets = salted_join(work, rows, shared, ["key"], F.col("node"), counts=shared.select("key", "_n"))
-    buckets = work.store(buckets.select("key", "node", "centre", (F.col("_n") > 2).alias("many")), "buckets", PARTS)
-    done = work.store(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs", PARTS)
-    likely = work.store(_likely(work, done, nodes, least, exact), "likely", PARTS)
+    buckets = work.store(buckets.select("key", "node", "centre", (F.col("_n") > 2).alias("many")), "buckets")
+    done = work.store(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    likely = work.store(_likely(work, done, nodes, least, exact), "likely")
     links = _confirm(work, likely, docs, num, den).unionByName(own_links)
     found = components(work, links)
 
-    members = work.store(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "members", PARTS)
+    members = work.store(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "members")
     many = buckets.where("many").select("key", "node").join(members, "node")
     open_keys = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_keys = work.store(open_keys, "open-keys", PARTS)
-    rest = work.store(_beside(work, many, open_keys, "key", "node", "left_semi").select("key", "node", "component"), "open", PARTS)
-    more = work.store(_between(work, rest, members, nodes, least, exact).join(done, ["a", "b"], "left_anti"), "more", PARTS)
+    open_keys = work.store(open_keys, "open-keys")
+    rest = work.store(_beside(work, many, open_keys, "key", "node", "left_semi").select("key", "node", "component"), "open")
+    more = work.store(_between(work, rest, members, nodes, least, exact).join(done, ["a", "b"], "left_anti"), "more")
     work.drop(nodes, buckets, rest, likely, done)
     rank = F.row_number().over(Window.partitionBy("y", "main").orderBy(F.desc("estimate"), "a", "b"))
-    first = work.store(more.withColumn("_r", rank).where(F.col("_r") <= FIRST).select("a", "b").distinct(), "first", PARTS)
+    first = work.store(more.withColumn("_r", rank).where(F.col("_r") <= FIRST).select("a", "b").distinct(), "first")
     new = _confirm(work, first, docs, num, den)
     if not new.isEmpty():
         links = links.unionByName(new)
         found = components(work, links)
     apart = more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti").join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-    apart = work.store(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "last", PARTS)
+    apart = work.store(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "last")
     new = _confirm(work, apart, docs, num, den)
     if not new.isEmpty():
         found = components(work, links.unionByName(new))
@@ -365,7 +363,7 @@ def _near_duplicates(work: Workspace, docs: DataFrame, num: int, den: int, exact
 
 
 def _confirm(work: Workspace, pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    return work.store(_verified(work, pairs, docs, num, den), "links", PARTS)
+    return work.store(_verified(work, pairs, docs, num, den), "links")
 
 
 def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, exact: bool = False) -> DataFrame:
@@ -375,10 +373,10 @@ def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, exact: boo
     rows, unpack = packed(docs, "doc_id", "text")
     with Workspace(docs.sparkSession, "nd") as work:
         found = _near_duplicates(work, docs.select("doc_id", "text"), *threshold, exact)
-        gone = keep(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "nd-gone", PARTS)
+        gone = keep(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "nd-gone")
         text = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_text")
         again = docs.select(F.col("doc_id").alias("_again"), text).groupBy("_again", "_text").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-        again = keep(again, "nd-again", PARTS)
+        again = keep(again, "nd-again")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     stay = rows.join(gone, rows["doc_id"].cast("long") == gone["_gone"], "left_anti")
     if again.isEmpty():
