@@ -133,9 +133,9 @@ def fit(training: DataFrame, texts: int = SAMPLE_TEXTS, margin_texts: int = MARG
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs (with text) plus lang_pred, lang_score (0 to 1), lang_margin (bytes), lang_share (of the smallest size) and rejected.
 
-    `und`, with score 0, no margin and rejected: null texts, texts without a letter, all texts where no language was
-    learned, and those that the only learned language makes no smaller. A text with a narrow margin keeps its language and is
-    rejected. Of equal sizes those of single words decide; the margin is under 1 then, and the share 0. Ties that
+    `und`, with score 0, no margin and rejected: null texts, texts without a letter, and all texts where no language was
+    learned. A text with a narrow margin keeps its language and is rejected, as is one that the only learned language makes no
+    smaller (score 0, no margin). The score is share / (share + least share): one half at the learned bound. Of equal sizes those of single words decide; the margin is under 1 then, and the share 0. Ties that
     are left go to the language that was more frequent in training. Repeated rows have equal results, no rows
     give none. Other columns stay as they are, but for those with the name of a result.
     """
@@ -164,10 +164,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     tied.sort(key=lambda i: alone[i])
                     order, gap = tied, float(alone[tied[1]] - alone[tied[0]]) / (1 + float(alone.max()))
                 known = sizes.langs[order[0]] != UNKNOWN
-                pred.append(sizes.langs[order[0]])
+                pred.append(sizes.langs[order[0]] if known else next(iter(m.contents)))
                 margin.append(gap if known else None)
                 share.append(part if known else None)
-            score = np.array([0.0 if x is None else 1 / (1 + 2.0 ** -min(x, 60)) for x in margin])
+            score = np.array([x / (x + m.least_share) if x else 0.0 for x in share])
             out = [x is None or x <= m.least_share for x in share]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(margin, pa.float64()), pa.array(share, pa.float64()), pa.array(out, pa.bool_())], [*b.schema.names, *RESULTS])
 
