@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import prepare
+from strandline.llm.common import lots_of, prepare
 from strandline.llm.wordhash import U64, span_hashes
 
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -171,7 +171,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    lots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = 4 * lots_of(docs)
 
     def out(ids: list, texts: list[str], copy: list[int]) -> Iterator[pa.RecordBatch]:
         """All rows but the last, which only is what follows."""
