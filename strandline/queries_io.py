@@ -9,7 +9,7 @@ from strandline.functions import views
 from strandline.operators import align, distances, edits, progressive, stats
 from strandline.plans.history import History
 from strandline.queries import _FAMILY, _KEYS, _STATS, _TEXTS, _sql, family, gapped, query, texts
-from strandline.sources import reader, writers
+from strandline.sources import ranges, reader, writers
 from strandline.store import Store
 
 _WRAP = "CASE WHEN length(residues) > 0 THEN array_to_string(list_transform(range(0, (length(residues) + 59) // 60), lambda i: substr(residues, i * 60 + 1, 60)), {sep}) ELSE '' END"
@@ -68,6 +68,33 @@ _round_trip("phylip_parse", writers.phylip, family, _FAMILY, "family", "phylip-r
 _round_trip("nexus_parse", lambda d: writers.nexus(d, PROTEIN), family, _FAMILY, "family", None)
 
 
+def _ranged(spark, name: str, lines, read):
+    """Lines written as text files and read again in ranges of 256 KB, whatever the session has."""
+    store, key = Store(spark, name), "spark.sql.files.maxPartitionBytes"
+    lines.write.text(f"{store.path}/text")
+    had = spark.conf.get(key)
+    spark.conf.set(key, str(256 << 10))
+    try:
+        return read(spark, f"{store.path}/text")
+    finally:
+        spark.conf.set(key, had)
+
+
+@query(_sql(_TEXTS, "SELECT id, description, residues FROM texts"))
+def fasta_ranges(spark, sf):
+    t = texts(spark, sf).withColumn("description", F.coalesce("description", F.lit("")))
+    lines = t.select(F.concat(F.lit(">"), "id", F.when(F.col("description") != "", F.concat(F.lit(" "), "description")).otherwise(""), F.lit("\n"), F.array_join(writers.wrap(F.col("residues"), 60), "\n")).alias("value"))
+    return _ranged(spark, "fasta-text", lines, ranges.read_fasta).select("id", "description", "residues")
+
+
+@query(_sql(_TEXTS, "SELECT id, residues, CAST(coalesce(list_sum(list_transform(string_split(residues, ''), lambda x: ascii(x) - 64)), 0) AS BIGINT) AS scores FROM texts WHERE residues <> ''"))
+def fastq_ranges(spark, sf):
+    """Letters as scores: none is below ';' and some are above 'J', so they count from 64."""
+    lines = texts(spark, sf).where("residues <> ''").select(F.concat(F.lit("@"), "id", F.lit("\n"), "residues", F.lit("\n+\n"), "residues").alias("value"))
+    back = _ranged(spark, "fastq-text", lines.repartition(2), ranges.read_fastq)
+    return back.select("id", "residues", F.aggregate("quality", F.lit(0).cast("long"), lambda s, x: s + x).alias("scores"))
+
+
 @query(_sql(_TEXTS, "SELECT aln_id, row_idx, replace(residues, '-', '') AS residues FROM gapped"))
 def edit_undo_roundtrip(spark, sf):
     """Three edits, two undone, one done again: what stands is the second."""
