@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandline.alphabet import PROTEIN
 from strandline.functions import views
-from strandline.operators import align, distances, edits, progressive, stats
+from strandline.kernels import matrices
+from strandline.operators import align, distances, edits, progressive, scores, stats
 from strandline.plans.history import History
 from strandline.queries import _FAMILY, _KEYS, _STATS, _TEXTS, _sql, family, gapped, query, texts
 from strandline.sources import ranges, reader, writers
@@ -171,6 +172,26 @@ def align_levels(spark, sf):
     return _held(spark, sf, progressive.align_levels(family(spark, sf), PROTEIN), 0.65)
 
 
+def _sum_of_pairs_sql() -> str:
+    """All pairs of rows, cell by cell."""
+    m = matrices.choose(PROTEIN)
+    table = ", ".join(f"('{chr(a)}', '{chr(b)}', {float(m.table[a, b])})" for a in range(65, 91) for b in range(65, 91))
+    scale = m.mean_diagonal / 5.8
+    return _sql(_FAMILY, f""", t(x, y, s) AS (VALUES {table}),
+g AS (SELECT *, coalesce(lag(res) OVER (PARTITION BY aln_id, row_idx ORDER BY col), res) = '-' AS after, count(*) FILTER (res <> '-') OVER (PARTITION BY aln_id, row_idx ORDER BY col) AS filled, count(*) FILTER (res <> '-') OVER (PARTITION BY aln_id, row_idx) AS every FROM fc),
+p AS (SELECT a.aln_id, a.res AS x, b.res AS y, CASE WHEN a.res = '-' THEN a.after ELSE b.after END AS gap_after, CASE WHEN a.res = '-' THEN b.after ELSE a.after END AS other_after,
+  CASE WHEN a.res = '-' THEN a.filled = 0 OR a.filled = a.every ELSE b.filled = 0 OR b.filled = b.every END AS terminal FROM g a JOIN g b ON a.aln_id = b.aln_id AND a.col = b.col AND a.row_idx > b.row_idx)
+SELECT aln_id, round(sum(CASE WHEN p.x <> '-' AND p.y <> '-' THEN s ELSE 0 END), 4) AS pairs,
+  round(sum(CASE WHEN (p.x = '-') <> (p.y = '-') THEN {scale} * CASE WHEN terminal THEN 0.5 ELSE 1 END * (1.0 + CASE WHEN gap_after AND NOT other_after THEN 0 ELSE 5.0 END) ELSE 0 END), 4) AS gaps
+FROM p LEFT JOIN t ON p.x = t.x AND p.y = t.y GROUP BY aln_id""")
+
+
+@query(_sum_of_pairs_sql())
+def sum_of_pairs(spark, sf):
+    s = scores.sum_of_pairs(family(spark, sf), PROTEIN)
+    return s.select("aln_id", F.round("pairs", 4).alias("pairs"), F.round("gaps", 4).alias("gaps"))
+
+
 @query()
 def upgma_rounds(spark, sf):
     f = family(spark, sf)
