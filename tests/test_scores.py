@@ -18,7 +18,7 @@ def by_pairs(rows, w, m, p):
         for c in range(width):
             x, y = a[c], b[c]
             if x != "-" and y != "-":
-                total += wa * wb * m.table[ord(x), ord(y)]
+                total += wa * wb * float(m.table[ord(x), ord(y)])
             elif x != y:
                 gap, other = (a, b) if x == "-" else (b, a)
                 goes_on = c == 0 or gap[c - 1] == "-" and other[c - 1] != "-"
