@@ -68,6 +68,12 @@ def from_ncbi(name: str, text: str) -> Matrix:
     return _protein(name, scores)
 
 
+def read(spark, path: str) -> Matrix:
+    """A published protein table from a file on any store that Spark reads, for Params(table=...)."""
+    lines = [r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect()]  # a table of some 25 rows
+    return from_ncbi(path.rstrip("/").rpartition("/")[2], lines[0] if lines else "")
+
+
 def _protein(name: str, scores: dict[tuple[str, str], float]) -> Matrix:
     core = _ORDER
     s = dict(scores)

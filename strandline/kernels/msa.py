@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from strandline.alphabet import GAPS, GROUPS, KMER, PROTEIN
+from strandline.errors import AlgorithmError
 from strandline.kernels import matrices, trees
 from strandline.kernels.pairwise import global_pairs, path
 
@@ -23,6 +24,20 @@ class Params:
     terminal: float = 0.5
     matrix: str = "auto"
     iterations: int = 0
+    #: A table read from a file (matrices.from_ncbi, matrices.read), in place of a named one.
+    table: matrices.Matrix | None = None
+    #: kmer, pairwise, or auto: pairwise for clustal up to PAIRWISE_CELLS, else kmer.
+    distance: str = "auto"
+    #: nj, upgma, or auto: nj for clustal up to trees.MOST_JOINED rows, else upgma.
+    tree: str = "auto"
+
+    def __post_init__(self) -> None:
+        for what, of in (("distance", ("auto", "kmer", "pairwise")), ("tree", ("auto", "nj", "upgma"))):
+            if getattr(self, what) not in of:
+                raise AlgorithmError(f"{what} must be one of {', '.join(of)}")
+
+    def scores(self, alphabet: str) -> matrices.Matrix:
+        return self.table or matrices.choose(alphabet, self.matrix)
 
     @classmethod
     def of(cls, engine: str) -> Params:
@@ -80,11 +95,28 @@ def pairwise_distances(seqs: list[str], alphabet: str) -> np.ndarray:
     return trees.square(n, i, j, corrected(share, alphabet))
 
 
-def guide_distances(seqs: list[str], alphabet: str, engine: str) -> np.ndarray:
-    """For clustal of pairwise alignments, if these have PAIRWISE_CELLS at most; else of k-mers."""
+def guide_distances(seqs: list[str], alphabet: str, engine: str, distance: str = "auto") -> np.ndarray:
+    """By default for clustal of pairwise alignments, if these have PAIRWISE_CELLS at most; else of k-mers."""
     n = len(seqs)
     cells = n * (n - 1) // 2 * (sum(map(len, seqs)) // n) ** 2
-    return pairwise_distances(seqs, alphabet) if engine == "clustal" and cells <= PAIRWISE_CELLS else kmer_distances(seqs, alphabet)
+    aligned = distance == "pairwise" or distance == "auto" and engine == "clustal" and cells <= PAIRWISE_CELLS
+    return pairwise_distances(seqs, alphabet) if aligned else kmer_distances(seqs, alphabet)
+
+
+def guide_tree(d: np.ndarray, p: Params) -> trees.Tree:
+    if p.tree == "nj":
+        return trees.neighbor_joining(d)
+    return trees.build(d, "nj" if p.tree == "auto" and p.engine == "clustal" else "upgma")
+
+
+def henikoff(rows: list[np.ndarray]) -> np.ndarray:
+    """Position-based weights of aligned rows, a gap being a kind of its own; columns in which all agree don't count. Mean 1, at least 1e-4."""
+    x, w = np.stack(rows), np.zeros(len(rows))
+    for column in x.T:
+        kinds, back, n = np.unique(column, return_inverse=True, return_counts=True)
+        if len(kinds) > 1:
+            w += 1.0 / (len(kinds) * n[back])
+    return np.maximum(w / w.mean(), 1e-4) if w.any() else np.ones(len(rows))
 
 
 class Profile:
@@ -234,9 +266,8 @@ def align(residues: list[str], alphabet: str, p: Params = Params()) -> list[str]
         width = max(map(len, plain), default=0)
         return [s.ljust(width, "-") for s in plain]
     seqs = [np.frombuffer(plain[i].encode("ascii", "replace"), np.uint8) for i in full]
-    m = matrices.choose(alphabet, p.matrix)
-    d = guide_distances([plain[i] for i in full], alphabet, p.engine)
-    tree = trees.build(d, "nj" if p.engine == "clustal" else "upgma")
+    m = p.scores(alphabet)
+    tree = guide_tree(guide_distances([plain[i] for i in full], alphabet, p.engine, p.distance), p)
     w = trees.weights(tree, len(full))
     rows = progressive(seqs, tree, w, m, p)
     if p.engine == "mafft":
@@ -281,9 +312,11 @@ def realign_columns(rows: list[str], start: int, end: int, alphabet: str, p: Par
 
 
 def add_to(base: list[str], queries: list[str], alphabet: str, p: Params = Params()) -> list[str]:
-    """Queries are aligned among themselves and then, as a profile, to the base, whose rows only get gaps."""
-    m = matrices.choose(alphabet, p.matrix)
-    new = align(queries, alphabet, p)
+    """Queries are aligned among themselves and then, as a profile, to the base, whose rows only get gaps; shorter rows of the
+    base are padded first. Both profiles have position-based weights."""
+    m, width = p.scores(alphabet), max(map(len, base), default=0)
     enc = lambda rows: [np.frombuffer(r.encode("ascii", "replace"), np.uint8) for r in rows]
-    a, b = Profile(enc(base), list(range(len(base))), np.ones(len(base))), Profile(enc(new), list(range(len(base), len(base) + len(new))), np.ones(len(new)))
+    old, new = enc(r.ljust(width, "-") for r in base), enc(align(queries, alphabet, p))
+    up = lambda rows: henikoff([np.frombuffer(r.tobytes().upper(), np.uint8) for r in rows])
+    a, b = Profile(old, list(range(len(old))), up(old)), Profile(new, list(range(len(old), len(old) + len(new))), up(new))
     return [r.tobytes().decode() for r in merge(a, b, align_profiles(a, b, m, p)).rows]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.alphabet import PROTEIN
+from strandline.alphabet import GAPS, PROTEIN
 from strandline.functions import scalars as S
 from strandline.kernels import matrices, msa, pairwise, trees
 from strandline.operators.stats import pairs
@@ -64,15 +64,32 @@ def guide_trees(dist: DataFrame, names: DataFrame, method: str = "nj") -> DataFr
 
 
 def align(seqs: DataFrame, alphabet: str, engine: str = "clustal", params: msa.Params | None = None) -> DataFrame:
-    """Each set aligned as a whole in one task; sets are independent. aln_id, row_idx, id, residues."""
+    """Each set aligned as a whole in one task; sets are independent (progressive.align_levels spreads a large one).
+
+    All columns of seqs stay; quality is in step with the residues, 0 at gaps. params.distance and params.tree choose how the
+    guide tree comes about: by default the clustal engine takes pairwise alignments up to msa.PAIRWISE_CELLS and neighbour
+    joining up to trees.MOST_JOINED rows, and k-mers and average linkage beyond, as the other engines always do.
+    """
     ship_code(seqs.sparkSession)
     p = params or msa.Params.of(engine)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
-        return pdf.assign(residues=msa.align(list(pdf["residues"]), alphabet, p))
+        before = [r or "" for r in pdf["residues"]]
+        rows = msa.align(before, alphabet, p)
+        out = pdf.assign(residues=rows)
+        return out.assign(quality=[regapped(*x) for x in zip(before, rows, pdf["quality"], strict=True)]) if "quality" in pdf.columns else out
 
-    return seqs.select("aln_id", "row_idx", "id", "residues").groupBy("aln_id").applyInPandas(kernel, "aln_id string, row_idx int, id string, residues string")
+    return seqs.groupBy("aln_id").applyInPandas(kernel, seqs.schema)
+
+
+def regapped(before: str, after: str, quality) -> list[int] | None:
+    """Scores (of all cells, or of residues alone) moved with the residues from one gapped form of a row to another."""
+    if quality is None:
+        return None
+    kept = [q for c, q in zip(before, quality, strict=True) if c not in GAPS] if len(quality) == len(before) else list(quality)
+    own = iter(kept)
+    return [int(next(own, 0)) if c not in GAPS else 0 for c in after]
 
 
 def realign_region(seqs: DataFrame, start: int, end: int, alphabet: str, params: msa.Params | None = None) -> DataFrame:

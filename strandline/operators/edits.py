@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.alphabet import GAPS
-from strandline.errors import OutOfRangeError
+from strandline.alphabet import GAPS, PROTEIN
+from strandline.errors import AlgorithmError, OutOfRangeError
 from strandline.functions import scalars as S
 from strandline.operators.stats import _all_columns, cells, shape
 
@@ -243,6 +243,9 @@ def deduplicate_ids(seqs: DataFrame) -> DataFrame:
 
 
 def reverse_complement_rows(seqs: DataFrame, rows: list[int], alphabet: str) -> DataFrame:
+    """Of nucleotides; proteins have no complement and are refused."""
+    if alphabet == PROTEIN:
+        raise AlgorithmError("a protein has no reverse complement")
     r = F.col("residues")
     q = F.when(F.col("row_idx").isin(*rows), F.reverse("quality")).otherwise(F.col("quality")) if "quality" in seqs.columns else None
     return _with(seqs, F.when(F.col("row_idx").isin(*rows), S.reverse_complement(r, alphabet)).otherwise(r), q)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars as S
-from strandline.kernels import matrices, msa
+from strandline.kernels import msa
 from strandline.operators.distances import kmer_distance
 from strandline.session import ship_code
 from strandline.store import Store
@@ -109,7 +109,7 @@ def merged(a: Columns, b: Columns, ops: np.ndarray) -> Columns:
 
 def _merges(alphabet: str, params: msa.Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matrices.choose(alphabet, params.matrix)
+        m = params.scores(alphabet)
         for batch in batches:
             for r in batch.to_pylist():
                 a, b = Columns.of_row(r["l"]), Columns.of_row(r["r"])

@@ -29,7 +29,7 @@ def sum_of_pairs(seqs: DataFrame, alphabet: str, params: msa.Params | None = Non
     that is shuffled, and rows of an alignment meet nowhere.
     """
     params = params or msa.Params()
-    m = matrices.choose(alphabet, params.matrix)
+    m = params.scores(alphabet)
     scale = m.mean_diagonal / msa._REFERENCE
     width = shape(seqs).select("aln_id", "width")
     rows = seqs.join(width, "aln_id").select("aln_id", "row_idx", S.pad(S.normalize(F.coalesce("residues", F.lit(""))), F.col("width")).alias("r"))

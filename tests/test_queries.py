@@ -9,7 +9,7 @@ from strandline.plans.history import History
 from strandline.plans.selection import Selection
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"pairwise_global", "pairwise_local", "align_mafft", "align_muscle"}  # the kernels have tests of their own
+SLOW = {"pairwise_local", "align_mafft", "align_muscle"}  # the kernels have tests of their own
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline" and n not in SLOW)
 
 
