@@ -452,7 +452,7 @@ class Sums:
         self.cells: list[np.ndarray] = []
         n_rows = [(lay.table(self.seen, k).shape[0], lay.own(self.seen, k).shape[0]) for k in range(3)]
         self.sums = [[np.zeros((w, n)) for n in both] for w, both in zip(lay.wide, n_rows, strict=True)]  # outcomes x rows
-        self.held = [np.empty((w, TOGETHER), np.float32) for w in lay.wide]
+        self.held = [np.empty((w, TOGETHER)) for w in lay.wide]  # in doubles, as sums are: no copy for each feature
 
     def add(self, model: Scorer, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> None:
         """Adds at most TOGETHER tokens: probabilities are summed up by bucket for one outcome after another."""
