@@ -181,8 +181,8 @@ def _sum_of_pairs_sql() -> str:
 g AS (SELECT *, coalesce(lag(res) OVER (PARTITION BY aln_id, row_idx ORDER BY col), res) = '-' AS after, count(*) FILTER (res <> '-') OVER (PARTITION BY aln_id, row_idx ORDER BY col) AS filled, count(*) FILTER (res <> '-') OVER (PARTITION BY aln_id, row_idx) AS every FROM fc),
 p AS (SELECT a.aln_id, a.res AS x, b.res AS y, CASE WHEN a.res = '-' THEN a.after ELSE b.after END AS gap_after, CASE WHEN a.res = '-' THEN b.after ELSE a.after END AS other_after,
   CASE WHEN a.res = '-' THEN a.filled = 0 OR a.filled = a.every ELSE b.filled = 0 OR b.filled = b.every END AS terminal FROM g a JOIN g b ON a.aln_id = b.aln_id AND a.col = b.col AND a.row_idx > b.row_idx)
-SELECT aln_id, round(sum(CASE WHEN p.x <> '-' AND p.y <> '-' THEN s ELSE 0 END), 4) AS pairs,
-  round(sum(CASE WHEN (p.x = '-') <> (p.y = '-') THEN {scale} * CASE WHEN terminal THEN 0.5 ELSE 1 END * (1.0 + CASE WHEN gap_after AND NOT other_after THEN 0 ELSE 5.0 END) ELSE 0 END), 4) AS gaps
+SELECT aln_id, round(sum(CAST(CASE WHEN p.x <> '-' AND p.y <> '-' THEN s ELSE 0 END AS DOUBLE)), 4) AS pairs,
+  round(sum(CAST(CASE WHEN (p.x = '-') <> (p.y = '-') THEN CAST({scale} AS DOUBLE) * CASE WHEN terminal THEN 0.5 ELSE 1 END * (1.0 + CASE WHEN gap_after AND NOT other_after THEN 0 ELSE 5.0 END) ELSE 0 END AS DOUBLE)), 4) AS gaps
 FROM p LEFT JOIN t ON p.x = t.x AND p.y = t.y GROUP BY aln_id""")
 
 
