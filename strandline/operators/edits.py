@@ -6,6 +6,9 @@ with strict=True, fails the query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from strandline.alphabet import GAPS, PROTEIN
 from strandline.errors import AlgorithmError, OutOfRangeError
 from strandline.functions import scalars as S
 from strandline.operators.stats import _all_columns, cells, shape
+from strandline.session import ship_code
 
 
 def _with(seqs: DataFrame, residues: Column, quality: Column | None = None) -> DataFrame:
@@ -218,27 +222,28 @@ def deduplicate_ids(seqs: DataFrame) -> DataFrame:
     A name can only collide with names of its own stem (without such suffixes), so each stem of an
     alignment is one small group.
     """
-    import pandas as pd
-
+    ship_code(seqs.sparkSession)
     stem = F.regexp_replace("id", r"(_\d+)+$", "")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
-        seen: set[str] = set()
-        count: dict[str, int] = {}
-        out = []
-        for name in pdf["id"]:
-            new, n = name, count.get(name, 1)
-            while new in seen:
-                n += 1
-                new = f"{name}_{n}"
-            count[name] = n
-            seen.add(new)
-            out.append(new)
-        return pd.DataFrame({"aln_id": pdf["aln_id"], "row_idx": pdf["row_idx"], "new_id": out})
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, count = None, set(), {}
+        for b in batches:
+            out = []
+            for *group, name in zip(*(b.column(c).to_pylist() for c in ("aln_id", "stem", "id")), strict=True):
+                if group != held:
+                    held, seen, count = group, set(), {}
+                new, n = name, count.get(name, 1)
+                while new in seen:
+                    n += 1
+                    new = f"{name}_{n}"
+                count[name] = n
+                seen.add(new)
+                out.append(new)
+            yield pa.RecordBatch.from_arrays([b.column("aln_id"), b.column("row_idx"), pa.array(out, pa.string())], ["aln_id", "row_idx", "new_id"])
 
     ids = seqs.select("aln_id", "row_idx", "id").withColumn("stem", stem)
-    named = ids.groupBy("aln_id", "stem").applyInPandas(kernel, "aln_id string, row_idx int, new_id string")
+    # Groups come one after the other in a task's rows, without a call for each.
+    named = ids.repartition("aln_id", "stem").sortWithinPartitions("aln_id", "stem", "row_idx").mapInArrow(kernel, "aln_id string, row_idx int, new_id string")
     return seqs.join(named, ["aln_id", "row_idx"]).withColumn("id", F.col("new_id")).select(*seqs.columns)
 
 

@@ -104,6 +104,15 @@ def test_selection(spark):
     assert cells.where(s.contains(5, 8)).count() == 3 * 4
 
 
+def test_equal_ids_of_many_groups(spark):
+    """One stream of sorted rows, not a call for each name of each set."""
+    d = spark.range(3000).selectExpr("cast(id % 300 as string) as aln_id", "cast(id div 300 as int) as row_idx", "case id div 300 when 3 then 'x_2' when 7 then 'y' else 'x' end as id")
+    out = edits.deduplicate_ids(d)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    names = ["x", "x_2", "x_3", "x_2_2", "x_4", "x_5", "x_6", "y", "x_7", "x_8"]
+    assert sorted(map(tuple, out.collect())) == sorted((str(a), i, n) for a in range(300) for i, n in enumerate(names))
+
+
 def test_block_parameters():
     clean.Blocks().validate(10)
     for bad in (clean.Blocks(b1=5), clean.Blocks(b1=8, b2=7), clean.Blocks(b4=1)):
