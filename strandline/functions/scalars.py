@@ -80,13 +80,6 @@ def cells_of(residues: Column) -> Column:
     return F.when(F.length(residues) > 0, F.split(residues, "")).otherwise(F.array().cast("array<string>"))
 
 
-def mean_quality(residues: Column, quality: Column) -> Column:
-    """Mean score over positions that aren't gaps; null without any."""
-    pairs = F.filter(F.arrays_zip(cells_of(residues).alias("r"), quality.alias("q")), lambda x: ~x["r"].isin(*GAPS))
-    total = F.aggregate(F.transform(pairs, lambda x: x["q"].cast("double")), F.lit(0.0), lambda a, b: a + b)
-    return F.when(quality.isNotNull() & (F.size(pairs) > 0), total / F.size(pairs))
-
-
 def ambiguity_fraction(residues: Column, alphabet: str) -> Column:
     """Share of the residues that don't name one base or amino acid; 0 for a row without residues."""
     core = NUCLEOTIDES if alphabet != PROTEIN else CORE[PROTEIN]

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from strandline.alphabet import DNA, PROTEIN
 from strandline.functions import scalars as S
+from strandline.functions import scores
 from strandline.operators import clean, distances, edits, stats
+from strandline.session import ship_code
 
 LETTERS, AS_DNA = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -28,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").where("doc_id is not null")
-    r = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    r = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", ""))
     return d.select(F.floor(F.col("doc_id") / 16).cast("string").alias("aln_id"), (F.col("doc_id") % 16).cast("int").alias("row_idx"), F.concat(F.lit("seq"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("description"), r.alias("residues"))
 
 
@@ -41,7 +43,7 @@ def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _table(spark, sf_dir, "benchmark").where("item_id is not null").select(F.col("item_id").alias("a"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("base"))
+    b = _table(spark, sf_dir, "benchmark").where("item_id is not null").select(F.col("item_id").alias("a"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")).alias("base"))
     rows = b.where(F.length("base") > 0).select("a", "base", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("r"))
     a, r = F.col("a"), F.col("r").cast("long")
 
@@ -119,8 +121,8 @@ def residue_index(spark, sf):
 
 @query(_sql(_TEXTS, "SELECT aln_id, row_idx, CASE WHEN length(translate(residues, '-', '')) > 0 THEN round(list_sum(list_transform(string_split(translate(residues, '-', ''), ''), lambda x: ascii(x) - 33)) / length(translate(residues, '-', '')), 6) END AS q FROM gapped"))
 def quality_mean(spark, sf):
-    quality = F.transform(S.cells_of(F.col("residues")), lambda c: (F.ascii(c) - 33).cast("smallint"))
-    return gapped(spark, sf).select("aln_id", "row_idx", F.round(S.mean_quality(F.col("residues"), quality), 6).alias("q"))
+    quality = scores.scores("residues", F.lit(33))
+    return gapped(ship_code(spark), sf).select("aln_id", "row_idx", F.round(scores.mean_quality("residues", quality), 6).alias("q"))
 
 
 @query(_sql(_TEXTS, "SELECT aln_id, row_idx, round(coalesce(length(translate(residues, '-ACDEFGHIKLMNPQRSTVWY', '')) / nullif(length(replace(residues, '-', '')), 0), 0), 6) AS f FROM gapped"))

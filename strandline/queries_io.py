@@ -92,7 +92,7 @@ def fasta_ranges(spark, sf):
 def fastq_ranges(spark, sf):
     """Letters as scores: none is below ';' and some are above 'J', so they count from 64."""
     lines = texts(spark, sf).where("residues <> ''").select(F.concat(F.lit("@"), "id", F.lit("\n"), "residues", F.lit("\n+\n"), "residues").alias("value"))
-    back = _ranged(spark, "fastq-text", lines.repartition(2), ranges.read_fastq)
+    back = _ranged(spark, "fastq-text", lines, ranges.read_fastq)
     return back.select("id", "residues", F.aggregate("quality", F.lit(0).cast("long"), lambda s, x: s + x).alias("scores"))
 
 

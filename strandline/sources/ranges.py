@@ -3,7 +3,8 @@
 Spark deals a file out in ranges of lines. A task finds the first record that begins in its range and reads on to the
 range's end; what stands before that record, and what its last record may still lack, are loose ends. A second pass
 joins the ends of neighbouring ranges: a shuffle of at most two pieces a range, or of the ranges that a record longer
-than a range covers. Rows are numbered from the counts of the ranges before. The result doesn't depend on how files are cut.
+than a range covers. Rows are numbered from the counts of the ranges before; what is
+broadcast for that has a row or two for each range or file. The result doesn't depend on how files are cut.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.errors import ParseError
+from strandline.functions import scores
 from strandline.session import ship_code
 from strandline.sources.parsers import _clean, _residues
 from strandline.store import Store
 
 #: A piece of a range: k counts from 0 (what stands before its first record). head is null where no record begins; n: the records
-#: that begin in the range; lines of loose ends of FASTQ, whose records are four lines.
-PIECE = "path string, start long, k long, head string, residues string, scores string, lines array<string>, n long"
-_ARROW = pa.schema([("path", pa.string()), ("start", pa.int64()), ("k", pa.int64()), ("head", pa.string()), ("residues", pa.string()), ("scores", pa.string()), ("lines", pa.list_(pa.string())), ("n", pa.int64())])
+#: that begin in the range; lo, hi: the least and greatest mark of its scores; lines of loose ends of FASTQ, whose records are four lines.
+PIECE = "path string, start long, k long, head string, residues string, scores string, lo string, hi string, lines array<string>, n long"
+_ARROW = pa.schema([("path", pa.string()), ("start", pa.int64()), ("k", pa.int64()), ("head", pa.string()), ("residues", pa.string()), ("scores", pa.string()), ("lo", pa.string()), ("hi", pa.string()), ("lines", pa.list_(pa.string())), ("n", pa.int64())])
 
 
 def _in_ranges(of_range: Callable[[str, int, list[str]], Iterator[dict]]):
@@ -96,7 +98,7 @@ def _fastq_record(path: str, head: str, seq: str, qual: str) -> dict:
     seq, qual = _clean(_residues(seq)), qual.strip()
     if not head.startswith("@") or len(seq) != len(qual):
         raise ParseError("FASTQ", 1, f"{path}: not a record of four lines at {head[:60]!r}")
-    return {"head": head[1:], "residues": seq, "scores": qual}
+    return {"head": head[1:], "residues": seq, "scores": qual, "lo": min(qual, default=None), "hi": max(qual, default=None)}
 
 
 def _stem(path: Column) -> Column:
@@ -115,9 +117,18 @@ def _headers(out: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges that a task reads one after the other, where there are more than a few for each core.
+TASK_RANGES = 64
+
+
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines with their file and range. Small ranges share a task, so that tasks follow the bytes, not the size of ranges."""
     ship_code(spark)
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return _fewer(spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"))
+
+
+def _fewer(df: DataFrame) -> DataFrame:
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // TASK_RANGES))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -129,7 +140,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ranges = pieces.where("k = 0").select("path", "start", "n")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
     ranges = ranges.select("path", "start", before.alias("before"))
-    rows = pieces.join(ranges, ["path", "start"]).withColumn("row_idx", F.col("before") + F.col("k") - 1)
+    rows = pieces.join(F.broadcast(ranges), ["path", "start"]).withColumn("row_idx", F.col("before") + F.col("k") - 1)
     # Loose ends: what stands before a range's first record, and its last record, which may go on.
     loose = (F.col("k") == 0) | (F.col("k") == F.col("n"))
     ends = rows.where(loose & ((F.col("k") > 0) | (F.col("residues") != ""))).groupBy("path", "row_idx").agg(
@@ -149,7 +160,7 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ranges = pieces.where("k = 0").select("path", "start", "n", F.col("residues").isNull().cast("long").alias("sure"))
     order = Window.partitionBy("path").orderBy("start")
     ranges = ranges.select("path", "start", (F.sum("sure").over(order) - F.col("sure")).alias("gap"), F.col("n").alias("_n"), "sure")
-    ends = pieces.where(F.col("lines").isNotNull()).join(ranges.select("path", "start", "gap", "sure"), ["path", "start"]).withColumn("gap", F.when(F.col("k") > 0, F.col("gap") + F.col("sure")).otherwise(F.col("gap")))
+    ends = _fewer(pieces.where(F.col("lines").isNotNull())).join(F.broadcast(ranges.select("path", "start", "gap", "sure")), ["path", "start"]).withColumn("gap", F.when(F.col("k") > 0, F.col("gap") + F.col("sure")).otherwise(F.col("gap")))
     gaps = ends.groupBy("path", "gap").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", "k", "lines"))), lambda x: x["lines"])).alias("lines"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,21 +175,16 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 if len(lines) % 4:
                     raise ParseError("FASTQ", 1, f"{path}: not records of four lines")
                 got = [_fastq_record(path, lines[i], lines[i + 1], lines[i + 3]) for i in range(0, len(lines), 4)]
-                yield pa.RecordBatch.from_pylist([r | {"path": path, "gap": gap, "k": k} for k, r in enumerate(got)], schema=pa.schema([("path", pa.string()), ("gap", pa.int64()), ("k", pa.int64()), ("head", pa.string()), ("residues", pa.string()), ("scores", pa.string())]))
+                yield pa.RecordBatch.from_pylist([r | {"path": path, "gap": gap, "k": k} for k, r in enumerate(got)], schema=pa.schema([("path", pa.string()), ("gap", pa.int64()), ("k", pa.int64()), ("head", pa.string()), ("residues", pa.string()), ("scores", pa.string()), ("lo", pa.string()), ("hi", pa.string())]))
 
-    between = store.put(gaps.mapInArrow(records, "path string, gap long, k long, head string, residues string, scores string"), "between")
+    between = store.put(gaps.mapInArrow(records, "path string, gap long, k long, head string, residues string, scores string, lo string, hi string"), "between")
     # Places in the file: gap 0, the records of the first sure range, gap 1 and so on.
     sizes = between.groupBy("path", "gap").agg(F.count(F.lit(1)).alias("m")).select("path", (2 * F.col("gap")).alias("at"), "m")
     sizes = sizes.unionByName(ranges.where("sure = 1").select("path", (2 * F.col("gap") + 1).alias("at"), F.col("_n").alias("m")))
     begin = sizes.select("path", "at", (F.sum("m").over(Window.partitionBy("path").orderBy("at")) - F.col("m")).alias("begin"))  # two rows for each range
-    inside = pieces.where(F.col("head").isNotNull()).join(ranges.select("path", "start", (2 * F.col("gap") + 1).alias("at")), ["path", "start"]).select("path", "at", (F.col("k") - 1).alias("k"), "head", "residues", "scores")
-    every = inside.unionByName(between.select("path", (2 * F.col("gap")).alias("at"), "k", "head", "residues", "scores")).join(begin, ["path", "at"])
-    marks = F.array_distinct(F.split("scores", ""))
-    seen = every.where("scores <> ''").select("path", F.array_min(marks).alias("lo"), F.array_max(marks).alias("hi")).groupBy("path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    inside = pieces.where(F.col("head").isNotNull()).join(F.broadcast(ranges.select("path", "start", (2 * F.col("gap") + 1).alias("at"))), ["path", "start"]).select("path", "at", (F.col("k") - 1).alias("k"), "head", "residues", "scores", "lo", "hi")
+    every = inside.unionByName(between.select("path", (2 * F.col("gap")).alias("at"), "k", "head", "residues", "scores", "lo", "hi")).join(F.broadcast(begin), ["path", "at"])
+    seen = pieces.select("path", "lo", "hi").unionByName(between.select("path", "lo", "hi")).where("lo IS NOT NULL").groupBy("path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     offset = F.when((F.col("hi") > "J") & (F.col("lo") >= ";"), 64).otherwise(33)
-    every = every.join(seen.select("path", offset.alias("offset")), "path", "left")
-    cells = F.when(F.col("scores") != "", F.split("scores", "")).otherwise(F.array().cast("array<string>"))
-    # The offset stands beside each score, so that the lambda looks at nothing outside.
-    pairs = F.arrays_zip(cells.alias("c"), F.array_repeat(F.col("offset"), F.size(cells)).alias("o"))
-    quality = F.transform(pairs, lambda x: F.greatest(F.lit(0), F.ascii(x["c"]) - x["o"]).cast("smallint"))
-    return _headers(every.withColumns({"row_idx": F.col("begin") + F.col("k"), "quality": quality, "format": F.lit("fastq")}))
+    every = every.join(F.broadcast(seen.select("path", offset.alias("offset"))), "path", "left")
+    return _headers(every.withColumns({"row_idx": F.col("begin") + F.col("k"), "quality": scores.scores("scores", "offset"), "format": F.lit("fastq")}))

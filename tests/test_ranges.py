@@ -1,6 +1,7 @@
 """Files read in byte ranges give the rows that reading them whole gives, wherever they are cut."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,30 @@ def test_failures(spark, tmp_path):
         ranges.read_fastq(spark, str(tmp_path / "b.fq")).collect()
     (tmp_path / "c.fa").write_text("")
     assert ranges.read_fasta(spark, str(tmp_path / "c.fa")).select(F.count("*")).first()[0] == 0
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, cut):
+    """Tasks follow the bytes, and no row is dealt by its file alone."""
+    (tmp_path / "a.fq").write_text(fastq(random.Random(1), 400, "@hfc;"))
+    cut(64)
+    n = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    assert n > 200 and ranges._lines(spark, str(tmp_path)).rdd.getNumPartitions() <= max(4 * cores, n // ranges.TASK_RANGES)
+    got = ranges.read_fastq(spark, str(tmp_path))
+    assert got.count() == 400 and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fastq_query_writes_beside_its_rows(spark, sf, tmp_path):
+    """As many files as the table has tasks, not two."""
+    from strandline.queries_io import fastq_ranges
+    from strandline.store import shared_dir
+
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        before = set(Path(shared_dir(spark).removeprefix("file:")).glob("fastq-text*/text"))
+        assert fastq_ranges(spark, str(tmp_path)).count() > 0
+        new = set(Path(shared_dir(spark).removeprefix("file:")).glob("fastq-text*/text")) - before
+        assert sum(1 for d in new for f in d.glob("part-*")) > 2
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
