@@ -80,7 +80,13 @@ def align(seqs: DataFrame, alphabet: str, engine: str = "clustal", params: msa.P
         out = pdf.assign(residues=rows)
         return out.assign(quality=[regapped(*x) for x in zip(before, rows, pdf["quality"], strict=True)]) if "quality" in pdf.columns else out
 
-    return seqs.groupBy("aln_id").applyInPandas(kernel, seqs.schema)
+    return _dealt(seqs).groupBy("aln_id").applyInPandas(kernel, seqs.schema)
+
+
+def _dealt(seqs: DataFrame) -> DataFrame:
+    """Sets over all cores: their cost doesn't show in their bytes, by which Spark would put small partitions together."""
+    spark = seqs.sparkSession
+    return seqs.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "aln_id")
 
 
 def regapped(before: str, after: str, quality) -> list[int] | None:
@@ -100,7 +106,7 @@ def realign_region(seqs: DataFrame, start: int, end: int, alphabet: str, params:
         pdf = pdf.sort_values("row_idx")
         return pdf.assign(residues=msa.realign_columns(list(pdf["residues"]), start, end, alphabet, p))
 
-    return seqs.select("aln_id", "row_idx", "id", "residues").groupBy("aln_id").applyInPandas(kernel, "aln_id string, row_idx int, id string, residues string")
+    return _dealt(seqs.select("aln_id", "row_idx", "id", "residues")).groupBy("aln_id").applyInPandas(kernel, "aln_id string, row_idx int, id string, residues string")
 
 
 def add_to_alignment(base: DataFrame, queries: DataFrame, alphabet: str, params: msa.Params | None = None) -> DataFrame:
