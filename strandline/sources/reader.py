@@ -36,8 +36,8 @@ def parse_files(files: DataFrame, format: str | None = None, permissive: bool =
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist(rows(path, content), schema=_ARROW)
+            for path, content in zip(b.column("path"), b.column("content"), strict=True):  # one file at a time leaves the batch
+                yield pa.RecordBatch.from_pylist(rows(path.as_py(), content.as_py()), schema=_ARROW)
 
     ship_code(files.sparkSession)
     return files.select("path", "content").mapInArrow(kernel, SCHEMA)
