@@ -153,7 +153,7 @@ class Vocabulary:
 def frequent_tokens(training: DataFrame) -> np.ndarray:
     """Hashes of the FREQUENT most frequent tokens of all training texts, the most frequent first (the end among them)."""
     none = np.zeros(0, np.int64)
-    rows = token_parts(training, Frequent(none.view(U64), none, none)).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
+    rows = token_parts(training, Frequent(none.view(U64), none, none)).repartition("token").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     return np.array([r["token"] for r in rows], np.int64).view(U64)
 
 
@@ -298,7 +298,8 @@ def token_parts(training: DataFrame, frequent: Frequent) -> DataFrame:
 
 def count_tokens(training: DataFrame, frequent: Frequent) -> DataFrame:
     """token (hash), n, class: exact counts over all training texts; a frequent word's own class, else the class that the token follows most."""
-    parts = token_parts(training, frequent).groupBy("token", "g").agg(F.sum("n").alias("n"))
+    # The tasks have summed up what they hold: what they send is dealt once, by token, and both sums are made where it arrives.
+    parts = token_parts(training, frequent).repartition("token").groupBy("token", "g").agg(F.sum("n").alias("n"))
     most = parts.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("g")).alias("g")))["g"].alias("g"))
     own = F.col("token").isin(frequent.keys.view(np.int64).tolist()) if len(frequent.keys) else F.lit(False)
     cls = F.when(F.col("token") == int(END.view(np.int64)), END_CLASS).when(own, -F.col("g")).otherwise(FINE - F.col("g"))
@@ -405,16 +406,22 @@ class Layout:
     def buckets(self, h: np.ndarray, condition: np.ndarray, factor: int) -> np.ndarray:
         """Rows of table() for feature hashes (FEATURES x n) and a condition (the group, the class)."""
         with np.errstate(over="ignore"):
-            x = (h ^ (condition.astype(U64) * U64(0xC2B2AE3D27D4EB4F))) * U64(0x9E3779B97F4A7C15 | 1)
-            return (x >> U64(64 - self.bits[factor])).astype(np.intp)
+            x = h ^ (condition.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+            x *= U64(0x9E3779B97F4A7C15 | 1)
+            x >>= U64(64 - self.bits[factor])
+        return x.view(np.int64)
 
 
-def factors(cls: np.ndarray, word: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each factor: which tokens have it, its condition and its outcome."""
-    fine = cls < 2 * FINE
-    one = np.where(fine, cls // SUB, END_OUT + (cls == OTHER_CLASS))
-    two, three = np.flatnonzero(fine), np.flatnonzero(cls < FINE)
-    return [(np.arange(len(cls)), np.zeros(len(cls), np.int64), one), (two, one[two], cls[two] % SUB), (three, cls[three], word[three])]
+def by_class(cls: np.ndarray) -> np.ndarray:
+    """An order of the tokens by class: those of each factor come first, and those of a condition together."""
+    return np.argsort(cls.astype(np.uint16), kind="stable")
+
+
+def factors(cls: np.ndarray, word: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each factor the condition and the outcome of the tokens that have it, the first ones of tokens in order of class."""
+    two, three = np.searchsorted(cls, [2 * FINE, FINE])
+    one = np.minimum(cls // SUB, END_OUT) + (cls == OTHER_CLASS)
+    return [(np.zeros(len(cls), np.int64), one), (one[:two], cls[:two] % SUB), (cls[:three], word[:three])]
 
 
 class Scorer:
@@ -431,16 +438,19 @@ class Scorer:
             self.own.append((lay.own(w, k) + masses).astype(np.float32))
         self.buffers = [[np.empty((BATCH, n), np.float32) for _ in range(2)] for n in lay.wide]
 
-    def probabilities(self, factor: int, rows: np.ndarray, condition: np.ndarray) -> np.ndarray:
-        """n x outcomes of at most BATCH tokens, in a buffer that the next call uses again."""
+    def masses(self, factor: int, rows: np.ndarray, condition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n x outcomes of at most BATCH tokens, in a buffer that the next call uses again, and their sums; a share of its sum is a probability."""
         z, one = (b[: len(condition)] for b in self.buffers[factor])
         np.take(self.own[factor], condition, axis=0, out=z, mode="clip")
         for r in rows:
             np.take(self.tables[factor], r, axis=0, out=one, mode="clip")
             z += one
         np.exp(np.minimum(z, 60, out=z), out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+        return z, np.einsum("ij->i", z)  # z.sum(axis=1) takes a loop of its own for each row
+
+    def probabilities(self, factor: int, rows: np.ndarray, condition: np.ndarray) -> np.ndarray:
+        z, all_of = self.masses(factor, rows, condition)
+        return z / all_of[:, None]
 
 
 class Sums:
@@ -451,24 +461,30 @@ class Sums:
         self.seen = np.zeros((lay.rows, 16))
         self.cells: list[np.ndarray] = []
         n_rows = [(lay.table(self.seen, k).shape[0], lay.own(self.seen, k).shape[0]) for k in range(3)]
-        self.sums = [[np.zeros((w, n)) for n in both] for w, both in zip(lay.wide, n_rows, strict=True)]  # outcomes x rows
-        self.held = [np.empty((w, TOGETHER)) for w in lay.wide]  # in doubles, as sums are: no copy for each feature
+        # Outcomes x rows, in doubles; two outcomes are a complex number, as it takes both with one access.
+        self.sums = [[np.zeros((w // 2, n), complex) for n in both] for w, both in zip(lay.wide, n_rows, strict=True)]
+        self.held = [np.empty((w // 2, TOGETHER), complex) for w in lay.wide]
 
     def add(self, model: Scorer, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> None:
         """Adds at most TOGETHER tokens: probabilities are summed up by bucket for one outcome after another."""
-        lay = self.lay
-        for factor, (who, condition, out) in enumerate(factors(cls, word)):
-            if not len(who):
+        lay, order = self.lay, by_class(cls)
+        h, cls, word = np.take(h, order, axis=1), cls[order], word[order]
+        for factor, (condition, out) in enumerate(factors(cls, word)):
+            if not len(condition):
                 continue
-            rows = lay.buckets(h if factor == 0 else h[:, who], condition, factor)
-            held = self.held[factor][:, : len(who)]
-            for i in range(0, len(who), BATCH):
-                held[:, i : i + BATCH] = model.probabilities(factor, rows[:, i : i + BATCH], condition[i : i + BATCH]).T
+            rows = lay.buckets(h[:, : len(condition)], condition, factor)
+            held = self.held[factor][:, : len(condition)]
+            for i in range(0, len(condition), BATCH):
+                z, all_of = model.masses(factor, rows[:, i : i + BATCH], condition[i : i + BATCH])
+                held[:, i : i + BATCH] = np.divide(z, all_of[:, None], dtype=float).view(complex).T
             table, own = self.sums[factor]
-            for r, begin, sums in [*((r, lay.begin[factor], table) for r in rows), (condition, lay.bias[factor], own)]:
+            for p, s in zip(held, table, strict=True):
+                for r in rows:
+                    np.add.at(s, r, p)
+            first = np.flatnonzero(np.append(True, condition[1:] != condition[:-1]))
+            own[:, condition[first]] += np.add.reduceat(held, first, axis=1)
+            for r, begin in [*((r, lay.begin[factor]) for r in rows), (condition, lay.bias[factor])]:
                 self.cells.append((begin * 16 + r * lay.wide[factor] + out).astype(np.int32))
-                for p, s in zip(held, sums, strict=True):
-                    s += np.bincount(r, p, len(s))
         if sum(map(len, self.cells)) > 1 << 22:
             self.flush()
 
@@ -481,8 +497,8 @@ class Sums:
     def expected(self) -> np.ndarray:
         out = np.zeros_like(self.seen)
         for k, (table, own) in enumerate(self.sums):
-            self.lay.table(out, k)[:] = table.T
-            self.lay.own(out, k)[:] = own.T
+            self.lay.table(out, k)[:] = np.ascontiguousarray(table.T).view(float)
+            self.lay.own(out, k)[:] = np.ascontiguousarray(own.T).view(float)
         return out
 
 
@@ -494,8 +510,8 @@ def step(lay: Layout, w: np.ndarray, seen: np.ndarray, expected: np.ndarray) ->
     return (w + up).astype(np.float32)
 
 
-def gather(work: Workspace, part: DataFrame, vocab, weights, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all rows (text, tail) of `part`, piece by piece; 64 tasks' sums meet at a time."""
+def gather(work: Workspace, part: DataFrame, tasks: int, vocab, weights, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all rows (text, tail) of `part`, which has at most so many tasks, piece by piece; 64 tasks' sums meet at a time."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -523,8 +539,9 @@ def gather(work: Workspace, part: DataFrame, vocab, weights, lay: Layout) -> tup
         return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "part": [pdf["part"].iloc[0]], "blob": [x.astype(np.float32).tobytes()]})
 
     schema = "piece int, part int, blob binary"
-    now = work.store(part.select("text", "tail").mapInArrow(kernel, schema), "sums")
-    most = now.agg(F.max("part")).first()[0] or 0
+    now, most = part.select("text", "tail").mapInArrow(kernel, schema), tasks - 1
+    if most >= 64:
+        now = work.store(now, "sums")
     out = np.zeros((lay.rows, 2, 16))
     while True:
         up = now.withColumn("part", F.floor(F.col("part") / 64).cast("int")).groupBy("piece", "part").applyInPandas(total, schema)
@@ -547,25 +564,27 @@ def train(work: Workspace, training: DataFrame, vocab, lay: Layout) -> np.ndarra
     deal = F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS))
     for r in range(ROUNDS):
         weights = sc.broadcast(w)
-        w = step(lay, w, *gather(work, training.where(deal == r).coalesce(tasks), vocab, weights, lay))
+        w = step(lay, w, *gather(work, training.where(deal == r).coalesce(tasks), tasks, vocab, weights, lay))
         weights.destroy()
     return w
 
 
 def log_probabilities(model: Scorer, v: Vocabulary, h: np.ndarray, cls: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 of each token's probability."""
-    out = np.zeros(len(cls))
-    for i in range(0, len(cls), BATCH):
-        part = slice(i, i + BATCH)
-        for factor, (who, condition, outcome) in enumerate(factors(cls[part], word[part])):
-            if len(who):
-                own = h[:, part] if factor == 0 else h[:, part][:, who]
-                p = model.probabilities(factor, model.lay.buckets(own, condition, factor), condition)
-                out[i + who] += np.log10(p[np.arange(len(who)), outcome] + 1e-30)
-    rare = (cls >= FINE) & (cls < 2 * FINE)
+    out, back = np.zeros(len(cls)), np.empty(len(cls))
+    order = by_class(cls)
+    h, cls, word, n = np.take(h, order, axis=1), cls[order], word[order], n[order]
+    for factor, (condition, outcome) in enumerate(factors(cls, word)):
+        for i in range(0, len(condition), BATCH):
+            c = condition[i : i + BATCH]
+            part = slice(i, i + len(c))
+            z, all_of = model.masses(factor, model.lay.buckets(h[:, part], c, factor), c)
+            out[part] += np.log10(z[np.arange(len(c)), outcome[part]] / all_of + 1e-30)
+    rare = slice(*np.searchsorted(cls, [FINE, 2 * FINE]))
     out[rare] += np.log10(n[rare] / v.sums[cls[rare]])
     out[cls == OTHER_CLASS] -= np.log10(v.n_types + 1)  # any unseen word is as likely as another, of as many as were seen
-    return out
+    back[order] = out
+    return back
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -279,6 +279,37 @@ def test_sums_are_those_of_a_dense_model():
     assert lp.sum() == pytest.approx(total - shared, rel=1e-5)
 
 
+def test_columns_of_masses_and_the_order_of_tokens_do_not_matter():
+    """A token's sums and its score are the same wherever it stands; factors are runs of tokens in order of class."""
+    rng = np.random.default_rng(7)
+    lay = langmodel.Layout(11)
+    w = rng.normal(size=(lay.rows, 16)).astype(np.float32) * 0.3
+    n = 3 * langmodel.BATCH // 2
+    tok = rng.integers(0, 900, n).astype(np.uint64)
+    cls, word = rng.permutation(langmodel.CLASSES)[(tok % np.uint64(langmodel.CLASSES)).astype(int)], (tok % np.uint64(16)).astype(int)
+    bias = tuple(rng.normal(size=s).astype(np.float32) for s in ((langmodel.OUT,), (2 * langmodel.GROUPS, langmodel.SUB), (langmodel.FINE, langmodel.WORDS)))
+    h, v, model = langmodel.features(tok, np.array([0, n]), cls), langmodel.Vocabulary(*([np.zeros(0)] * 4), np.ones(langmodel.CLASSES), np.ones(langmodel.FINE * 16), 1, 1, 1), langmodel.Scorer(lay, w, bias)
+    order, sums = rng.permutation(n), [langmodel.Sums(lay) for _ in range(2)]
+    for s, o in zip(sums, (np.arange(n), order), strict=True):
+        s.add(model, h[:, o], cls[o], word[o])
+        s.flush()
+    assert np.allclose(sums[0].expected, sums[1].expected) and (sums[0].seen == sums[1].seen).all()
+    assert sums[0].seen.sum() == pytest.approx(sums[0].expected.sum())
+    lp = langmodel.log_probabilities(model, v, h, cls, word, np.ones(n))
+    assert (langmodel.log_probabilities(model, v, h[:, order], cls[order], word[order], np.ones(n)) == lp[order]).all()
+    mixed = langmodel.by_class(cls)
+    assert [len(c) for c, _ in langmodel.factors(cls[mixed], word[mixed])] == [n, (cls < 2 * langmodel.FINE).sum(), (cls < langmodel.FINE).sum()]
+
+
+def test_few_tasks_sums_meet_without_a_table(spark, monkeypatch):
+    """Up to 64 tasks' sums are shuffled once and written nowhere."""
+    stored = []
+    monkeypatch.setattr(common.Workspace, "store", lambda self, df, name, parts=None, had=common.Workspace.store: (stored.append(name), had(self, df, name, parts))[1])
+    docs = spark.createDataFrame([(i, "mia of tria duo of mia " * (i % 3)) for i in range(40)], "doc_id long, text string")
+    assert langmodel.score_documents(docs, F.col("doc_id") % 7 == 2).count() == 40
+    assert "counts" in stored and "sums" not in stored
+
+
 def test_a_step_raises_the_likelihood():
     rng = np.random.default_rng(1)
     lay = langmodel.Layout(11)
