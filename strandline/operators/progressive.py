@@ -3,7 +3,7 @@
 The tree is average linkage by rounds: in each, all pairs of clusters that are nearest to each other join at once.
 That gives the tree of joining them one by one, as a cluster made of others is never nearer to a third than
 they were. Rounds are therefore also the levels of the alignment: all merges of all sets in a round are rows of
-one stage.
+one stage. The trees of sets of up to AT_ONCE rows come about in one stage, a set's pairs of rows together.
 
 A profile is a row: the weighted letters and gaps of its columns, without the sequences below it. A merge takes two such
 rows and gives their steps and the new profile; it is stored under the round in which its own merge is due, so that a
@@ -29,21 +29,68 @@ from strandline.store import Store
 
 #: A node is its round (0: a row of the set) and its least row.
 _ROUND = 32
+#: Merges of a task whose profiles are held at once.
+LOT = 32
+#: Rows of a set whose tree one task makes by itself, from some 2,000 pairs at most.
+AT_ONCE = 64
 TREE = "aln_id string, node long, left long, right long, round int, height double"
 PROFILE = "aln_id string, node long, parent long, side int, weight double, letters binary, freq binary, gap binary"
 STEPS = "aln_id string, node long, left long, right long, ops binary"
 PLACES = "aln_id string, node long, places binary"
 
 
+def _tree_of_set(t: pa.Table) -> pa.Table:
+    """The merges of one set (aln_id, a, b, d), as guide_rounds gives them, and its rows' weights as merges of round 0."""
+    a, b, d0 = (t.column(c).to_numpy() for c in ("a", "b", "d"))
+    row, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, (i, j) = len(row), back.reshape(2, -1)
+    mass, size = np.zeros((2, n, n))
+    mass[i, j] = mass[j, i] = np.minimum(np.nan_to_num(d0, nan=1e300), 1e300)
+    size[i, j] = size[j, i] = 1.0
+    cluster, node, low, height, weight, out, level = np.arange(n), row.copy(), row.copy(), np.zeros(n), np.zeros(n), [], 0
+    while True:
+        # Clusters are in order of their least rows, so that the first of equally near ones is that of the first pair.
+        d = np.divide(mass, size, out=np.full_like(mass, np.inf), where=size > 0)
+        near = d.argmin(axis=1)
+        x = np.flatnonzero((near[near] == np.arange(len(d))) & (np.arange(len(d)) < near) & np.isfinite(d.min(axis=1)))
+        if not len(x):
+            break
+        level += 1
+        y = near[x]
+        count, up = np.bincount(cluster, minlength=len(d)), height.copy()
+        up[x] = up[y] = top = d[x, y] / 2
+        weight += (np.maximum(0.0, up - height) / count)[cluster]
+        out += zip((level << _ROUND) + low[x], node[x], node[y], [level] * len(x), top, strict=True)
+        node[x], height = (level << _ROUND) + low[x], up
+        to = np.arange(len(d))
+        to[y] = x
+        keep, to = np.unique(to, return_inverse=True)
+        cluster, node, low, height = to[cluster], node[keep], low[keep], height[keep]
+        order = np.argsort(to, kind="stable")
+        first = np.searchsorted(to[order], np.arange(len(keep)))
+        mass, size = (np.add.reduceat(np.add.reduceat(v[np.ix_(order, order)], first, axis=0), first, axis=1) for v in (mass, size))
+        np.fill_diagonal(size, 0.0)
+    weight = np.maximum(weight / weight.mean(), 1e-4) if weight.mean() > 0 else np.ones(n)
+    out += zip(row, row, row, [0] * n, weight, strict=True)
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)]
+    return pa.table([pa.array([t.column("aln_id")[0].as_py()] * len(out), pa.string()), *columns], names=["aln_id", "node", "left", "right", "round", "height"])
+
+
 def guide_rounds(dist: DataFrame, rows: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """The average-linkage tree of each set, as merges (TREE), and for each row its weight (aln_id, row_idx, weight).
 
     dist: aln_id, i, j, d for each pair of rows; rows: aln_id, row_idx. Of equally near pairs that with the smaller rows is
     first. A row's weight is the sum of the branches above it, each shared among the rows below; mean 1, at least 1e-4.
     """
-    pairs = store.put(dist.select("aln_id", F.least("i", "j").cast("long").alias("a"), F.greatest("i", "j").cast("long").alias("b"), "d", F.lit(1.0).alias("n")), "pairs")
-    member = store.put(rows.select("aln_id", "row_idx", F.col("row_idx").cast("long").alias("node"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("height"), F.lit(0.0).alias("weight")), "members")
-    tree, n = None, 0
+    sizes = rows.groupBy("aln_id").agg((F.count(F.lit(1)) <= AT_ONCE).alias("_few"))
+    member = store.put(rows.join(sizes, "aln_id").select("aln_id", "row_idx", F.col("row_idx").cast("long").alias("node"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("height"), F.lit(0.0).alias("weight"), "_few"), "members")
+    pairs = dist.select("aln_id", F.least("i", "j").cast("long").alias("a"), F.greatest("i", "j").cast("long").alias("b"), "d", F.lit(1.0).alias("n"))
+    pairs = store.put(pairs.join(sizes, "aln_id"), "pairs")
+    small = store.put(pairs.where("_few").select("aln_id", "a", "b", "d").groupBy("aln_id").applyInArrow(_tree_of_set, TREE), "trees")
+    own = small.where("round = 0").select("aln_id", "node", F.col("height").alias("own"))
+    of_small = member.where("_few").join(own, ["aln_id", "node"], "left").select("aln_id", "row_idx", F.coalesce("own", F.lit(1.0)).alias("weight"))
+    member, pairs = member.where("NOT _few").drop("_few"), pairs.where("NOT _few").drop("_few")
+    tree, n = small.where("round > 0"), 0
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << _ROUND) - 1))
     while not pairs.isEmpty():
         n += 1
@@ -54,7 +101,7 @@ def guide_rounds(dist: DataFrame, rows: DataFrame, store: Store) -> tuple[DataFr
         first = F.col("p.a").bitwiseAND(F.lit((1 << _ROUND) - 1)) == F.col("p.lo")
         merges = joined.select("aln_id", (F.lit(n << _ROUND).cast("long") + F.col("p.lo")).alias("node"), F.when(first, F.col("p.a")).otherwise(F.col("p.b")).alias("left"), F.when(first, F.col("p.b")).otherwise(F.col("p.a")).alias("right"), F.lit(n).alias("round"), (F.col("p.d") / 2).alias("height"))
         merges = store.put(merges, "merges")
-        tree = merges if tree is None else tree.unionByName(merges)
+        tree = tree.unionByName(merges)
         gone = merges.select("aln_id", F.explode(F.array("left", "right")).alias("old"), F.col("node").alias("new"), F.col("height").alias("top"))
         to = lambda df, c: df.join(gone.select("aln_id", F.col("old").alias(c), F.col("new").alias(f"_{c}")), ["aln_id", c], "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")  # noqa: B023, E731
         moved = to(to(pairs, "a"), "b").where("a <> b")
@@ -69,8 +116,7 @@ def guide_rounds(dist: DataFrame, rows: DataFrame, store: Store) -> tuple[DataFr
         member = store.put(member, "members") if n % 4 == 0 else member
     mean = member.groupBy("aln_id").agg(F.avg("weight").alias("mean"))
     weight = F.when(F.col("mean") > 0, F.greatest(F.col("weight") / F.col("mean"), F.lit(1e-4))).otherwise(1.0)
-    empty = rows.sparkSession.createDataFrame([], TREE)
-    return (empty if tree is None else tree), member.join(mean, "aln_id").select("aln_id", "row_idx", weight.alias("weight"))
+    return tree, of_small.unionByName(member.join(mean, "aln_id").select("aln_id", "row_idx", weight.alias("weight")))
 
 
 class Columns:
@@ -108,15 +154,18 @@ def merged(a: Columns, b: Columns, ops: np.ndarray) -> Columns:
 
 
 def _merges(alphabet: str, params: msa.Params):
+    m = params.scores(alphabet)
+
+    def lot(rows: list[dict]) -> Iterator[tuple[dict, Columns, Columns, np.ndarray]]:
+        both = [(Columns.of_row(r["l"]), Columns.of_row(r["r"])) for r in rows]
+        for r, (a, b), ops in zip(rows, both, msa.align_profile_pairs(both, m, params), strict=True):
+            yield r, a, b, np.array(ops, np.uint8)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = params.scores(alphabet)
-        for batch in batches:
-            for r in batch.to_pylist():
-                a, b = Columns.of_row(r["l"]), Columns.of_row(r["r"])
-                ops = np.array(msa.align_profiles(a, b, m, params), np.uint8)
-                weight, letters, freq, gap = merged(a, b, ops).packed()
-                row = {k: r[k] for k in ("aln_id", "node", "left", "right", "parent", "side", "due")}
-                yield pa.RecordBatch.from_pylist([row | {"ops": ops.tobytes(), "weight": weight, "letters": letters, "freq": freq, "gap": gap}], schema=_MERGED)
+        for r, a, b, ops in (x for batch in batches for at in range(0, len(batch), LOT) for x in lot(batch.slice(at, LOT).to_pylist())):
+            weight, letters, freq, gap = merged(a, b, ops).packed()
+            row = {k: r[k] for k in ("aln_id", "node", "left", "right", "parent", "side", "due")}
+            yield pa.RecordBatch.from_pylist([row | {"ops": ops.tobytes(), "weight": weight, "letters": letters, "freq": freq, "gap": gap}], schema=_MERGED)
 
     return run
 
@@ -179,8 +228,8 @@ def align_levels(seqs: DataFrame, alphabet: str, params: msa.Params | None = Non
     side = lambda k: F.first(F.when(F.col("side") == k, F.struct("weight", "letters", "freq", "gap")), ignorenulls=True).alias("lr"[k])
     for n in range(1, rounds + 1):
         ready = store.part("profiles", PROFILE, round="*", due=n)
-        # Merges differ in cost, not in size: a few go to each task.
-        parts = min(sizes[n], max(4 * cores, sizes[n] // 64))
+        # A task's merges are filled together, LOT at a time.
+        parts = min(sizes[n], max(cores, sizes[n] // LOT))
         both = ready.withColumnRenamed("node", "child").withColumnRenamed("parent", "node").repartition(parts, "aln_id", "node").groupBy("aln_id", "node").agg(side(0), side(1))  # two rows
         now = both.join(merges.where(F.col("round") == n), ["aln_id", "node"]).select("aln_id", "node", "left", "right", "parent", "side", "due", "l", "r")
         store.add(now.mapInArrow(_merges(alphabet, params), _MERGED_DDL).withColumns({"round": F.lit(n), "due": F.coalesce("due", F.lit(0))}), "profiles", "round", "due")

@@ -129,3 +129,28 @@ def test_levels_hold_no_set(spark, monkeypatch):
     most = profiles.where("round > 0").agg(F.max(F.length("freq") + F.length("gap"))).first()[0]
     width = len(out[0]["residues"])
     assert most <= width * 4 * 21 + width * 4
+
+
+@pytest.mark.parametrize("at_once", [0, 9])
+def test_small_sets_have_the_tree_of_rounds(spark, sets, monkeypatch, at_once):
+    """Sets up to AT_ONCE rows take one stage, larger ones rounds; merges, rounds and weights are the same."""
+    d, rows, pairs = sets
+    got = []
+    for most in (64, at_once):
+        monkeypatch.setattr(progressive, "AT_ONCE", most)
+        store = Store(spark, "t")
+        tree, weights = progressive.guide_rounds(pairs, rows, store)
+        got.append(({tuple(m)[:5]: m["height"] for m in tree.collect()}, {(r["aln_id"], r["row_idx"]): r["weight"] for r in weights.collect()}, store.n))
+    (one, w, stored), (other, v, _) = got
+    assert one.keys() == other.keys() and all(h == pytest.approx(other[m], abs=1e-12) for m, h in one.items())
+    assert w.keys() == v.keys() and all(x == pytest.approx(v[r], abs=1e-9) for r, x in w.items())
+    assert stored == 3  # no table for each round
+
+
+def test_profiles_aligned_together():
+    """Pairs of profiles of different widths: the steps of each by itself."""
+    rng = random.Random(6)
+    m, p, np_rng = matrices.choose("protein"), msa.Params(), np.random.default_rng(6)
+    profile = lambda k, width: msa.Profile([np.frombuffer("".join(rng.choice("ACDEFG-") for _ in range(width)).encode(), np.uint8) for _ in range(k)], list(range(k)), np_rng.random(k) + 0.1)
+    pairs = [(profile(rng.randrange(1, 4), rng.randrange(0, 40)), profile(rng.randrange(1, 4), rng.randrange(0, 40))) for _ in range(60)]
+    assert msa.align_profile_pairs(pairs, m, p) == [msa.align_profiles(a, b, m, p) for a, b in pairs]
