@@ -121,8 +121,9 @@ def residue_index(spark, sf):
 
 @query(_sql(_TEXTS, "SELECT aln_id, row_idx, CASE WHEN length(translate(residues, '-', '')) > 0 THEN round(list_sum(list_transform(string_split(translate(residues, '-', ''), ''), lambda x: ascii(x) - 33)) / length(translate(residues, '-', '')), 6) END AS q FROM gapped"))
 def quality_mean(spark, sf):
+    rows = gapped(ship_code(spark), sf)  # before the functions, which keep the workers' paths as they find them
     quality = scores.scores("residues", F.lit(33))
-    return gapped(ship_code(spark), sf).select("aln_id", "row_idx", F.round(scores.mean_quality("residues", quality), 6).alias("q"))
+    return rows.select("aln_id", "row_idx", F.round(scores.mean_quality("residues", quality), 6).alias("q"))
 
 
 @query(_sql(_TEXTS, "SELECT aln_id, row_idx, round(coalesce(length(translate(residues, '-ACDEFGHIKLMNPQRSTVWY', '')) / nullif(length(replace(residues, '-', '')), 0), 0), 6) AS f FROM gapped"))

@@ -50,3 +50,33 @@ def test_sum_of_pairs_by_columns(seed):
                 elif not gap[i][c]:
                     want += w[i] * w[j] * m.table[rows[i][c], rows[j][c]]
     assert msa.sp_score(rows, w, m, p) == pytest.approx(want, rel=1e-6)
+
+
+def test_scores_of_whole_batches():
+    """Batches of rows, sliced or not, with nulls, other letters and too few or too many scores, against rows one by one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows, marks, lists = [], [], []
+    for i in range(400):
+        n = int(rng.integers(0, 12))
+        rows.append(None if i % 17 == 3 else "".join(rng.choice(list("ACD-.~é" if i % 5 == 1 else "ACD-.~"), n)))
+        marks.append(None if i % 13 == 2 else "".join(rng.choice(list("!5AZ~é" if i > 200 else "!5AZ~"), n)))
+        m = n if i < 100 or rng.random() < 0.7 else int(rng.integers(0, 14))
+        lists.append(None if i % 19 == 4 else [None if i > 150 and rng.random() < 0.05 else int(x) for x in rng.integers(0, 90, m)])
+
+    def mean(r, q):
+        at = [k for k, c in enumerate(r or "") if c not in "-.~"]
+        if r is None or q is None or not at or any(k >= len(q) or q[k] is None for k in at):
+            return None
+        return sum(q[k] for k in at) / len(at)
+
+    r, q, k = pa.array(rows, pa.string()), pa.array(lists, pa.list_(pa.int16())), pa.array([33 if i % 3 else 64 for i in range(400)], pa.int32())
+    for lo, n in ((0, 400), (0, 90), (7, 60), (160, 200), (5, 0)):
+        some = slice(lo, lo + n)
+        assert scores.mean_of(r.slice(lo, n), q.slice(lo, n)).to_pylist() == [mean(a, b) for a, b in zip(rows[some], lists[some], strict=True)]
+        for off in (k, pa.array([33] * 400, pa.int32())):
+            want = [None if m is None else [max(ord(c) - o, 0) for c in m] for m, o in zip(marks[some], off.to_pylist()[some], strict=True)]
+            assert scores.scores_of(pa.array(marks, pa.string()).slice(lo, n), off.slice(lo, n)).to_pylist() == want
+    with pytest.raises(OverflowError):
+        scores.scores_of(pa.array(["\U0001f600"]), pa.array([33], pa.int32()))
