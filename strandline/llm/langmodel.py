@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace, keep, prepare, row_blocks, text_buffer
-from strandline.llm.wordhash import SPACE, TO_LOWER, U64, mix, span_hashes, word_spans
+from strandline.llm.wordhash import SPACE, TO_LOWER, U64, mapped, mix, span_hashes, word_spans
 
 #: Groups of frequent words (as many of rarer ones), classes of a group, words of a frequent class.
 GROUPS, SUB, WORDS = 15, 16, 16
@@ -55,6 +55,8 @@ ROUNDS, SMOOTH, STEP = 6, 4.0, 2.0
 #: Tokens in a numpy batch, and tokens whose expectations are summed up at once.
 BATCH, TOGETHER = 4_096, 65_536
 FEATURES = 5
+#: Most of a sum of weights, and least of one whose exponential is a product of exponentials in single precision.
+MOST, LEAST = 60, -80
 #: Least and most bits of the features' hashes: at 17 the weights are 50 MB, and a task's sums 200 MB.
 BITS = (13, 17)
 #: The end's place among 64-bit token hashes.
@@ -66,7 +68,7 @@ _PIECE = 256  # rows of sums that travel together
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all rows, each row's words and then its end, and where each row begins (rows + 1)."""
-    low = TO_LOWER[data]
+    low = mapped(data, TO_LOWER)
     starts, ends, rows = word_spans(low, offsets, SPACE)
     n = len(offsets) - 1
     out = np.empty(len(starts) + n, U64)
@@ -179,12 +181,9 @@ def neighbours(training: DataFrame, top: np.ndarray) -> np.ndarray:
             for lo, hi in row_blocks(off):
                 tok, at = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 place, row = find(tok), np.repeat(np.arange(hi - lo), np.diff(at))
-                codes = []
                 for d in (1, 2, 3):
                     ok = np.flatnonzero((place[:-d] >= 0) & (place[d:] >= 0) & (row[:-d] == row[d:]))
-                    codes.append(place[ok] * k + place[ok + d])
-                pairs, counts = np.unique(np.concatenate([np.tile(c, 6 // d) for d, c in enumerate(codes, 1)]), return_counts=True)
-                m[pairs] += counts
+                    np.add.at(m, place[ok] * k + place[ok + d], 6 // d)
         pair = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(m[pair])], ["pair", "n"])
 
@@ -245,6 +244,15 @@ def summed(keys: np.ndarray, groups: np.ndarray, counts: np.ndarray) -> tuple[np
     """Sums of counts over equal (key, group), groups under 2^9."""
     if not len(keys):
         return keys, groups, counts
+    if not groups.any():  # keys alone are sorted
+        if (counts == 1).all():
+            types, n = np.unique(keys, return_counts=True)
+        else:
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            types, n = keys[first], np.add.reduceat(counts[order], first)
+        return types, np.zeros(len(types), np.int64), n
     types, back = np.unique(keys, return_inverse=True)
     pair = (back.astype(np.int64) << 9) + groups
     if (counts == 1).all():
@@ -425,7 +433,11 @@ def factors(cls: np.ndarray, word: np.ndarray) -> list[tuple[np.ndarray, np.ndar
 
 
 class Scorer:
-    """The three softmaxes with weights w (rows x 16) and log masses of the outcomes; works in buffers of BATCH tokens."""
+    """The three softmaxes with weights w (rows x 16) and log masses of the outcomes; works in buffers of BATCH tokens.
+
+    Factors whose weights cannot leave the range of single precision hold their exponentials, which are multiplied; the others
+    add up weights and take the exponential of each sum. Both give the same masses.
+    """
 
     def __init__(self, lay: Layout, w: np.ndarray, bias: tuple):
         self.lay = lay
@@ -436,16 +448,23 @@ class Scorer:
             top = masses.max(axis=1, keepdims=True)
             masses -= top + np.log(np.exp(masses - top).sum(axis=1, keepdims=True))  # so that logits stay small
             self.own.append((lay.own(w, k) + masses).astype(np.float32))
+        self.product = []
+        for k, (t, own) in enumerate(zip(self.tables, self.own, strict=True)):
+            self.product.append(bool(own.max() + FEATURES * max(t.max(), 0) <= MOST and own.min() + FEATURES * min(t.min(), 0) >= LEAST))
+            if self.product[k]:
+                self.tables[k], self.own[k] = np.exp(t), np.exp(own)
         self.buffers = [[np.empty((BATCH, n), np.float32) for _ in range(2)] for n in lay.wide]
 
     def masses(self, factor: int, rows: np.ndarray, condition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n x outcomes of at most BATCH tokens, in a buffer that the next call uses again, and their sums; a share of its sum is a probability."""
         z, one = (b[: len(condition)] for b in self.buffers[factor])
+        join = np.multiply if self.product[factor] else np.add
         np.take(self.own[factor], condition, axis=0, out=z, mode="clip")
         for r in rows:
             np.take(self.tables[factor], r, axis=0, out=one, mode="clip")
-            z += one
-        np.exp(np.minimum(z, 60, out=z), out=z)
+            join(z, one, out=z)
+        if not self.product[factor]:
+            np.exp(np.minimum(z, MOST, out=z), out=z)
         return z, np.einsum("ij->i", z)  # z.sum(axis=1) takes a loop of its own for each row
 
     def probabilities(self, factor: int, rows: np.ndarray, condition: np.ndarray) -> np.ndarray:
@@ -476,7 +495,8 @@ class Sums:
             held = self.held[factor][:, : len(condition)]
             for i in range(0, len(condition), BATCH):
                 z, all_of = model.masses(factor, rows[:, i : i + BATCH], condition[i : i + BATCH])
-                held[:, i : i + BATCH] = np.divide(z, all_of[:, None], dtype=float).view(complex).T
+                z /= all_of[:, None]
+                held[:, i : i + BATCH] = z.view(np.complex64).T
             table, own = self.sums[factor]
             for p, s in zip(held, table, strict=True):
                 for r in rows:
@@ -484,14 +504,14 @@ class Sums:
             first = np.flatnonzero(np.append(True, condition[1:] != condition[:-1]))
             own[:, condition[first]] += np.add.reduceat(held, first, axis=1)
             for r, begin in [*((r, lay.begin[factor]) for r in rows), (condition, lay.bias[factor])]:
-                self.cells.append((begin * 16 + r * lay.wide[factor] + out).astype(np.int32))
-        if sum(map(len, self.cells)) > 1 << 22:
+                self.cells.append(begin * 16 + r * lay.wide[factor] + out)
+        if sum(map(len, self.cells)) > 1 << 20:
             self.flush()
 
     def flush(self) -> None:
-        if self.cells:
-            self.seen += np.bincount(np.concatenate(self.cells), minlength=self.seen.size).reshape(self.seen.shape)
-            self.cells.clear()
+        for c in self.cells:
+            np.add.at(self.seen.reshape(-1), c, 1.0)  # touches these cells alone, where a bincount goes over all
+        self.cells.clear()
 
     @property
     def expected(self) -> np.ndarray:

@@ -41,6 +41,11 @@ def _pow_table(kind: str, base: int, n: int) -> np.ndarray:
     return t[:n]
 
 
+def mapped(data: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """to[data] for bytes and a table of 256 of them; an index by numpy would first widen each byte to eight."""
+    return np.frombuffer(data.tobytes().translate(to.tobytes()), to.dtype)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     with np.errstate(over="ignore"):
@@ -58,7 +63,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     with np.errstate(over="ignore"):
         prefix = np.empty(n + 1, U64)
         prefix[0] = 0
-        np.cumsum(_BYTE[data] * _pow_table("up", _P, n), out=prefix[1:])
+        x = _BYTE[data]
+        x *= _pow_table("up", _P, n)
+        np.cumsum(x, out=prefix[1:])
         h = (prefix[ends] - prefix[starts]) * _pow_table("down", _P_INV, n + 1)[starts]
     return mix(h)
 
@@ -67,7 +74,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE) -
     """Starts and ends of the words of all rows, and where each row's words begin in them (rows + 1)."""
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    np.logical_not(sep[data], out=inside[1:-1])
+    np.logical_not(mapped(data, sep), out=inside[1:-1])
     edge = np.unique(offsets)
     start = inside[1:-1] & ~inside[:-2]
     at = edge[edge < n]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import common, ctph, decontamination, idstore, langid, langmodel, neardup, privacy, sharding, toxicity
+from strandline.llm import common, ctph, decontamination, idstore, langid, langmodel, neardup, privacy, sharding, toxicity, wordhash
 from strandline.llm.common import Workspace, table
 from strandline.llm.wordhash import span_hashes
 
@@ -301,6 +301,44 @@ def test_columns_of_masses_and_the_order_of_tokens_do_not_matter():
     assert [len(c) for c, _ in langmodel.factors(cls[mixed], word[mixed])] == [n, (cls < 2 * langmodel.FINE).sum(), (cls < langmodel.FINE).sum()]
 
 
+@pytest.mark.parametrize("scale", [0.3, 30])
+def test_masses_are_products_where_weights_allow_it(monkeypatch, scale):
+    """Usual weights cost no exponential a token; those that could leave single precision are added up first. Both give the model's shares."""
+    rng = np.random.default_rng(3)
+    lay = langmodel.Layout(11)
+    w = (rng.normal(size=(lay.rows, 16)) * scale).astype(np.float32)
+    bias = tuple(rng.normal(size=s).astype(np.float32) for s in ((langmodel.OUT,), (2 * langmodel.GROUPS, langmodel.SUB), (langmodel.FINE, langmodel.WORDS)))
+    model, rows, condition = langmodel.Scorer(lay, w, bias), rng.integers(0, 2048, (langmodel.FEATURES, 50)), rng.integers(0, 30, 50)
+    exp = np.exp
+    if scale < 1:
+        monkeypatch.setattr(np, "exp", None)
+    for factor, c in enumerate((np.zeros(50, int), condition, condition)):
+        p = model.probabilities(factor, rows, c)
+        masses = bias[factor].reshape(-1, lay.wide[factor]).astype(float)
+        z = lay.own(w, factor)[c] + masses[c] - np.log(exp(masses).sum(axis=1))[c, None] + lay.table(w, factor)[rows].sum(axis=0, dtype=float)
+        z = exp(np.minimum(z, 60))
+        assert np.allclose(p, z / z.sum(axis=1, keepdims=True), rtol=1e-3 if scale > 1 else 1e-5, atol=1e-6)
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+@pytest.mark.parametrize("most", [1, 4])
+def test_counts_are_summed_by_key_and_group(groups, most):
+    rng = np.random.default_rng(4)
+    keys, g, n = rng.integers(0, 40, 600).astype(np.uint64) << np.uint64(58), rng.integers(0, groups, 600), rng.integers(1, most + 1, 600)
+    want = Counter()
+    for k, j, c in zip(keys.tolist(), g.tolist(), n.tolist(), strict=True):
+        want[k, j] += c
+    k, j, c = langmodel.summed(keys, g, n)
+    assert dict(zip(zip(k.tolist(), j.tolist(), strict=True), c.tolist(), strict=True)) == want and k.dtype == np.uint64
+
+
+def test_a_byte_table_is_an_index():
+    data = np.random.default_rng(2).integers(0, 256, 5000).astype(np.uint8)
+    for to in (wordhash.TO_LOWER, wordhash.SPACE):
+        got = wordhash.mapped(data, to)
+        assert got.dtype == to.dtype and (got == to[data]).all() and len(wordhash.mapped(data[:0], to)) == 0
+
+
 def test_few_tasks_sums_meet_without_a_table(spark, monkeypatch):
     """Up to 64 tasks' sums are shuffled once and written nowhere."""
     stored = []
